@@ -7,6 +7,10 @@ from importlib import import_module
 #: Query name: module of this package that holds it.
 MODULES = {
     "op1_bpe": "bpe",
+    "op2_media": "media",
+    "op4_secrets": "secrets",
+    "op7_mix": "mix",
+    "op9_warc": "warc",
 }
 
 

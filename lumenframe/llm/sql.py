@@ -1,3 +1,52 @@
 """DuckDB SQL of those queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+
+def _base32(digest: str) -> str:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    parts = []
+    for i in range(0, 40, 5):
+        bits = f"CAST('0x' || substr({digest}, {i + 1}, 5) AS INTEGER)"
+        parts += [f"substr('{letters}', (({bits} >> {s}) & 31) + 1, 1)" for s in (15, 10, 5, 0)]
+    return " || ".join(parts)
+
+
+OP7 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), o AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 2 * source_size AS cap FROM s
+), c AS (
+  SELECT *, coalesce(sum(cap) OVER r, 0)::BIGINT AS held, (sum(w) OVER ())::BIGINT - coalesce(sum(w) OVER r, 0)::BIGINT AS weight,
+         3 * (sum(source_size) OVER ())::BIGINT / 2::DOUBLE AS total
+  FROM o WINDOW r AS (ORDER BY cap::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (
+  SELECT *, cap * weight <= w * (total - held) AS full_ FROM c
+), l AS (
+  SELECT min(held) FILTER (WHERE NOT full_) AS held1, max(weight) FILTER (WHERE NOT full_) AS weight1 FROM f
+), t AS (
+  SELECT source, source_size, CASE WHEN full_ THEN cap::DOUBLE ELSE w * (total - held1) / weight1 END AS target,
+         least(floor((CASE WHEN full_ THEN cap::DOUBLE ELSE w * (total - held1) / weight1 END) + 0.5)::BIGINT, cap) AS words
+  FROM f, l
+), r AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.words,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       (greatest(least(start + size, words) - start, 0) + greatest(least(start + source_size + size, words) - start - source_size, 0))::BIGINT AS taken
+FROM r
+"""
+
+OP9 = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS digest FROM pages
+), h AS (SELECT html, min(page_id) AS head FROM p GROUP BY html)
+SELECT page_id, payload_bytes, {_base32("digest")} AS payload_digest,
+       CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = head THEN NULL ELSE head END AS refers_to
+FROM p JOIN h USING (html)
+"""
+
+SQL: dict[str, str] = {"op7_mix": OP7, "op9_warc": OP9}
