@@ -113,3 +113,51 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+class WordHash:
+    """64-bit hashes of whitespace-separated words, remembered up to a bound."""
+
+    def __init__(self, bound: int = 400_000):
+        self.memo: dict[bytes, int] = {}
+        self.bound = bound
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        from xxhash import xxh3_64_intdigest
+
+        memo = self.memo
+        for w in set(words).difference(memo):
+            memo[w] = xxh3_64_intdigest(w)
+        out = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        if len(memo) > self.bound:
+            memo.clear()
+        return out
+
+
+#: Bits of a filter that is sent to every executor: a fixed 512 KB, whatever the data.
+FILTER_BITS = 22
+
+
+def filter_of(df: DataFrame, hashed: str) -> np.ndarray:
+    """A fixed-size filter of a column of 64-bit hashes. It may pass others (more as it fills), never drops one."""
+    slots = df.select(F.col(hashed).bitwiseAND((1 << FILTER_BITS) - 1).cast("int").alias("s")).distinct().toArrow()["s"].to_numpy()
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[slots] = True
+    return np.packbits(bits)
+
+
+def filter_passes(bits: np.ndarray, hashed: int) -> bool:
+    s = hashed & ((1 << FILTER_BITS) - 1)
+    return bool(bits[s >> 3] & (128 >> (s & 7)))
+
+
+def sizes_in(texts: list, most_bytes: int, most_rows: int):
+    """Ranges of texts of bounded bytes and rows (at least one row each)."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most_bytes or i + 1 - at >= most_rows:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)

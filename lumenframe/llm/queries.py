@@ -8,9 +8,12 @@ from importlib import import_module
 MODULES = {
     "op1_bpe": "bpe",
     "op2_media": "media",
+    "op3_quality": "quality",
     "op4_secrets": "secrets",
+    "op6_langid": "langid",
     "op7_mix": "mix",
     "op9_warc": "warc",
+    "op10_ann": "ann",
 }
 
 
