@@ -10,6 +10,7 @@ MODULES = {
     "op2_media": "media",
     "op3_quality": "quality",
     "op4_secrets": "secrets",
+    "op5_pii": "pii",
     "op6_langid": "langid",
     "op7_mix": "mix",
     "op9_warc": "warc",
