@@ -91,12 +91,8 @@ def _slots(spark, recipe: DataFrame, parts: int) -> DataFrame:
     return placed.union(late.select("no", "block", F.lit(n) + F.col("block") * (len(rows) or 1) + F.col("no")))
 
 
-def schedule(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share=SHARE, passes: int = PASSES, slot_words: int = SLOT_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(pieces, documents).
-
-    pieces: slot, block, key, source, copy (pass over the source), first and last word (end exclusive) of the
-    document that go there. documents: key, size, source_size, target, taken.
-    """
+def _placed(df: DataFrame, key: str, text: str, source: str, weights, share, passes: int, slot_words: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (key, source, size, no, source_size, target, words, shuffled, start), the recipe, the number of rows."""
     from .common import kept
 
     spark = df.sparkSession
@@ -109,6 +105,17 @@ def schedule(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     buckets = max(1, -(-total // BUCKET_ROWS))
     bucket = F.floor(F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("double") / float(1 << 32) * buckets).cast("long")
     rows = kept(_running(rows, ["no"], ["shuffled", "key", "size"], F.col("size"), bucket, "start"))
+    return rows, recipe, total
+
+
+def schedule(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share=SHARE, passes: int = PASSES, slot_words: int = SLOT_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(pieces, documents).
+
+    pieces: slot, block, key, source, copy (pass over the source), first and last word (end exclusive) of the
+    document that go there. documents: key, size, source_size, target, taken.
+    """
+    rows, recipe, total = _placed(df, key, text, source, weights, share, passes, slot_words)
+    spark = df.sparkSession
     copies = rows.withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(passes)])))
     copies = copies.withColumn("from", F.col("start") + F.col("copy") * F.col("source_size"))
     copies = copies.withColumn("to", F.least(F.col("from") + F.col("size"), F.col("words"))).where("to > from")
@@ -122,6 +129,25 @@ def schedule(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return pieces.select("slot", "block", F.col("key").alias(key), "source", "copy", "first", "last"), docs
 
 
+def apply(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", length: str = "n_chars", **how) -> DataFrame:
+    """The mix as rows of df's columns: one for each pass over a document that takes words of it.
+
+    A pass that stops at its source's target keeps the first words, joined by spaces. Rows that repeat a key and
+    size share the least that is taken of them. length, where df has it, counts the new text's characters.
+    """
+    took = schedule(df, key, text, source, **how)[1].where("taken > 0").groupBy(key, "size").agg(F.min("taken").alias("_taken"))
+    took = took.select(F.col(key).alias("_key"), F.col("size").alias("_size"), "_taken")
+    rows = df.join(took, F.col(key).eqNullSafe(F.col("_key")) & (n_words(F.col(text).cast("string")) == F.col("_size")))
+    whole = (F.col("_taken") / F.col("_size")).cast("int")
+    takes = F.concat(F.array_repeat("_size", whole), F.when(F.col("_taken") % F.col("_size") > 0, F.array(F.col("_taken") % F.col("_size"))).otherwise(F.array().cast("array<long>")))
+    rows = rows.withColumn("_take", F.explode(takes))
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("_take").cast("int")), " ")
+    rows = rows.withColumn(text, F.when(F.col("_take") == F.col("_size"), F.col(text)).otherwise(cut))
+    if length in df.columns:
+        rows = rows.withColumn(length, F.length(text).cast(df.schema[length].dataType))
+    return rows.select(*df.columns)
+
+
 def op7_mix(spark, sf_dir):
     from .common import table
 

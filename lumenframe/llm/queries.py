@@ -13,6 +13,7 @@ MODULES = {
     "op5_pii": "pii",
     "op6_langid": "langid",
     "op7_mix": "mix",
+    "op8_ngram_join": "ngram_join",
     "op9_warc": "warc",
     "op10_ann": "ann",
 }
