@@ -31,6 +31,7 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,8 @@ from .common import FILTER_BITS, WordHash, components, discard, filter_of, mix64
 
 #: Keys of a batch; fewest shingles of a part that is a key; members and shingles of a block that one tree takes; hubs of a large block; members of a pack.
 BATCH_KEYS, PART_SHINGLES, BLOCK_MEMBERS, BLOCK_SHINGLES, HUBS, PACK = 600_000, 3, 256, 2_000_000, 32, 64
+#: Differences below which parts are always as many as make sure of an agreement; differences a part has in mean where a chance of missing is allowed.
+SURE_DIFFERENCES, TOUCHED = 5, 1.5
 _WORDS = WordHash()
 
 
@@ -62,8 +65,8 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
 class Levels:
     """Size levels of a threshold, and for each the bound on differences and the number of parts."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, miss: float = 0.0):
+        self.num, self.den, self.miss = num, den, miss
         self.starts = [1, 2]
 
     def _reach(self, n: int) -> None:
@@ -81,6 +84,18 @@ class Levels:
         spare = 2 + d // 8 if d else 0
         return d, spare, d + 1 + spare
 
+    def deals(self, level: int) -> tuple[int, int, int, int]:
+        """(largest difference, spare agreements, parts, times dealt). Few parts dealt several times, where a chance of missing is allowed.
+
+        d differences leave all of p parts touched with a probability of at most (1 - (1 - 1/p)^d)^p.
+        """
+        d, spare, parts = self.parts(level)
+        if not self.miss or d < SURE_DIFFERENCES:
+            return d, spare, parts, 1
+        few = max(2, int(d / TOUCHED))
+        touched = few * math.log1p(-((1 - 1 / few) ** d))
+        return d, few, few, math.ceil(math.log(self.miss) / touched)
+
 
 def keys_of(sets: list[np.ndarray], levels: Levels) -> tuple[np.ndarray, np.ndarray]:
     """(key, place of its set in the list) of all sets; empty sets have none."""
@@ -92,29 +107,29 @@ def keys_of(sets: list[np.ndarray], levels: Levels) -> tuple[np.ndarray, np.ndar
     out_keys, out_owner = [], []
     for step in (0, 1):
         at = level - step
-        table = {x: levels.parts(x) for x in set(at.tolist()) if x >= 0}
+        table = {x: levels.deals(x) for x in set(at.tolist()) if x >= 0}
         use = np.array([n > 0 and x >= 0 and (step == 0 or table[x][0] > 0) for n, x in zip(sizes, at.tolist(), strict=True)])
-        if not use.any():
-            continue
-        spare = np.array([table[x][1] if u else 0 for x, u in zip(at.tolist(), use, strict=True)])
-        parts = np.array([table[x][2] if u else 0 for x, u in zip(at.tolist(), use, strict=True)])
-        base = np.concatenate([[0], np.cumsum(parts)])
-        mine = use[owner]
-        own, tok = owner[mine], tokens[mine]
-        mixed = mix64(tok + at[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        slot = base[own] + ((mixed >> np.uint64(40)) % parts[own].astype(np.uint64)).astype(np.int64)
-        n = np.bincount(slot, minlength=base[-1])
-        again = mix64(mixed)
-        low = np.bincount(slot, (again & np.uint64(0xFFFFFFFF)).astype(np.float64), base[-1]).astype(np.uint64)
-        high = np.bincount(slot, (again >> np.uint64(32)).astype(np.float64), base[-1]).astype(np.uint64)
-        whose = np.repeat(np.arange(len(sets)), parts)
-        small = (n < PART_SHINGLES) & (parts[whose] > 1)
-        few = np.bincount(whose, small, len(sets)) <= spare
-        emit = ~(small & few[whose])
-        part = np.arange(base[-1]) - base[:-1][whose]
-        tag = mix64(at[whose].astype(np.uint64) << np.uint64(32) | part.astype(np.uint64))
-        out_keys.append(mix64(mix64(low + tag) + mix64(high + np.uint64(1)) * np.uint64(3) + n.astype(np.uint64))[emit])
-        out_owner.append(whose[emit])
+        plan = np.array([table[x] if u else (0, 0, 0, 0) for x, u in zip(at.tolist(), use, strict=True)]).reshape(-1, 4)
+        spare = plan[:, 1]
+        for time in range(int(plan[:, 3].max(initial=0))):
+            parts = np.where(plan[:, 3] > time, plan[:, 2], 0)
+            base = np.concatenate([[0], np.cumsum(parts)])
+            mine = parts[owner] > 0
+            own, tok = owner[mine], tokens[mine]
+            mixed = mix64(tok + (at[own] * 64 + time).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            slot = base[own] + ((mixed >> np.uint64(40)) % parts[own].astype(np.uint64)).astype(np.int64)
+            n = np.bincount(slot, minlength=base[-1])
+            again = mix64(mixed)
+            low = np.bincount(slot, (again & np.uint64(0xFFFFFFFF)).astype(np.float64), base[-1]).astype(np.uint64)
+            high = np.bincount(slot, (again >> np.uint64(32)).astype(np.float64), base[-1]).astype(np.uint64)
+            whose = np.repeat(np.arange(len(sets)), parts)
+            small = (n < PART_SHINGLES) & (parts[whose] > 1)
+            few = np.bincount(whose, small, len(sets)) <= spare
+            emit = ~(small & few[whose])
+            part = np.arange(base[-1]) - base[:-1][whose]
+            tag = mix64((at[whose] * 64 + time).astype(np.uint64) << np.uint64(32) | part.astype(np.uint64))
+            out_keys.append(mix64(mix64(low + tag) + mix64(high + np.uint64(1)) * np.uint64(3) + n.astype(np.uint64))[emit])
+            out_owner.append(whose[emit])
     return np.concatenate(out_keys), np.concatenate(out_owner)
 
 
@@ -130,11 +145,11 @@ def collapse(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([keys[first], own, own]), np.concatenate([docs[first], pairs[0], pairs[1]])
 
 
-def candidate_links(docs: DataFrame, key: str, text: str, size: int, num: int, den: int) -> DataFrame:
+def candidate_links(docs: DataFrame, key: str, text: str, size: int, num: int, den: int, miss: float = 0.0) -> DataFrame:
     """(src, dst): links that contain every link between texts in their components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Levels(num, den)
+        levels = Levels(num, den, miss)
         held_keys, held_docs, held = [], [], 0
 
         def flush():
@@ -369,14 +384,16 @@ def _large_links(members: DataFrame, path: str, num: int, den: int) -> DataFrame
     return links.union(more)
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100, miss: float = 0.0) -> DataFrame:
     """(key, n_shingles, component_id) of every row: the smallest key that links reach, the row's own included.
 
-    The defaults are five words and a similarity of 0.8.
+    The defaults are five words and a similarity of 0.8. miss bounds the probability that a pair at the threshold
+    shares no key; 0 loses none. At low thresholds sure parts hold so few shingles that shared passages
+    chain unrelated texts into huge blocks; a miss of, say, 1e-9 gives fewer and fuller parts.
     """
     spark = docs.sparkSession
     path = scratch(spark, "join")
-    candidates = save(candidate_links(docs, key, text, size, num, den), f"{path}/candidates")
+    candidates = save(candidate_links(docs, key, text, size, num, den, miss), f"{path}/candidates")
     blocks = components(candidates)
     facts = save(facts_of(docs, blocks, key, text, size), f"{path}/facts")
     known = facts.where("tokens IS NOT NULL")
@@ -401,9 +418,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     return out
 
 
-def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100, miss: float = 0.0) -> DataFrame:
     """docs with one row of each group: that of the smallest key. Rows with null keys stay."""
-    found = groups(docs, key, text, size, num, den)
+    found = groups(docs, key, text, size, num, den, miss)
     gone = found.where(F.col("component_id") != F.col(key)).select(key).distinct()
     out = docs.join(gone, key, "left_anti")
     again = found.groupBy(key).count().where(F.col("count") > 1).where(F.col(key).isNotNull()).select(key)
