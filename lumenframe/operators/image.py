@@ -104,3 +104,21 @@ def mosaic(a: DataFrame, b: DataFrame, dim: str, offset: int) -> DataFrame:
 
 def frame_scalar(frames: DataFrame, kernel, name: str) -> DataFrame:
     return frames.withColumn(name, map_frames(kernel, returns="double"))
+
+
+def sweep(frames: DataFrame, fn, **grids) -> DataFrame:
+    """fn(frames, **parameters) for every combination of the grids, with the parameters as columns: a preview of few frames."""
+    from functools import reduce
+    from itertools import product
+
+    names = list(grids)
+    parts = []
+    for values in product(*grids.values()):
+        chosen = dict(zip(names, values, strict=True))
+        parts.append(fn(frames, **chosen).withColumns({f"param_{k}": F.lit(v) for k, v in chosen.items()}))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def footprint_summary(a: DataFrame) -> DataFrame:
+    """(height, width, total, units): sum of footprints over each pixel and how many units cover it."""
+    return a.groupBy("height", "width").agg(F.sum("value").alias("total"), F.count_if(F.col("value") > 0).alias("units"))

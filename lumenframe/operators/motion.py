@@ -89,6 +89,26 @@ def estimate_motion(frames: DataFrame, by: list[str] | None = None, npart: int =
     return out.drop("_g")
 
 
+def mesh_size(height: int, width: int, pixels: int = 100) -> tuple[int, int]:
+    """Control points a non-rigid field has on each axis: about one for so many pixels."""
+    return max(1, round(height / pixels)), max(1, round(width / pixels))
+
+
+def patch_shifts(pairs: DataFrame, patch: int) -> DataFrame:
+    """Experimental non-rigid motion: (grid0, grid1, dy, dx) of the patches of each row (height, width, px_src, px_dst)."""
+
+    @F.pandas_udf("array<struct<grid0:int,grid1:int,dy:double,dx:double>>")
+    def run(h: pd.Series, w: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for hh, ww, x, y in zip(h, w, a, b, strict=True):
+            field = K.patch_field(np.asarray(x, float).reshape(hh, ww), np.asarray(y, float).reshape(hh, ww), patch)
+            out.append([{"grid0": i, "grid1": j, "dy": float(field[i, j, 0]), "dx": float(field[i, j, 1])} for i in range(field.shape[0]) for j in range(field.shape[1])])
+        return pd.Series(out)
+
+    out = pairs.withColumn("_s", F.explode(run("height", "width", "px_src", "px_dst")))
+    return out.select("*", "_s.*").drop("_s", "px_src", "px_dst")
+
+
 def template_quality(frames: DataFrame) -> DataFrame:
     from .image import frame_scalar
 

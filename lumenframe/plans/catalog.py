@@ -124,6 +124,11 @@ def isin_between(s, d):
     return _r(V.movie(s, d).where(F.col("height").isin(1, 3, 5) & F.col("width").between(2, 4) & F.col("value").isNotNull()))
 
 
+@query
+def sample_rows(s, d):
+    return A.sample(V.movie(s, d).select(*CELL), 100, 3)
+
+
 # --- sources and sinks -----------------------------------------------------
 
 
@@ -327,6 +332,14 @@ def estimate_motion(s, d):
     return _r(M.estimate_motion(V.frames(s, d)), "dy", "dx")
 
 
+@query
+def patch_shifts(s, d):
+    f = V.frames(s, d)
+    nxt = f.select((F.col("frame") - 1).alias("frame"), F.col("px").alias("px_dst"))
+    out = M.patch_shifts(f.withColumnRenamed("px", "px_src").join(nxt, "frame"), 4)
+    return out.select("frame", "grid0", "grid1", F.round("dy", 4).alias("dy"), F.round("dx", 4).alias("dx"))
+
+
 # --- seeds -----------------------------------------------------------------
 
 
@@ -670,6 +683,25 @@ def frame_summary(s, d):
     return _r(I.frame_summary(V.movie(s, d)), "mean", "max", "min", "diff")
 
 
+@query
+def footprint_summary(s, d):
+    return _r(I.footprint_summary(V.footprints(s, d)), "total", digits=4)
+
+
+@query
+def preview_sweep(s, d):
+    few = V.frames(s, d).where("frame < 5")
+    out = I.sweep(few, lambda f, wnd: I.remove_background(f, "uniform", wnd), wnd=[3, 5])
+    return out.select("frame", "param_wnd", F.round(F.array_max("px"), 6).alias("top"))
+
+
+@query
+def mapping_pivot(s, d):
+    named = _named(_mapping(s, d, "strict")).withColumnRenamed("mapping", "mapping_id").where("session < 3")
+    wide = X.pivot_mapping(named, [0, 1, 2])
+    return wide.select(F.col("mapping_id").alias("mapping"), *[F.col(str(i)).alias(f"session{i}") for i in range(3)])
+
+
 @query
 def unit_groups(s, d):
     order = V.points(s, d).select("unit_id", F.col("unit_id").alias("nn"))

@@ -225,6 +225,8 @@ SQL: dict[str, str] = {
     "group_sessions": f"WITH RECURSIVE {_mapping('strict')}, {_FILLED} SELECT sessions, count(*) AS n FROM (SELECT label, string_agg(session::VARCHAR, ',' ORDER BY session) AS sessions FROM g GROUP BY label) GROUP BY sessions",
     "overlay_counts": f"WITH RECURSIVE {_mapping('strict')}, {_FILLED}, k AS (SELECT session, unit_id, count(*) OVER (PARTITION BY label) > 1 AS m FROM g) SELECT session, height, width, count(*) FILTER (WHERE m) AS matched, count(*) FILTER (WHERE NOT m) AS unmatched FROM a JOIN k USING (session, unit_id) GROUP BY ALL",
     "frame_summary": W(MOVIE, "f AS (SELECT frame, avg(value) AS mean, max(value) AS max, min(value) AS min FROM m GROUP BY 1)", f"SELECT frame, {R('mean')}, {R('max')}, {R('min')}, {R('mean - lag(mean) OVER (ORDER BY frame)', name='diff')} FROM f"),
+    "footprint_summary": W(FOOT, f"SELECT height, width, {R('sum(value)', 4, 'total')}, count(*) AS units FROM a GROUP BY height, width"),
+    "mapping_pivot": f"WITH RECURSIVE {_mapping('strict')} SELECT {_NAME.format('label')} AS mapping, max(unit_id) FILTER (WHERE session = 0) AS session0, max(unit_id) FILTER (WHERE session = 1) AS session1, max(unit_id) FILTER (WHERE session = 2) AS session2 FROM r WHERE session < 3 GROUP BY label",
     "unit_groups": "SELECT vec_id // 5 AS unit_group, count(*) AS n FROM embeddings GROUP BY 1",
     "unit_labels": W(TRACES, f"SELECT (unit_id // 3)::INT AS unit_id, frame, {R('avg(value)', name='value')} FROM t WHERE unit_id % 10 <> 0 GROUP BY unit_id // 3, frame"),
 }
