@@ -9,8 +9,28 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
+
+
+@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+def _transpose(rows: pd.Series) -> pd.Series:
+    return pd.Series([np.stack(r).T.tolist() for r in rows])
+
+
+def _transposed(frames: DataFrame, tile: int) -> DataFrame:
+    """(height, width, y) of frames (frame, height, width, px) of one size."""
+    n = F.col("height") * F.col("width")
+    starts = F.sequence(F.lit(0), n - 1, F.lit(tile))
+    cut = frames.select("frame", F.col("width").alias("_w"), F.col("px").alias("_px"), F.explode(starts).alias("_at"))
+    cut = cut.select("frame", "_w", "_at", F.slice("_px", F.col("_at") + 1, F.lit(tile)).cast("array<double>").alias("_cut"))
+    packed = cut.groupBy("_at", "_w").agg(F.array_sort(F.collect_list(F.struct("frame", "_cut"))).alias("_rows"))
+    turned = packed.select("_at", "_w", _transpose(F.transform("_rows", lambda r: r["_cut"])).alias("_ys"))
+    out = turned.select("_at", "_w", F.posexplode("_ys").alias("_i", "y")).withColumn("_i", F.col("_at") + F.col("_i"))
+    return out.select(F.expr("cast(_i div _w as int)").alias("height"), F.expr("cast(_i % _w as int)").alias("width"), "y")
 
 
 @dataclass(frozen=True)
@@ -38,10 +58,16 @@ class LabelledFrame:
         packed = self.to_cells().df.groupBy(*by).agg(rows.alias("_rows"))
         return packed.withColumn(name, F.transform("_rows", lambda r: r[self.value])).drop("_rows")
 
-    def to_traces(self) -> LabelledFrame:
-        """A shuffle by all dims but frame; positions are ranks of the frames, so the array must be dense."""
+    def to_traces(self, tile: int = 256) -> LabelledFrame:
+        """A shuffle by all dims but frame; positions are ranks of the frames, so the array must be dense.
+
+        Images are cut into tiles of so many pixels: the shuffle moves array slices, not cells, and each tile is
+        transposed on its own. A tile's group holds tile * frames values, which bounds a row.
+        """
         if self.layout == "trace":
             return self
+        if self.layout == "frame" and self.dims[0] == "frame":
+            return replace(self, df=_transposed(self.df, tile), dims=("height", "width", "frame"), layout="trace")
         by = [d for d in self.to_cells().dims if d != "frame"]
         return replace(self, df=self._blocks(by, ["frame"], "y"), dims=(*by, "frame"), layout="trace")
 

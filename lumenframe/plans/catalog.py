@@ -106,6 +106,11 @@ def stack_unstack(s, d):
     return _r(long.select("frame", "height", F.col("width").cast("int").alias("width"), "value"))
 
 
+@query
+def frames_to_traces(s, d):
+    return V.pixel_traces(s, d).select(*HW, F.size("y").alias("n"), F.round(F.element_at("y", 1), 6).alias("first"), F.round(F.element_at("y", -1), 6).alias("last"))
+
+
 @query
 def align_arith(s, d):
     mean = V.movie(s, d).groupBy(*HW).agg(F.avg("value").alias("value"))

@@ -112,6 +112,7 @@ SQL: dict[str, str] = {
     "fill_drop": W(MOVIE, f"SELECT {CELL}, {R('CASE WHEN value > 0.1 THEN value ELSE 0 END', name='value')} FROM (SELECT *, max(value) OVER (PARTITION BY frame * 8 + height) AS top FROM m) WHERE top > 0.1"),
     "clip": W(MOVIE, f"SELECT {CELL}, {R('least(greatest(value, -0.1), 0.1)', name='value')} FROM m"),
     "stack_unstack": W(MOVIE, f"SELECT {CELL}, {R()} FROM m"),
+    "frames_to_traces": W(MOVIE, "SELECT height, width, count(*)::INT AS n, round(arg_min(value, frame), 6) AS first, round(arg_max(value, frame), 6) AS last FROM m GROUP BY height, width"),
     "align_arith": W(MOVIE, f"SELECT {CELL}, {R('value - mean', name='value')} FROM m JOIN (SELECT height, width, avg(value) AS mean FROM m GROUP BY ALL) USING (height, width)"),
     "reindex_like": W(MOVIE, f"SELECT {CELL}, {R('CASE WHEN frame < 20 AND (frame + height) % 2 = 0 THEN value END', name='value')} FROM m WHERE frame < 30"),
     "isin_between": W(MOVIE, f"SELECT {CELL}, {R()} FROM m WHERE height IN (1, 3, 5) AND width BETWEEN 2 AND 4"),

@@ -69,7 +69,7 @@ def run(spark: SparkSession, frames: DataFrame, folder: str, cfg: Config | None
         motion = keep(ref.select("frame", F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx")), "motion")
     y_fm = keep(ref, "Y_fm", ["frame"])
     y = cells(y_fm)
-    y_hw = keep(LabelledFrame(y, ("frame", *HW)).to_traces().df, "Y_hw", HW)
+    y_hw = keep(LabelledFrame(y_fm, ("frame", *HW), layout="frame").to_traces().df, "Y_hw", HW)
     high = keep(I.max_projection(y), "max_proj")
 
     seeds = D.seeds_init(y, n, h, w, cfg.window, cfg.step, cfg.max_wnd, cfg.diff)

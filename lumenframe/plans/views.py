@@ -38,7 +38,7 @@ def trace_cells(spark, sf_dir) -> DataFrame:
 
 def pixel_traces(spark, sf_dir) -> DataFrame:
     """(height, width, y over frames)."""
-    return LabelledFrame(movie(spark, sf_dir), ("frame", "height", "width")).to_traces().df
+    return LabelledFrame(frames(spark, sf_dir), ("frame", "height", "width"), layout="frame").to_traces().df
 
 
 def footprints(spark, sf_dir) -> DataFrame:

@@ -27,6 +27,9 @@ def test_layouts_round_trip(cells):
     assert got == pytest.approx(x.ravel())
     y = {(r["height"], r["width"]): r["y"] for r in lf.to_traces().df.collect()}
     assert y[2, 3] == pytest.approx(x[:, 2, 3])
+    for tile in (3, 256):
+        z = {(r["height"], r["width"]): r["y"] for r in frames.to_traces(tile).df.collect()}
+        assert z == y
     assert lf.sel(frame=(1, 3)).sizes()["frame"] == 3 and lf.isel("frame", 0, 2).sizes()["frame"] == 3
 
 
