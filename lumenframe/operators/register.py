@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .cnmf import centroid
 from .graph import connected_components
+from .motion import _checkpoints
 
 
 def fov_window(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -119,7 +120,8 @@ def resolve_mapping(pairs: DataFrame, mode: str = "majority", meta: list[str] |
         raise ValueError(f"unknown mode {mode!r}")
     meta = meta or []
     node = lambda s: F.struct(*meta, F.col(f"session_{s}").alias("session"), F.col(f"unit_{s}").alias("unit_id"))
-    edges = pairs.select(node("a").alias("src"), node("b").alias("dst"))
+    _checkpoints(pairs.sparkSession)
+    edges = pairs.select(node("a").alias("src"), node("b").alias("dst")).checkpoint()  # read by each step below
     labels = connected_components(edges)
     both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     degree = both.groupBy(F.col("src").alias("node")).agg(F.countDistinct("dst").alias("deg"))
@@ -131,7 +133,7 @@ def resolve_mapping(pairs: DataFrame, mode: str = "majority", meta: list[str] |
     lost = F.col("n") > 1
     if mode == "majority":
         lost = lost & ~((F.col("deg") == F.col("top")) & (F.col("n_top") == 1))
-    gone = n.where(lost).select("node")
+    gone = n.where(lost).select("node").checkpoint()
     left = edges.join(gone, edges.src == gone.node, "left_anti")
     left = left.join(gone, left.dst == gone.node, "left_anti")
     out = connected_components(left)
