@@ -24,8 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text that are encoded at once, words replayed at once, words remembered.
-BLOCK_CHARS, REPLAY_WORDS, MEMO_WORDS = 3_000_000, 40_000, 400_000
+from .common import blocks, take_over
+
+#: Bytes of text that are encoded at once, words replayed at once, words remembered.
+BLOCK_BYTES, REPLAY_WORDS, MEMO_WORDS = 2_000_000, 40_000, 350_000
 
 
 class MergeReplay:
@@ -149,23 +151,13 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 def _machine(data: bytes, pattern: str) -> MergeReplay:
     key = (len(data), hash(data), pattern)
+    take_over("bpe", _READY.clear)
     if key not in _READY:
         _READY.clear()
         _READY[key] = MergeReplay(read_ranks(data), pattern)
     return _READY[key]
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= BLOCK_CHARS:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def encode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
     """(key, ids array<int>) of each row, with decoded binary if decode is set.
 
@@ -179,9 +171,9 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _machine(vocabulary.value, pattern)
         for b in batches:
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-            for i, j in _blocks(texts):
-                packed = m.encode_block(texts[i:j])
+            for i, values in blocks(b.column(1), BLOCK_BYTES, 5000):
+                packed = m.encode_block(["" if t is None else t.decode() for t in values])
+                j = i + len(values)
                 ids = np.frombuffer(b"".join(packed), "<i4")
                 ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
                 cols = [b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]

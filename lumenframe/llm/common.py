@@ -7,6 +7,8 @@ import uuid
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,7 +118,7 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 class WordHash:
     """64-bit hashes of whitespace-separated words, remembered up to a bound."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 150_000):
         self.memo: dict[bytes, int] = {}
         self.bound = bound
 
@@ -149,13 +151,26 @@ def filter_passes(bits: np.ndarray, hashed: int) -> bool:
     return bool(bits[s >> 3] & (128 >> (s & 7)))
 
 
-def sizes_in(texts: list, most_bytes: int, most_rows: int):
-    """Ranges of texts of bounded bytes and rows (at least one row each)."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most_bytes or i + 1 - at >= most_rows:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+def blocks(column: pa.Array, most_bytes: int, most_rows: int):
+    """(first row, values) of a string column in blocks of bounded bytes and rows (at least one row each), as bytes or None."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    at = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        total += n
+        if total >= most_bytes or i + 1 - at >= most_rows or i + 1 == len(sizes):
+            yield at, column.slice(at, i + 1 - at).cast(pa.binary()).to_pylist()
+            at, total = i + 1, 0
+
+
+_OWNER = [""]
+_CACHES: dict[str, object] = {}
+
+
+def take_over(name: str, clear) -> None:
+    """What a Python worker remembers for one operator goes when another begins to use the worker."""
+    if _OWNER[0] != name:
+        for other in list(_CACHES):
+            if other != name:
+                _CACHES.pop(other)()
+        _OWNER[0] = name
+    _CACHES[name] = clear

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sizes_in
+from .common import blocks, take_over
 
 BUCKETS = 1 << 13
 #: Added to each bucket's count, in parts of a language's mean count.
@@ -108,13 +108,15 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("langid", lambda: None)
         sums: dict[str, np.ndarray] = {}
         for b in batches:
-            texts, langs = [t.as_buffer().to_pybytes() for t in b.column(0)], b.column(1).to_pylist()
-            for i, j in sizes_in(texts, _BLOCK_BYTES, _BLOCK_ROWS):
-                counts, _ = grams(texts[i:j])
-                for k in set(langs[i:j]):
-                    of = [n for n, x in enumerate(langs[i:j]) if x == k]
+            langs = b.column(1).to_pylist()
+            for i, texts in blocks(b.column(0), _BLOCK_BYTES, _BLOCK_ROWS):
+                counts, _ = grams(texts)
+                here = langs[i : i + len(texts)]
+                for k in set(here):
+                    of = [n for n, x in enumerate(here) if x == k]
                     sums[k] = sums.get(k, 0) + counts[of].sum(0, dtype=np.float64)
         for k, v in sums.items():
             at = np.flatnonzero(v)
@@ -151,9 +153,9 @@ def identify(df: DataFrame, model: Model, text: str = "text", carry: list[str] |
     own = [c for c in carry if c not in ("lang_pred", "score", "ambiguous")]
 
     def run(batches):
+        take_over("langid", lambda: None)
         for b in batches:
-            texts = [None if not t.is_valid else t.as_buffer().to_pybytes() for t in b.column(len(own))]
-            got = [x for i, j in sizes_in([t or b"" for t in texts], _BLOCK_BYTES, _BLOCK_ROWS) for x in predict(shared.value, texts[i:j])]
+            got = [x for _, texts in blocks(b.column(len(own)), _BLOCK_BYTES, _BLOCK_ROWS) for x in predict(shared.value, texts)]
             cols = list(zip(*got, strict=True)) if got else [[], [], []]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *map(pa.array, cols, (pa.string(), pa.float64(), pa.bool_()))], names=[*own, "lang_pred", "score", "ambiguous"])
 

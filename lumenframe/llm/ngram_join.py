@@ -19,7 +19,7 @@ num/den. The join loses no link:
    left is decided exactly on the sets.
 4. Large blocks are dealt into pieces. Each piece is joined by its own tree and nominates
    hubs (its best-linked members); every member is compared with its block's hubs; members
-   outside the largest component then are compared with all of the block, in packs. Pairs that are not compared are in one
+   outside the largest component then are compared with all of the block, in bounded seats. Pairs that are not compared are in one
    component already.
 5. Components of the links give the answer.
 
@@ -40,15 +40,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, WordHash, components, discard, filter_of, mix64, save, scratch, sizes_in, union_all
+from .common import FILTER_BITS, WordHash, blocks, components, discard, filter_of, mix64, save, scratch, take_over, union_all
 
-#: Keys of a batch; fewest shingles of a part that is a key; members and shingles of a block that one tree takes; hubs of a large block; members of a pack.
-BATCH_KEYS, PART_SHINGLES, BLOCK_MEMBERS, BLOCK_SHINGLES, HUBS, PACK = 600_000, 3, 256, 2_000_000, 32, 64
+#: Keys of a batch; fewest shingles of a part that is a key; members and shingles of a block that one tree takes; hubs of a large block; members of a seat of it; members that are held against a seat at once; pairs of a task.
+BATCH_KEYS, PART_SHINGLES, BLOCK_MEMBERS, BLOCK_SHINGLES, HUBS, SEATS, PACK, PAIRS_A_TASK = 400_000, 3, 256, 2_000_000, 32, 256, 64, 4_000_000
 #: Differences below which parts are always as many as make sure of an agreement; differences a part has in mean where a chance of missing is allowed.
 SURE_DIFFERENCES, TOUCHED = 5, 1.5
 _WORDS = WordHash()
 
 
+def _begin() -> None:
+    take_over("ngram", _WORDS.memo.clear)
+
+
 def shingles(text: bytes | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
     words = text.lower().split() if text else []
@@ -149,6 +153,7 @@ def candidate_links(docs: DataFrame, key: str, text: str, size: int, num: int, d
     """(src, dst): links that contain every link between texts in their components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         levels = Levels(num, den, miss)
         held_keys, held_docs, held = [], [], 0
 
@@ -158,11 +163,10 @@ def candidate_links(docs: DataFrame, key: str, text: str, size: int, num: int, d
 
         for b in batches:
             ids = b.column(0).to_numpy()
-            texts = [t.as_buffer().to_pybytes() for t in b.column(1)]
-            for i, j in sizes_in(texts, 1_000_000, 500):
-                k, owner = keys_of([shingles(t, size) for t in texts[i:j]], levels)
+            for i, texts in blocks(b.column(1), 1_000_000, 500):
+                k, owner = keys_of([shingles(t, size) for t in texts], levels)
                 held_keys.append(k)
-                held_docs.append(ids[i:j][owner])
+                held_docs.append(ids[i : i + len(texts)][owner])
                 held += len(k)
                 if held > BATCH_KEYS:
                     yield flush()
@@ -182,10 +186,11 @@ def facts_of(docs: DataFrame, members: DataFrame, key: str, text: str, size: int
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
+        _begin()
         for b in batches:
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column(1)]
-            for i, j in sizes_in(texts, 1_000_000, 1000):
-                sets = [shingles(t, size) for t in texts[i:j]]
+            for i, texts in blocks(b.column(1), 1_000_000, 1000):
+                sets = [shingles(t, size) for t in texts]
+                j = i + len(texts)
                 ids = b.column(0).slice(i, j - i).to_pylist()
                 slots = [None if x is None else x & ((1 << FILTER_BITS) - 1) for x in ids]
                 tokens = [s.tobytes() if x is not None and len(s) and bits.value[x >> 3] & (128 >> (x & 7)) else None for s, x in zip(sets, slots, strict=True)]
@@ -336,27 +341,93 @@ def _tree_links(members: DataFrame, by: list[str], num: int, den: int, hubs: boo
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["root", "src", "dst", "score", "tokens"])
 
-    dealt = members.select(*by, "doc", "tokens").repartition(*by).sortWithinPartitions(*by)
+    dealt = members.select(*by, "doc", "tokens").repartition(_tasks(members.sparkSession), *by).sortWithinPartitions(*by)
     return dealt.mapInArrow(run, "root long, src long, dst long, score long, tokens binary" if hubs else "src long, dst long")
 
 
-def _compare(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """(src, dst) of rows (doc, tokens, comp, others array<struct<doc,comp,tokens>>): each document against the others."""
+def _tasks(spark, work: float = 0) -> int:
+    """Tasks of a stage whose rows are small but costly, which would else be joined into few."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(work / PAIRS_A_TASK))
+
+
+class _Bench:
+    """A bounded number of members that others are held against, group by group; links within one component are not looked for."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den, self.docs, self.sets, self.ready = num, den, [], [], False
+        self.group: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.group.setdefault(x, x)) != x:
+            self.group[x] = self.group[up] if up in self.group else up
+            x = up
+        return x
+
+    def seat(self, doc: int, comp: int, tokens: np.ndarray) -> None:
+        self.docs.append((doc, comp))
+        self.sets.append(tokens)
+
+    def _bits(self, sets: list[np.ndarray]) -> np.ndarray:
+        flat = np.zeros((len(sets), self.width), bool)
+        for i, s in enumerate(sets):
+            flat[i, (s % np.uint64(self.width)).astype(np.int64)] = True
+        return np.packbits(flat, 1).view(np.uint64)
+
+    def links(self, others: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        if not self.docs:
+            return []
+        if not self.ready:
+            self.sizes = np.array([len(s) for s in self.sets])
+            self.width = 1 << max(9, min(16, int(4 * self.sizes.max()).bit_length()))
+            self.bits, self.ready = self._bits(self.sets), True
+        sizes, bits, out = np.array([len(s) for _, _, s in others]), self._bits([s for _, _, s in others]), []
+        for i, (doc, comp, tokens) in enumerate(others):
+            most = np.minimum(self.sizes - _popcount(self.bits & ~bits[i]), sizes[i] - _popcount(bits[i] & ~self.bits))
+            for j in np.flatnonzero((self.num + self.den) * most >= self.num * (self.sizes + sizes[i])).tolist():
+                other, theirs = self.docs[j]
+                a, b = self.find(comp), self.find(theirs)
+                if a != b and linked(tokens, self.sets[j], self.num, self.den):
+                    self.group[max(a, b)] = min(a, b)
+                    out.append((doc, other))
+        return out
+
+
+def _compare(members: DataFrame, others: DataFrame, num: int, den: int) -> DataFrame:
+    """(src, dst): links between a block's members and others of it; both (root, doc, comp, tokens), members with the block's size as members.
+
+    Members are dealt into seats of bounded number; each seat holds its members and meets every other of its block in
+    turn, a few at a time. Others are copied once for each seat, members are not.
+    """
+    seats = F.ceil(F.col("members") / SEATS)
+    dealt = members.select("root", F.pmod(F.xxhash64("doc", F.lit(6)), seats).alias("seat"), F.lit(0).alias("kind"), "doc", "comp", "tokens")
+    size = members.select("root", seats.alias("seats")).distinct()
+    copied = others.join(size, "root").select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("seats") - 1)).alias("seat"), F.lit(1).alias("kind"), "doc", "comp", "tokens")
+    work = others.join(size, "root").agg(F.sum(F.col("seats") * SEATS).alias("w")).first()["w"] or 0
 
     def run(batches):
+        now, bench, waiting = None, None, []
         for b in batches:
-            links, last, ready = [], None, []
-            others = b.column("others")
-            for n, (doc, comp, tokens) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc", "comp", "tokens")), strict=True)):
-                raw = others[n].as_py()
-                mark = tuple(x["doc"] for x in raw)
-                if mark != last:
-                    last, ready = mark, [(x["doc"], x["comp"], np.frombuffer(x["tokens"], np.uint64)) for x in raw]
+            links = []
+            for root, seat, kind, doc, comp, tokens in zip(*(b.column(c).to_pylist() for c in ("root", "seat", "kind", "doc", "comp", "tokens")), strict=True):
+                if (root, seat) != now:
+                    if waiting:
+                        links += bench.links(waiting)
+                    now, bench, waiting = (root, seat), _Bench(num, den), []
                 own = np.frombuffer(tokens, np.uint64)
-                links += [(doc, d) for d, c, s in ready if d != doc and (c is None or c != comp) and linked(own, s, num, den)]
+                if kind == 0:
+                    bench.seat(doc, comp, own)
+                else:
+                    waiting.append((doc, comp, own))
+                    if len(waiting) == PACK:
+                        links += bench.links(waiting)
+                        waiting = []
             yield _link_batch(links)
+        if waiting:
+            yield _link_batch(bench.links(waiting))
 
-    return pairs.select("doc", "comp", "tokens", "others").mapInArrow(run, "src long, dst long")
+    order = ["root", "seat", "kind"]
+    rows = dealt.union(copied).repartition(_tasks(members.sparkSession, work), "root", "seat").sortWithinPartitions(*order)
+    return rows.mapInArrow(run, "src long, dst long")
 
 
 def _large_links(members: DataFrame, path: str, num: int, den: int) -> DataFrame:
@@ -366,22 +437,16 @@ def _large_links(members: DataFrame, path: str, num: int, den: int) -> DataFrame
     local = save(_tree_links(dealt, ["root", "piece"], num, den, True), f"{path}/local")
     inside = local.where("dst IS NOT NULL").select("src", "dst")
     ranked = local.where("dst IS NULL").withColumn("r", F.row_number().over(W.partitionBy("root").orderBy(F.desc("score"), "src"))).where(F.col("r") <= HUBS)
-    other = F.struct(F.col("src").alias("doc"), F.lit(None).cast("long").alias("comp"), "tokens")
-    hubs = save(ranked.groupBy("root").agg(F.collect_list(other).alias("others")), f"{path}/hubs")
-    met = members.select("root", "doc", "tokens").join(hubs, "root").withColumn("comp", F.lit(None).cast("long"))
-    to_hubs = save(_compare(met, num, den), f"{path}/to_hubs")
+    hubs = ranked.select("root", F.col("src").alias("doc"), F.col("src").alias("comp"), "tokens")
+    to_hubs = save(_compare(members.withColumn("comp", F.col("doc")), hubs, num, den), f"{path}/to_hubs")
     links = inside.union(to_hubs)
     comp = components(links)
-    placed = members.select("root", "doc", "tokens").join(comp.withColumnRenamed("root", "comp"), F.col("doc") == F.col("node"), "left").select("root", "doc", "tokens", F.coalesce("comp", "doc").alias("comp"))
+    placed = members.join(comp.withColumnRenamed("root", "comp"), F.col("doc") == F.col("node"), "left").select("root", "members", "doc", "tokens", F.coalesce("comp", "doc").alias("comp"))
     placed = save(placed, f"{path}/placed")
     sizes = placed.groupBy("root", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("root").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"))
-    rest = placed.join(main, "root").where("comp != main")
-    n_rest = rest.groupBy("root").agg(F.count("*").alias("n_rest"))
-    packed = rest.join(n_rest, "root").withColumn("pack", F.pmod(F.xxhash64("doc", F.lit(8)), F.ceil(F.col("n_rest") / PACK)))
-    packed = save(packed.groupBy("root", "pack").agg(F.collect_list(F.struct("doc", "comp", "tokens")).alias("others")).select("root", "others"), f"{path}/packed")
-    more = save(_compare(placed.join(packed, "root"), num, den), f"{path}/more")
-    return links.union(more)
+    rest = save(placed.join(main, "root").where("comp != main").select("root", "doc", "comp", "tokens"), f"{path}/rest")
+    return links.union(save(_compare(placed, rest, num, den), f"{path}/more"))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100, miss: float = 0.0) -> DataFrame:
@@ -414,7 +479,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     comp = components(found)
     out = facts.select("doc", "n_shingles").join(comp, F.col("doc") == F.col("node"), "left")
     out = save(out.select(F.col("doc").alias(key), "n_shingles", F.coalesce("root", F.col("doc").cast("long")).alias("component_id")), f"{path}/groups")
-    discard(spark, *(f"{path}/{x}" for x in ("candidates", "facts", "heads", "members", "sizes", "large", "links", "local", "hubs", "to_hubs", "placed", "packed", "more")))
+    discard(spark, *(f"{path}/{x}" for x in ("candidates", "facts", "heads", "members", "sizes", "large", "links", "local", "to_hubs", "placed", "rest", "more")))
     return out
 
 

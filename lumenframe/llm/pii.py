@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import discard, filter_of, filter_passes, save, scratch
+from .common import discard, filter_of, filter_passes, save, scratch, take_over
 from .secrets import count, joined
 
 #: Kinds in the order of the base digest; terms follow.
@@ -112,6 +112,7 @@ def disclosing_terms(df: DataFrame, path: str, key: str = "doc_id", text: str =
     texts = df.where(F.col(text).isNotNull()).select(text)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("pii", lambda: None)
         for b in batches:
             rows = []
             for n, t in enumerate(b.column(0)):
@@ -134,6 +135,7 @@ def disclosing_terms(df: DataFrame, path: str, key: str = "doc_id", text: str =
     bits = spark.sparkContext.broadcast(filter_of(hashed, "hashed"))
 
     def occurring(batches):
+        take_over("pii", lambda: None)
         for b in batches:
             got: Counter = Counter()
             for t in b.column(0):
@@ -161,6 +163,7 @@ def term_spans(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str =
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
+        take_over("pii", lambda: None)
         for b in batches:
             at, words, starts, ends = [], [], [], []
             for n, t in enumerate(b.column(2)):
@@ -189,6 +192,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", terms: DataFram
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
+        take_over("pii", lambda: None)
         for b in batches:
             out = [[{"kind": KINDS[k], "start": s, "stop": e} for k, s, e in base_spans(t.as_py())] for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, _SPANS)], names=[key, "content", "spans"])
@@ -222,6 +226,7 @@ def sanitise(df: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     at = names.index(text)
 
     def run(batches):
+        take_over("pii", lambda: None)
         for b in batches:
             out = []
             for t, terms in zip(b.column(at), b.column(len(names)).to_pylist(), strict=True):

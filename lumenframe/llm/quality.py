@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, kept, mix64, sizes_in
+from .common import WordHash, kept, mix64, take_over
 
 BUCKETS = 10_000
 #: Labelled target texts that are fitted on, at most (expected).
@@ -36,6 +36,10 @@ EVIDENCE = 100.0
 _WORDS = WordHash()
 
 
+def _begin() -> None:
+    take_over("quality", _WORDS.memo.clear)
+
+
 def buckets(text: bytes) -> np.ndarray:
     """Buckets of a text's words and pairs of neighbouring words."""
     h = _WORDS(text.lower().split())
@@ -48,6 +52,7 @@ def fit(docs: DataFrame, target_keys: np.ndarray, key: str = "doc_id", text: str
     wanted = docs.sparkSession.sparkContext.broadcast(np.sort(target_keys))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         sums = np.zeros((2, BUCKETS))
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
@@ -76,6 +81,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
+        _begin()
         for b in batches:
             n, w = [], []
             for t in b.column(1):
