@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.stats import spatial_partition
 from .motion import _checkpoints
@@ -32,14 +33,38 @@ def radius_pairs(points: DataFrame, radius: float, key: str = "id", by: list[str
     return j.where(F.col("distance") <= radius).select(*by, "src", "dst", "distance")
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, singletons: bool = True) -> DataFrame:
+#: Edges up to which the driver labels components by union-find instead of rounds of jobs.
+SMALL_EDGES = 100_000
+
+
+def _labels_here(e: DataFrame) -> DataFrame:
+    """Labels of a small canonical edge table, by union-find on the driver."""
+    up: dict = {}
+
+    def find(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up.setdefault(y, y)
+            x = up[x]
+        return x
+
+    for a, b in e.collect():
+        a, b = find(a), find(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    kind = e.schema["src"].dataType
+    return e.sparkSession.createDataFrame([(x, find(x)) for x in list(up)], StructType([StructField("node", kind), StructField("label", kind)]))
+
+
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None, singletons: bool = True, small: int = SMALL_EDGES) -> DataFrame:
     """(node, label): label is the component's smallest node; singletons -1 if they are not wanted.
 
-    Labels fall to the least label of a node's neighbours, then to their label's label, until none falls; each
+    Beyond a counted number of edges, labels fall to the least label of a node's neighbours, then to their label's label, until none falls; each
     round is checkpointed, so plans stay short, and the rounds grow with the logarithm of the longest path.
     """
     _checkpoints(edges.sparkSession)
-    e = canonical(edges)
+    e = canonical(edges).checkpoint()
+    if e.count() <= small:
+        return _with_nodes(_labels_here(e), nodes, singletons)
     both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).checkpoint()
     labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("label")).checkpoint()
     while True:
@@ -53,10 +78,15 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, singl
         labels = new.select("node", "label")
         if new.where("label != was").isEmpty():
             break
+    return _with_nodes(labels, nodes, singletons)
+
+
+def _with_nodes(labels: DataFrame, nodes: DataFrame | None, singletons: bool) -> DataFrame:
     if nodes is None:
         return labels
     alone = F.col("id") if singletons else F.lit(-1)
-    return nodes.select(F.col(nodes.columns[0]).alias("id")).join(labels, F.col("id") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("label", alone).alias("label"))
+    named = nodes.select(F.col(nodes.columns[0]).alias("id"))
+    return named.join(labels, F.col("id") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("label", alone).alias("label"))
 
 
 def unit_norm(traces: DataFrame, key: str = "unit_id") -> DataFrame:

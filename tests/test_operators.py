@@ -58,10 +58,11 @@ def test_components_against_union_find(spark):
     for a, b in e.tolist():
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = graph.connected_components(spark.createDataFrame(pd.DataFrame(e, columns=["src", "dst"])), spark.range(n).select("id"))
-    assert {r["node"]: r["label"] for r in got.collect()} == {i: find(i) for i in range(n)}
+    for small in (0, graph.SMALL_EDGES):
+        got = graph.connected_components(spark.createDataFrame(pd.DataFrame(e, columns=["src", "dst"])), spark.range(n).select("id"), small=small)
+        assert {r["node"]: r["label"] for r in got.collect()} == {i: find(i) for i in range(n)}
     path = spark.createDataFrame([(i, i + 1) for i in range(100)], "src long, dst long")
-    assert graph.connected_components(path).where("label != 0").count() == 0
+    assert graph.connected_components(path, small=0).where("label != 0").count() == 0
     assert graph.connected_components(path, spark.range(103).select("id"), False).where("label = -1").count() == 2
 
 
