@@ -24,10 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, take_over
+from .common import blocks, bounded_batches, take_over
 
 #: Bytes of text that are encoded at once, words replayed at once, words remembered.
-BLOCK_BYTES, REPLAY_WORDS, MEMO_WORDS = 2_000_000, 40_000, 350_000
+BLOCK_BYTES, REPLAY_WORDS, MEMO_WORDS = 1_000_000, 20_000, 200_000
 
 
 class MergeReplay:
@@ -184,7 +184,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = f"`{key}` {kind}, ids array<int>" + ", decoded binary" * decode
-    return df.select(key, text).mapInArrow(run, schema)
+    return bounded_batches(df).select(key, text).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

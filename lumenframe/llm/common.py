@@ -58,6 +58,19 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a batch that goes to a Python worker at once.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with this session's Arrow batches bounded by bytes: long texts would else make batches of any size."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (conf.get(name, None) or "").rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x.astype(np.uint64, copy=True)

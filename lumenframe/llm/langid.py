@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, take_over
+from .common import blocks, bounded_batches, take_over
 
 BUCKETS = 1 << 13
 #: Added to each bucket's count, in parts of a language's mean count.
@@ -105,7 +105,7 @@ def held_out(key: str):
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learn from all labelled texts that are not held out."""
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
+    rows = bounded_batches(df).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("langid", lambda: None)
@@ -160,7 +160,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", carry: list[str] |
             yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *map(pa.array, cols, (pa.string(), pa.float64(), pa.bool_()))], names=[*own, "lang_pred", "score", "ambiguous"])
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in own), "lang_pred string, score double, ambiguous boolean"])
-    return df.select(*own, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return bounded_batches(df).select(*own, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def op6_langid(spark, sf_dir):

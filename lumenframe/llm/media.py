@@ -31,6 +31,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Samples in a row of the image, and the sample that fills the last row.
 WIDTH, PAD = 576, 255
 _SIGNATURE, _HEADER = b"\x89PNG\r\n\x1a\n", 33
@@ -122,7 +124,7 @@ def write_shards(df: DataFrame, root: str, key: str = "doc_id", content: str = "
             out.close()
 
     schema = f"`{key}` {kind}, n_bytes long, digest string, shard string, offset long, length long"
-    return df.select(key, content).mapInArrow(run, schema)
+    return bounded_batches(df).select(key, content).mapInArrow(run, schema)
 
 
 class _Reader:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, WordHash, blocks, components, discard, filter_of, mix64, save, scratch, take_over, union_all
+from .common import FILTER_BITS, WordHash, blocks, bounded_batches, components, discard, filter_of, mix64, save, scratch, take_over, union_all
 
 #: Keys of a batch; fewest shingles of a part that is a key; members and shingles of a block that one tree takes; hubs of a large block; members of a seat of it; members that are held against a seat at once; pairs of a task.
 BATCH_KEYS, PART_SHINGLES, BLOCK_MEMBERS, BLOCK_SHINGLES, HUBS, SEATS, PACK, PAIRS_A_TASK = 400_000, 3, 256, 2_000_000, 32, 256, 64, 4_000_000
@@ -174,7 +174,7 @@ def candidate_links(docs: DataFrame, key: str, text: str, size: int, num: int, d
         if held:
             yield flush()
 
-    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long"), F.col(text))
+    rows = bounded_batches(docs).where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long"), F.col(text))
     keyed = rows.mapInArrow(run, "key long, doc long")
     head = F.first("doc").over(W.partitionBy("key").orderBy("doc").rowsBetween(W.unboundedPreceding, 0))
     return keyed.select(F.col("doc").alias("src"), head.alias("dst")).where("src != dst").distinct()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import discard, filter_of, filter_passes, save, scratch, take_over
+from .common import bounded_batches, discard, filter_of, filter_passes, save, scratch, take_over
 from .secrets import count, joined
 
 #: Kinds in the order of the base digest; terms follow.
@@ -109,7 +109,7 @@ def _contexts(text: str):
 def disclosing_terms(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame | None:
     """(term, hashed) of terms whose disclosure of some entity reaches the threshold; None without candidates."""
     spark = df.sparkSession
-    texts = df.where(F.col(text).isNotNull()).select(text)
+    texts = bounded_batches(df).where(F.col(text).isNotNull()).select(text)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("pii", lambda: None)
@@ -197,7 +197,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", terms: DataFram
             out = [[{"kind": KINDS[k], "start": s, "stop": e} for k, s, e in base_spans(t.as_py())] for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, _SPANS)], names=[key, "content", "spans"])
 
-    rows = df.select(key, F.xxhash64(text).alias("content"), text)
+    rows = bounded_batches(df).select(key, F.xxhash64(text).alias("content"), text)
     base = rows.mapInArrow(run, f"`{key}` {kind}, content long, spans array<struct<kind:string,start:int,stop:int>>")
     if terms is not None:
         joined_rows = base.join(terms.withColumnRenamed(key, "_key").withColumnRenamed("content", "_content"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("content") == F.col("_content")), "left")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, kept, mix64, take_over
+from .common import WordHash, bounded_batches, kept, mix64, take_over
 
 BUCKETS = 10_000
 #: Labelled target texts that are fitted on, at most (expected).
@@ -64,7 +64,7 @@ def fit(docs: DataFrame, target_keys: np.ndarray, key: str = "doc_id", text: str
                     sums[1] += n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])], names=["bucket", "raw", "target"])
 
-    rows = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text)
+    rows = bounded_batches(docs).where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text)
     found = rows.mapInArrow(count, "bucket int, raw double, target double").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     at = found["bucket"].to_numpy()
@@ -90,7 +90,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "
                 w.append(float(shared.value[at].sum()) / max(1.0, len(at) / EVIDENCE))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(w, pa.float64())], names=[key, "n_grams", "log_weight"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_grams long, log_weight double")
+    return bounded_batches(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, n_grams long, log_weight double")
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float | None:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import take_over
+from .common import bounded_batches, take_over
 
 #: Kinds in the order that breaks ties.
 KINDS = ("assign", "access", "hex", "novel")
@@ -111,7 +111,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             out = [[{"kind": KINDS[k], "start": s, "stop": e} for s, k, e in find_spans(t.as_py())] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(span))], names=[key, "spans"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, spans array<struct<kind:string,start:int,stop:int>>")
+    return bounded_batches(df).select(key, text).mapInArrow(run, f"`{key}` {kind}, spans array<struct<kind:string,start:int,stop:int>>")
 
 
 def joined(spans, kinds=None):
