@@ -385,3 +385,26 @@ def test_search_is_exact_at_factor_one(spark):
         assert hit / total >= least
     none = ann.usable(df.limit(0), "vec_id", "embedding")
     assert ann.search(ann.build_index(none, scratch(spark, "ann")), none).count() == 0
+
+
+def test_ascii_splitting_equals_the_pattern():
+    import regex
+
+    fast, slow = bpe._ascii_split(PATTERN), regex.compile(PATTERN).findall
+    rng = random.Random(13)
+    pool = "ab Z09'stredmvl \t\n\r\x0b\x0c\x1c\x1d\x1f\x00.,!$-_"
+    for _ in range(3000):
+        t = "".join(rng.choice(pool) for _ in range(rng.randrange(40)))
+        assert fast(t) == slow(t)
+    assert bpe._ascii_split(r"(a)\b")("a a") == ["a", "a"]
+
+
+def test_bounded_memo_changes_nothing(monkeypatch):
+    ranks = bpe.read_ranks(open(RANKS, "rb").read())
+    rng = random.Random(14)
+    texts = ["".join(rng.choice("abcd e") for _ in range(60)) for _ in range(200)]
+    want = bpe.MergeReplay(ranks, PATTERN).encode_block(texts)
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 40)
+    monkeypatch.setattr(bpe, "REPLAY_WORDS", 7)
+    small = bpe.MergeReplay(ranks, PATTERN)
+    assert [small.encode_block([t])[0] for t in texts] == want
