@@ -9,7 +9,8 @@ points leave a source short of, or give it beyond its target (a few blocks), is
 or cut, so that each source's words come to its target exactly.
 
 Running sums over a source's documents and ranks over its slots are taken in two levels
-(a bucket's total, then within the bucket), so no source need fit a task. The number of
+(a bucket's total, then within the bucket), so no source need fit a task; there are as many buckets as the
+square root of the rows, so neither level holds more than about that of a source. The number of
 sources is that of the mix's recipe: their sizes are collected, one row each.
 
 Defined results: null text has size 0 and is taken 0 times; null sources are one source,
@@ -19,14 +20,16 @@ empty table gives an empty schedule; sources without words have target 0.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Weights of the sources in order, repeating; share of all words that is taken; passes over a source.
 WEIGHTS, SHARE, PASSES = (5, 2, 1), (3, 2), 2
-#: Words in a slot; rows in a bucket of a running sum; slots in a bucket of ranks.
-SLOT_WORDS, BUCKET_ROWS, BUCKET_SLOTS = 4096, 4096, 1 << 16
+#: Words in a slot.
+SLOT_WORDS = 4096
 _PHI = 0.6180339887498949
 
 
@@ -82,7 +85,7 @@ def _slots(spark, recipe: DataFrame, parts: int) -> DataFrame:
     bounds = F.array(*[F.lit(r["high"]) for r in rows]) if rows else F.array().cast("array<double>")
     point = F.expr(f"(id + 0.5D) * {_PHI}D - floor((id + 0.5D) * {_PHI}D)")
     drawn = spark.range(0, n, 1, max(1, parts)).withColumn("no", F.least(F.size(F.filter(bounds, lambda b: b <= point)), F.lit(max(0, len(rows) - 1))))
-    ranked = _running(drawn, ["no"], ["id"], F.lit(1).cast("long"), (F.col("id") / BUCKET_SLOTS).cast("long"), "block")
+    ranked = _running(drawn, ["no"], ["id"], F.lit(1).cast("long"), F.floor(F.col("id") / max(1, math.isqrt(n))).cast("long"), "block")
     ends = recipe.select("no", "blocks")
     placed = ranked.join(F.broadcast(ends), "no").where("block < blocks").select("no", "block", F.col("id").alias("slot"))
     counts = drawn.groupBy("no").agg(F.count("*").alias("drawn"))
@@ -102,7 +105,7 @@ def _placed(df: DataFrame, key: str, text: str, source: str, weights, share, pas
     # one row for each source of the recipe: its own table, not the data's
     rows = rows.join(F.broadcast(recipe.select("no", F.col("source").alias("_s"), "source_size", "target", "words")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("shuffled", F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")))
-    buckets = max(1, -(-total // BUCKET_ROWS))
+    buckets = max(1, math.isqrt(total))
     bucket = F.floor(F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("double") / float(1 << 32) * buckets).cast("long")
     rows = kept(_running(rows, ["no"], ["shuffled", "key", "size"], F.col("size"), bucket, "start"))
     return rows, recipe, total
