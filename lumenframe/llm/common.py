@@ -94,7 +94,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     def stars(e: DataFrame, both: bool) -> DataFrame:
         sym = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else e
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = sym.join(low, "u")
+        # a key of its own on the small side: both sides are then dealt for this join, and Spark may split a hub's rows
+        low = low.withColumn("k", F.col("u").bitwiseXOR(F.lit(0).cast("long")))
+        out = sym.withColumn("k", F.col("u").bitwiseXOR(F.lit(0).cast("long"))).join(low.drop("u"), "k").drop("k")
         if both:
             out = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
