@@ -1,16 +1,20 @@
 """PII: fixed patterns, and information-theoretic sanitisation of terms that reveal them.
 
 Patterns (kinds email, ip, card, phone) give the base spans, each in linear time. Their
-values are the protected entities. The words near an entity are candidate terms; over all
-documents it is counted in how many distinct contexts a term stands near an entity, in how
-many documents the term occurs and in how many the entity does. A term discloses an entity
-by PMI(term; entity) / IC(entity), where IC is the information content -log p(entity): 1
-means that whoever reads the term knows the entity. Terms at or above DISCLOSURE, seen in
-SUPPORT distinct contexts or more (so that copies of one text count once), are spans of
-kind term wherever they occur; sanitise() generalises every span to its kind.
+values, normalised (normal), are the protected entities. The words near an entity are
+candidate terms. All counts are of distinct texts, so that copies of a text count once: those
+with the term near the entity, with the term, with the entity, and all. A term discloses an
+entity by PMI(term; entity) / IC(entity), where IC is the information content -log p(entity):
+1 means that whoever reads the term knows the entity. PMI takes the lower confidence bound
+(Wilson, Z) of p(entity | term), so what is asked of a term grows as its evidence falls; the
+evidence is the number of distinct contexts, or of texts where these are fewer, and two are
+the least. Terms at or above DISCLOSURE are spans of kind term wherever they occur;
+sanitise() generalises every span to its kind. An entity with one context discloses no term:
+any rare word beside it would do.
 
 Counts cover all documents. Words go to a shuffle only if they pass a fixed-size filter of
-candidate terms, pre-counted in each task; joins decide exactly afterwards.
+candidate terms, pre-counted in each task; only those of texts that have copies travel with
+the text's hash. Joins decide exactly afterwards.
 
 Defined results: null and empty text have no spans; repeated rows repeat; a table without
 entities has no terms; other columns are carried by sanitise() only; an empty table gives an empty result.
@@ -33,8 +37,10 @@ from .secrets import count, joined
 #: Kinds in the order of the base digest; terms follow.
 KINDS = ("email", "ip", "card", "phone", "term")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
-#: Words on either side of an entity that are candidates; distinct contexts asked for; disclosure threshold; least letters of a term.
-NEAR, SUPPORT, DISCLOSURE, TERM_LETTERS = 8, 5, 0.9, 4
+#: Words on either side of an entity that are candidates; disclosure threshold; least letters of a term.
+NEAR, DISCLOSURE, TERM_LETTERS = 8, 0.9, 4
+#: Least evidence, as one context tells nothing of a term; standard errors of the confidence bound.
+EVIDENCE, Z = 2, 1.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -93,12 +99,19 @@ def terms_of(text: str) -> Counter:
     return Counter(w for w in _LETTERS.findall(text.lower()) if len(w) >= TERM_LETTERS)
 
 
+def normal(kind: int, value: str) -> str:
+    """One spelling of an entity's value: digits of cards and phones, numbers of addresses, lower case."""
+    if kind == 1:
+        return ".".join(str(int(p)) for p in value.split("."))
+    return "".join(_DIGIT.findall(value)) if kind > 1 else value.lower()
+
+
 def _contexts(text: str):
     """(entity, context, words) of each base span: hashes of its value and its neighbours, and the candidate terms there."""
     spans = base_spans(text)
     covered = sorted((s, e) for _, s, e in spans)
     for kind, start, end in spans:
-        entity = xxh3_64_intdigest(f"{kind}:{text[start:end].lower()}".encode())
+        entity = xxh3_64_intdigest(f"{kind}:{normal(kind, text[start:end])}".encode())
         sides = []
         for words, take in ((text[max(0, start - 400) : start].split(), slice(-NEAR, None)), (text[end : end + 400].split(), slice(0, NEAR))):
             sides += words[take]
@@ -109,46 +122,68 @@ def _contexts(text: str):
 def disclosing_terms(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame | None:
     """(term, hashed) of terms whose disclosure of some entity reaches the threshold; None without candidates."""
     spark = df.sparkSession
-    texts = bounded_batches(df).where(F.col(text).isNotNull()).select(text)
+    texts = bounded_batches(df).where(F.col(text).isNotNull()).select(text, F.xxhash64(text).alias("content"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("pii", lambda: None)
         for b in batches:
-            rows = []
-            for n, t in enumerate(b.column(0)):
-                t = t.as_py()
-                seen = set()
-                for entity, context, words in _contexts(t):
-                    rows += [(_signed(entity), _signed(context), w, n if entity not in seen else -1) for w in words or {""}]
-                    seen.add(entity)
-            cols = list(zip(*rows, strict=True))[:3] if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["entity", "context", "term"])
-
-    pairs = save(texts.mapInArrow(near, "entity long, context long, term string").distinct(), f"{path}/near")
-    entities = pairs.groupBy("entity").agg(F.countDistinct("context").alias("of_entity"))
-    together = pairs.where("term != ''").groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
-    together = save(together.join(entities, "entity"), f"{path}/together")
-    candidates = save(together.select("term").distinct().select("term", F.xxhash64("term").alias("spark_hash")), f"{path}/candidates")
+            rows = [
+                (_signed(entity), _signed(context), c, w)
+                for t, c in zip(b.column(0), b.column(1).to_pylist(), strict=True)
+                for entity, context, words in _contexts(t.as_py())
+                for w in words or {""}
+            ]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["entity", "context", "content", "term"])
+
+    pairs = save(texts.mapInArrow(near, "entity long, context long, content long, term string").distinct(), f"{path}/near")
+    entities = pairs.groupBy("entity").agg(F.countDistinct("content").alias("of_entity"))
+    named = pairs.where("term != ''")
+    contexts = named.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= EVIDENCE)
+    both = named.select("entity", "term", "content").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= EVIDENCE)
+    contents = save(texts.groupBy("content").agg(F.count("*").alias("rows")), f"{path}/contents")
+    total = float(max(contents.count(), 2))
+
+    def discloses(of_term):
+        share = F.col("both") / of_term
+        n = F.least("contexts", "both") / share  # as many texts of the term as the evidence stands for
+        bound = (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+        information = F.log(F.lit(total) / F.col("of_entity"))
+        return (F.log(bound) + information >= DISCLOSURE * information) & (F.col("of_entity") < total)
+
+    # a term occurs in all texts where it stands near some entity; those that this alone rules out need no count
+    near_any = named.select("term", "content").distinct().groupBy("term").agg(F.count("*").alias("least_of_term"))
+    together = both.join(contexts, ["entity", "term"]).join(entities, "entity").join(near_any, "term")
+    together = save(together.where(discloses(F.col("least_of_term"))), f"{path}/together")
+    candidates = save(together.select("term").distinct(), f"{path}/candidates")
     if candidates.isEmpty():
         return None
-    hashed = save(candidates.select("term").mapInArrow(_hash_terms, "term string, hashed long"), f"{path}/hashed")
+    hashed = save(candidates.mapInArrow(_hash_terms, "term string, hashed long"), f"{path}/hashed")
     bits = spark.sparkContext.broadcast(filter_of(hashed, "hashed"))
+    copied = spark.sparkContext.broadcast(filter_of(contents.where("rows > 1"), "content"))
 
     def occurring(batches):
         take_over("pii", lambda: None)
         for b in batches:
-            got: Counter = Counter()
-            for t in b.column(0):
-                got.update(w for w in terms_of(t.as_py()) if filter_passes(bits.value, xxh3_64_intdigest(w.encode())))
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["term", "n"])
-
-    spread = texts.mapInArrow(occurring, "term string, n long").groupBy("term").agg(F.sum("n").alias("of_term"))
-    total = df.count()
-    scored = together.join(spread, "term")
-    # contexts of the pair stand for documents: copies count once on one side, and every document on the other
-    pmi = F.log(F.col("both") * F.lit(float(max(total, 2))) / (F.col("of_entity") * F.greatest("of_term", "both")))
-    information = F.log(F.lit(float(max(total, 2))) / F.col("of_entity"))
-    found = scored.where(pmi >= DISCLOSURE * information).where(F.col("of_entity") < total).select("term").distinct()
+            once: Counter = Counter()
+            again: dict[int, list[str]] = {}
+            for t, c in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                if c in again:
+                    continue
+                words = [w for w in terms_of(t.as_py()) if filter_passes(bits.value, xxh3_64_intdigest(w.encode()))]
+                if filter_passes(copied.value, c):
+                    again[c] = words
+                else:
+                    once.update(words)
+            rows = [(w, None, n) for w, n in once.items()] + [(w, c, 1) for c, words in again.items() for w in words]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["term", "content", "n"])
+
+    # rows without a content add up; those of a text that may have copies count once for each text
+    words = texts.mapInArrow(occurring, "term string, content long, n long")
+    by_text = words.groupBy("term", "content").agg(F.sum("n").alias("n"))
+    spread = by_text.groupBy("term").agg(F.sum(F.when(F.col("content").isNull(), F.col("n")).otherwise(1)).alias("of_term"))
+    found = together.join(spread, "term").where(discloses(F.greatest("of_term", "least_of_term"))).select("term").distinct()
     return save(found.join(hashed, "term"), f"{path}/found")
 
 
@@ -247,7 +282,7 @@ def op5_pii(spark, sf_dir):
     docs, path = table(spark, sf_dir, "documents"), scratch(spark, "pii")
     found = disclosing_terms(docs, path)
     terms = None if found is None else save(term_spans(docs, found), f"{path}/terms")
-    discard(spark, f"{path}/near", f"{path}/together")
+    discard(spark, f"{path}/near", f"{path}/together", f"{path}/contents")
     out = scan(docs, terms=terms)
     spans = F.col("spans")
     counts = [count(spans, k).alias(f"n_{k}") for k in KINDS]

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -163,6 +164,32 @@ def test_copies_of_one_text_disclose_nothing(spark):
     assert pii.disclosing_terms(docs(spark, texts), scratch(spark, "pii")) is None
 
 
+def found_terms(df, tag="pii"):
+    out = pii.disclosing_terms(df, scratch(df.sparkSession, tag))
+    return set() if out is None else {r["term"] for r in out.collect()}
+
+
+def test_two_contexts_disclose_an_entity_in_any_spelling(spark):
+    rng = random.Random(15)
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)]
+    texts = [prose(rng, words, 40) for _ in range(300)]
+    for value in ("+1 (663) 555-6869", "+1 663 555 6869"):
+        texts.append(f"{prose(rng, words, 12)} zanzibarite {value} {prose(rng, words, 12)}")
+    texts.append(f"{prose(rng, words, 12)} onceonly jo@example.org {prose(rng, words, 12)}")
+    assert found_terms(docs(spark, texts)) == {"zanzibarite"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the standard tables are not here")
+def test_terms_planted_in_the_given_table_are_found(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    near = [r["text"] for r in df.where("length(text) > 200").orderBy("doc_id").limit(6).collect()]
+    names, entities = ("zanzibarite", "quokkaford", "wombatine"), ("jo.doe@example.org", "+44 20 7946 0018", "203.0.113.77")
+    planted = [(10**9 + i, f"{t[:100]} {names[i % 3]} {entities[i % 3]} {t[-90:]}") for i, t in enumerate(near)]
+    more = spark.createDataFrame(planted, "doc_id long, text string")
+    both = df.select("doc_id", "text").union(more)
+    assert found_terms(both) >= set(names)
+
+
 # --- 6: language -----------------------------------------------------------
 
 
