@@ -106,16 +106,29 @@ def normal(kind: int, value: str) -> str:
     return "".join(_DIGIT.findall(value)) if kind > 1 else value.lower()
 
 
+def _inside(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    """Words inside entities, by one sweep over the merged spans."""
+    out: set[str] = set()
+    merged: list[list[int]] = []
+    for start, end in sorted((s, e) for _, s, e in spans):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    for start, end in merged:
+        out.update(_LETTERS.findall(text[start:end].lower()))
+    return out
+
+
 def _contexts(text: str):
     """(entity, context, words) of each base span: hashes of its value and its neighbours, and the candidate terms there."""
     spans = base_spans(text)
-    covered = sorted((s, e) for _, s, e in spans)
+    inside = _inside(text, spans)
     for kind, start, end in spans:
         entity = xxh3_64_intdigest(f"{kind}:{normal(kind, text[start:end])}".encode())
         sides = []
         for words, take in ((text[max(0, start - 400) : start].split(), slice(-NEAR, None)), (text[end : end + 400].split(), slice(0, NEAR))):
             sides += words[take]
-        inside = {w for s, e in covered for w in _LETTERS.findall(text[s:e].lower())} if len(covered) < 50 else set()
         yield entity, xxh3_64_intdigest(" ".join(sides).lower().encode()), {t for w in sides for t in terms_of(w)} - inside
 
 

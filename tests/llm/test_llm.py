@@ -179,6 +179,19 @@ def test_two_contexts_disclose_an_entity_in_any_spelling(spark):
     assert found_terms(docs(spark, texts)) == {"zanzibarite"}
 
 
+def test_copies_do_not_dilute_a_term(spark):
+    rng = random.Random(16)
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)]
+    texts = [prose(rng, words, 40) for _ in range(300)]
+    texts += 40 * [f"{prose(rng, words, 12)} zanzibarite jo.doe@example.org {prose(rng, words, 12)}" for _ in range(5)]
+    assert found_terms(docs(spark, texts).repartition(3)) == {"zanzibarite"}
+
+
+def test_words_inside_many_entities_are_no_terms():
+    text = " ".join(f"zanzibarite{i}@kakapo.org" for i in range(60)) + " near kakapo"
+    assert all("kakapo" not in words and "zanzibarite" not in words for _, _, words in pii._contexts(text))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the standard tables are not here")
 def test_terms_planted_in_the_given_table_are_found(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
