@@ -13,7 +13,9 @@ against all rows), and each pair gives the best k of every query there, which a
 limited to k rows puts together. A shard and a block are bounded, whatever the data.
 
 Scores are sums in order of the components, in double precision, on the original vectors,
-so equal vectors have equal scores. Equal vectors of a shard are one entry of its tree.
+so equal vectors have equal scores. Equal vectors of a shard are one entry of its tree. Where
+entries beyond those that a search holds may tie with its k-th row, all of the shard at or
+above that score are taken.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no
 part; vectors meet those of their own length only; rows with the query's own key are no candidates; ties go to the
@@ -122,22 +124,31 @@ class Shard:
             visit(inner, rows[~near & to_inner])
 
         visit(0, np.arange(len(q)))
-        entry = np.where(place >= 0, self.order[place], 0)
-        score = np.zeros(place.shape)
-        for i in range(q.shape[1]):
-            score += q[:, i : i + 1] * self.vectors[entry, i].astype(np.float64)
-        score = np.where(place >= 0, score, -np.inf)
+        low = best.min(1)
+        slack = 1e-15 * q.shape[1] * (1 + np.sqrt((q * q).sum(1)) * self.norm)
         out = []
         for n in range(len(q)):
-            rows = []
-            for s, x in zip(score[n], entry[n], strict=True):
-                if s > -np.inf:
-                    own = self.keys[self.starts[x] : self.starts[x + 1]][: k + 1 + int((self.keys[self.starts[x] : self.starts[x + 1]] == keys[n]).sum())]
-                    rows += [(-s, int(v)) for v in own if v != keys[n]]
-            rows.sort()
-            out += [(int(keys[n]), v, -s) for s, v in rows[:k]]
+            found, score = self._best(keys[n], q[n], self.order[place[n][place[n] >= 0]], k)
+            least = score[k - 1] if len(score) == k else -np.inf
+            if want < len(self.order) and low[n] >= least - slack[n]:  # entries that tie with the k-th may have been left out
+                band = self.order[ordered @ q[n] >= least - slack[n]]
+                found, score = self._best(keys[n], q[n], band, k)
+            out += [(int(keys[n]), int(v), float(s)) for v, s in zip(found, score, strict=True)]
         return out
 
+    def _best(self, key: int, q: np.ndarray, entries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and exact scores of the best k rows of some entries, by score, then key; the query's own key is left out."""
+        score = np.zeros(len(entries))
+        for i in range(len(q)):
+            score += q[i] * self.vectors[entries, i].astype(np.float64)
+        starts = self.starts[entries]
+        sizes = np.minimum(self.starts[entries + 1] - starts, k + int((self.keys == key).sum()))
+        at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        rows, score = self.keys[at], np.repeat(score, sizes)
+        rows, score = rows[rows != key], score[rows != key]
+        by = np.lexsort((rows, -score))[:k]
+        return rows[by], score[by]
+
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, vector array<float>, dim) of vectors that take part."""

@@ -427,6 +427,22 @@ def test_search_is_exact_at_factor_one(spark):
     assert ann.search(ann.build_index(none, scratch(spark, "ann")), none).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["binary", "one-hot"])
+def test_ties_of_different_vectors_go_to_the_smaller_key(kind):
+    rng = np.random.default_rng(19)
+    x = rng.integers(0, 2, (1500, 12)) if kind == "binary" else np.eye(700)[rng.permutation(700)]
+    x = x[(x != 0).any(1)].astype(np.float32)
+    keys = rng.permutation(len(x)) + 1
+    shard = ann.Shard(keys, x, float(np.sqrt((x.astype(float) ** 2).sum(1).max())))
+    got = collections.defaultdict(list)
+    for q, v, s in shard.search(keys[:40], x[:40], 20, 1.0):
+        got[q].append((v, s))
+    for key, q in zip(keys[:40].tolist(), x[:40], strict=True):
+        s = x.astype(float) @ q.astype(float)
+        want = sorted(((-a, b) for a, b in zip(s.tolist(), keys.tolist(), strict=True) if b != key))[:20]
+        assert got[key] == [(b, -a) for a, b in want]
+
+
 def test_ascii_splitting_equals_the_pattern():
     import regex
 
