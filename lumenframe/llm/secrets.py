@@ -3,9 +3,9 @@
 Patterns (kinds assign, access, hex) give the base spans. The method adds kind novel: every
 run of token characters that follows a sensitive word within a short distance is a
 candidate. A compressor primed with identifiers and words of code, and with the text around
-the candidate, measures how many bytes the candidate adds; a string that stays nearly
-incompressible cannot have been built from known identifiers or its surroundings, and is
-reported. A candidate that a base span covers is not reported again.
+the candidate, measures how many bytes the candidate adds; a string that adds about what a
+random one of its own alphabet adds cannot have been built from known identifiers or its
+surroundings, and is reported. A candidate that one base span covers wholly is not reported again.
 
 Runs over UTF-8 bytes in linear time; spans are given in code points, end exclusive. Only
 texts that hold a sensitive word are searched for assignments and candidates.
@@ -16,6 +16,7 @@ not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ _SENSITIVE = re.compile(rb"password|passwd|passphrase|secret|token|api_?key|cred
 _SENSITIVE_WORDS = (*_ASSIGN_WORDS, b"passphrase", b"credential", b"private", b"access", b"authorization", b"bearer", b"client")
 REACH = 48
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=~!@$%^*-]{12,}")
-#: A candidate's added bytes divided by its length: at least this, for a report.
+#: A candidate's added bytes divided by those of a random string of its length and alphabet: at least this, for a report.
 NOVELTY = 0.72
 #: Bytes of text on either side that prime the compressor.
 AROUND = 512
@@ -58,12 +59,28 @@ def added_bytes(candidate: bytes, around: bytes) -> int:
     return len(c.compress(candidate)) - len(c.compress(b""))
 
 
+def random_bytes(token: bytes) -> float:
+    """Bytes that a random string of this length adds: its entropy and four bits a letter for a code table, or itself where that is less.
+
+    The alphabet is hexadecimal digits of one case, or the kinds of letters that occur and each sign.
+    """
+    used = set(token)
+    if used <= set(b"0123456789"):
+        letters = 10
+    elif used <= set(b"0123456789abcdef") or used <= set(b"0123456789ABCDEF"):
+        letters = 16
+    else:
+        kinds = (b"0123456789", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        letters = sum(len(kind) for kind in kinds if used & set(kind)) + len(used.difference(*kinds))
+    return min(len(token), len(token) * math.log2(letters) / 8 + letters / 2)
+
+
 def _is_novel(data: bytes, start: int, end: int) -> bool:
     token = data[start:end]
-    if not (re.search(rb"[0-9]", token) and re.search(rb"[A-Za-z]", token)) or len(set(token)) < 8:
+    if len(set(token)) == 1:  # one letter repeated has no entropy
         return False
     around = data[max(0, start - AROUND) : start] + b" " + data[end : end + AROUND]
-    return added_bytes(token, around) >= NOVELTY * len(token)
+    return added_bytes(token, around) >= NOVELTY * random_bytes(token)
 
 
 def find_spans(text: str | None) -> list[tuple[int, int, int]]:
@@ -80,15 +97,16 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     found += ((m.start(), 2, m.end()) for m in _HEX.finditer(data))
     if any(w in low for w in _SENSITIVE_WORDS):
         base = sorted((s, e) for s, _, e in found)
-        done = at = 0
+        done = at = covered = 0
         for m in _SENSITIVE.finditer(data):
             stop = m.end() + REACH
             place = max(m.end(), done)
             while (c := _CANDIDATE.search(data, place)) and c.start() <= stop:
                 place = done = c.end()
-                while at < len(base) and base[at][1] <= c.start():
+                while at < len(base) and base[at][0] <= c.start():
+                    covered = max(covered, base[at][1])
                     at += 1
-                if not (at < len(base) and base[at][0] < c.end()) and _is_novel(data, *c.span()):
+                if covered < c.end() and _is_novel(data, *c.span()):
                     found.append((c.start(), 3, c.end()))
     if found and len(data) != len(text):  # bytes to code points
         marks = sorted({x for s, _, e in found for x in (s, e)})

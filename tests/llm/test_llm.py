@@ -128,6 +128,18 @@ def test_secret_spans_equal_brute_force_and_novelty_adds(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_secrets_of_any_alphabet_and_past_a_base_span():
+    rng = random.Random(17)
+    for letters, n in (("0123456789ABCDEF", 64), ("0123456789ABCDEF", 96), ("0123456789ABCDEF", 128), ("abcdefghijklmnopqrstuvwxyz", 24), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 20), ("0123456789", 20)):
+        for _ in range(20):
+            secret = "".join(rng.choice(letters) for _ in range(n))
+            assert (18, 3, 18 + n) in secrets.find_spans(f"the passphrase is {secret} here")
+    text = "password: abcdef!Gh7$kLm9Qz2xW"
+    assert secrets.find_spans(text) == [(0, 0, 16), (10, 3, len(text))]
+    assert secrets.find_spans("password=abcdefGh7kLm9Qz2xW") == [(0, 0, 27)]
+    assert not secrets.find_spans("the secret is production_environment or xxxxxxxxxxxxxxxxxxxx")
+
+
 def brute_pii(t):
     digits = lambda s: re.sub("[^0-9]", "", s)
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
