@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,26 +110,56 @@ def edge_correlation(edges: DataFrame, traces: DataFrame, key: str = "unit_id",
     return edges.join(a, "src").join(b, "dst").withColumn("corr", F.coalesce(dot, F.lit(0.0))).drop("za", "zb")
 
 
-def kd_partition(points: DataFrame, target: int, key: str = "id", levels: int | None = None) -> DataFrame:
+#: Points of a part that one task takes.
+TASK_POINTS = 1_000_000
+
+
+def kd_partition(points: DataFrame, target: int, key: str = "id") -> DataFrame:
     """(key, part): halves at the median along the longer axis until parts hold target points at most.
 
-    Each level is one pass: a part's extent and its median by exact counting of ranks inside the part. Parts fit a
-    task from the first levels on; the root's ranks come from a range sort.
+    Medians are exact ranks, ties in the order of the split before, at first of the key. Halves of n points are
+    n // 2 and the rest, so parts' labels, depth first, follow from n. A part above what one task takes is split by the
+    positions of a range sort; the others are each split in a task, with the same labels.
     """
     n = points.count()
-    depth = levels if levels is not None else max(0, int(np.ceil(np.log2(max(1, n) / target))))
-    if n <= 1_000_000:  # positions of nodes: a few bytes each, one task takes them all
-        def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(key)
-            return pd.DataFrame({key: pdf[key], "part": spatial_partition(pdf[["height", "width"]].to_numpy(), target)})
-
-        return points.select(key, "height", "width", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(kernel, f"`{key}` {points.schema[key].dataType.simpleString()}, part long")
-    out = points.select(key, "height", "width").withColumn("part", F.lit(0).cast("long"))
-    for _ in range(depth):
-        ends = out.groupBy("part").agg((F.max("width") - F.min("width") > F.max("height") - F.min("height")).alias("wide"), F.percentile_approx("height", 0.5, 10_000).alias("mh"), F.percentile_approx("width", 0.5, 10_000).alias("mw"))
-        right = F.when(F.col("wide"), F.col("width") >= F.col("mw")).otherwise(F.col("height") >= F.col("mh"))
-        out = out.join(ends, "part").select(key, "height", "width", (F.col("part") * 2 + right.cast("long")).alias("part"))
-    return out.select(key, "part")
+    known: dict[int, int] = {}
+
+    def leaves(m: int) -> int:
+        if m not in known:
+            known[m] = 1 if m <= target else leaves(m // 2) + leaves(m - m // 2)
+        return known[m]
+
+    out = points.select(key, "height", "width", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("_start"), F.lit(n).cast("long").alias("_size"), F.col(key).alias("_order"))
+    sizes = {n}
+    while any(m > max(TASK_POINTS, target) for m in sizes):
+        _checkpoints(points.sparkSession)
+        ends = out.groupBy("part").agg((F.max("width") - F.min("width") > F.max("height") - F.min("height")).alias("_wide"))
+        at = F.when(F.col("_wide"), F.col("width")).otherwise(F.col("height"))
+        # a row for each part above a task's size is broadcast, and for each partition of the sort
+        placed = out.join(F.broadcast(ends), "part").orderBy("part", at, "_order").withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+        placed = placed.withColumn("_task", F.shiftright("_id", 33))
+        before, rows = 0, []
+        for r in sorted(placed.groupBy("_task").count().collect()):
+            rows.append((r["_task"], before))
+            before += r["count"]
+        placed = placed.join(F.broadcast(points.sparkSession.createDataFrame(rows, "_task long, _before long")), "_task")
+        placed = placed.withColumn("_order", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1))
+        large = [m for m in sizes if m > max(TASK_POINTS, target)]  # two sizes at most, a point apart
+        half, step = F.lit(0).cast("long"), F.lit(0).cast("long")
+        for m in large:
+            half = F.when(F.col("_size") == m, F.lit(m // 2)).otherwise(half)
+            step = F.when(F.col("_size") == m, F.lit(leaves(m // 2))).otherwise(step)
+        right = F.col("_order") - F.col("_start") >= half
+        size = F.when(right, F.col("_size") - half).otherwise(half)
+        out = placed.select(key, "height", "width", F.when(right, F.col("part") + step).otherwise(F.col("part")).alias("part"), F.when(right, F.col("_start") + half).otherwise(F.col("_start")).alias("_start"), size.alias("_size"), "_order").checkpoint()
+        sizes = (sizes - set(large)) | {x for m in large for x in (m // 2, m - m // 2)}
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_order")
+        return pd.DataFrame({key: pdf[key], "part": pdf["part"] + spatial_partition(pdf[["height", "width"]].to_numpy(), target)})
+
+    out = out.select(F.col("part").alias("_part"), "*")
+    return out.groupBy("_part").applyInPandas(kernel, f"`{key}` {points.schema[key].dataType.simpleString()}, part long")
 
 
 def partition_diagnostics(parts: DataFrame, edges: DataFrame, key: str = "id", n_frames: int = 0, bytes_per_sample: int = 4) -> DataFrame:

@@ -178,3 +178,19 @@ def test_stream_summary_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("summary").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("summary").agg(F.sum("n")).first()[0] == 200
+
+
+@pytest.mark.parametrize(("n", "target"), [(333, 5), (64, 16), (1, 1), (0, 3)])
+def test_large_parts_split_as_one_task_would(spark, monkeypatch, n, target):
+    from lumenframe.functions.stats import spatial_partition
+
+    rng = np.random.default_rng(21)
+    xy = rng.integers(0, 9, (n, 2)).astype(float)
+    xy[: n // 3] = 4.0  # a hot point
+    ids = rng.permutation(n)
+    df = spark.createDataFrame([(int(i), float(h), float(w)) for i, (h, w) in zip(ids, xy, strict=True)], "id long, height double, width double")
+    by = np.argsort(ids)
+    want = dict(zip(ids[by].tolist(), spatial_partition(xy[by], target).tolist(), strict=True)) if n else {}
+    monkeypatch.setattr(graph, "TASK_POINTS", 40)
+    got = {r["id"]: r["part"] for r in graph.kd_partition(df.repartition(3), target).collect()}
+    assert got == want and (not n or max(np.bincount(list(got.values()))) <= target)
