@@ -484,14 +484,32 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
 
 def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100, miss: float = 0.0) -> DataFrame:
-    """docs with one row of each group: that of the smallest key. Rows with null keys stay."""
+    """docs with one row of each group: that of the smallest key. Rows with null keys stay.
+
+    Where keys repeat, their rows are told apart by all columns, and a hash of these orders rows of one key;
+    rows equal in every column are one.
+    """
+    again = docs.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > 1)
+    if not again.isEmpty():
+        path = scratch(docs.sparkSession, "rows")
+        marks = [F.xxhash64(*docs.columns).alias("_h1"), F.xxhash64(F.lit(5), *docs.columns).alias("_h2")]
+        marked = docs.select("*", *marks)
+        order = [F.col(key), F.col("_h1"), F.col("_h2")]
+        ids = marked.where(F.col(key).isNotNull()).select(*order).distinct().orderBy(*order)
+        ids = save(ids.withColumn("_row", F.monotonically_increasing_id()), f"{path}/ids")
+        rows = save(marked.join(ids, [key, "_h1", "_h2"], "left").select(*docs.columns, "_row"), f"{path}/rows")
+        rows = rows.where("_row IS NOT NULL").dropDuplicates(["_row"]).unionByName(rows.where("_row IS NULL"))
+        rows = save(rows, f"{path}/once")
+        discard(docs.sparkSession, f"{path}/ids", f"{path}/rows")
+        return _heads(rows, "_row", text, size, num, den, miss).select(*docs.columns)
+    return _heads(docs, key, text, size, num, den, miss).select(*docs.columns)
+
+
+def _heads(docs: DataFrame, key: str, text: str, size: int, num: int, den: int, miss: float) -> DataFrame:
+    """docs, of keys that do not repeat, without the rows that have a smaller key in their group."""
     found = groups(docs, key, text, size, num, den, miss)
     gone = found.where(F.col("component_id") != F.col(key)).select(key).distinct()
-    out = docs.join(gone, key, "left_anti")
-    again = found.groupBy(key).count().where(F.col("count") > 1).where(F.col(key).isNotNull()).select(key)
-    if not again.isEmpty():
-        out = out.join(again, key, "left_anti").unionByName(out.join(again, key, "left_semi").dropDuplicates([key]))
-    return out.select(*docs.columns)
+    return docs.join(gone, key, "left_anti")
 
 
 def op8_ngram_join(spark, sf_dir):

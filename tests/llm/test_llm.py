@@ -360,6 +360,17 @@ def test_one_of_each_group_stays(spark):
     assert {(r["doc_id"], r["component_id"]) for r in ngram_join.groups(nulls).collect()} == {(None, None), (4, 4)}
 
 
+def test_texts_under_one_key_stay_unless_they_link(spark):
+    rng = random.Random(18)
+    texts = [prose(rng, [f"w{i}" for i in range(500)], 60) for _ in range(12)]
+    rows = [(7, t) for t in texts[:8]] + [(7, texts[0]), (3, texts[1]), (9, texts[2]), (5, texts[8]), (None, texts[3]), (None, texts[3])]
+    df = docs(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    want = sorted([(7, t) for t in (texts[0], *texts[2:8])] + [(3, texts[1]), (5, texts[8]), (-1, texts[3]), (-1, texts[3])])
+    for n in (1, 3):
+        got = ngram_join.one_each(df.repartition(n))
+        assert got.columns == df.columns and sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in got.collect()) == want
+
+
 def test_components_against_union_find(spark):
     rng = np.random.default_rng(11)
     e = rng.integers(0, 200, (150, 2)).tolist() + [[i, i + 1] for i in range(300, 360)]
