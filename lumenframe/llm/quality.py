@@ -5,6 +5,10 @@ texts and of raw text. A text's log importance weight is its n-grams' log probab
 the target model less that under the raw one. Adding Gumbel noise to the weights and taking
 the k largest samples k texts without replacement in proportion to their weights.
 
+The weights are tempered: the log weight of a text of more than EVIDENCE n-grams is divided by
+their number over EVIDENCE. A plain sum over a long text is far larger than the noise, and the
+sample would be all but the texts of the largest sums. The README gives the measured effect.
+
 The raw model counts every text. The target model may be fitted on a bounded sample of
 labelled texts: TARGET_ROWS keys at most in expectation, the smallest by hash, which is the only thing
 broadcast besides the models (BUCKETS numbers). The k-th largest key is found by counting
