@@ -10,7 +10,9 @@ more.
 
 Queries travel in blocks: each block meets each shard's tree once (a stated query set
 against all rows), and each pair gives the best k of every query there, which a window
-limited to k rows puts together. A shard and a block are bounded, whatever the data.
+limited to k rows puts together. A shard and a block are bounded, whatever the data. Trees
+and the blocks they meet are dealt out together and read one after another, so a task holds
+one tree and one block.
 
 Scores are sums in order of the components, in double precision, on the original vectors,
 so equal vectors have equal scores. Equal vectors of a shard are one entry of its tree. Where
@@ -33,9 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, save, scratch
+from .common import bounded_batches, discard, save, scratch, take_over
 
 SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 32_768, 512, 512
+#: Partitions of a stage, at most.
+MOST_TASKS = 20_000
 FACTOR = 1.0
 
 
@@ -186,43 +190,65 @@ def _stream(batches: Iterator[pa.RecordBatch], group: list[str]):
 def build_index(vectors: DataFrame, path: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The index table: (dim, shard, tree binary), a row for each shard; written under path."""
     facts = vectors.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).alias("norm"))
-    shards = facts.select("dim", "norm", F.ceil(F.col("n") / shard_rows).alias("shards"))
+    shards = save(facts.select("dim", "norm", F.ceil(F.col("n") / shard_rows).alias("shards")), f"{path}/shards")
     placed = vectors.join(F.broadcast(shards), "dim")  # a row for each length of vector
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(3)), F.col("shards")))
 
     def build(batches):
+        take_over("ann", lambda: None)
         for (dim, shard, norm), keys, x in _stream(batches, ["dim", "shard", "norm"]):
             data = pickle.dumps(Shard(keys, np.ascontiguousarray(x), norm), protocol=5)
             yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([shard], pa.int64()), pa.array([data], pa.binary())], names=["dim", "shard", "tree"])
 
-    rows = placed.select("key", "vector", "dim", "shard", "norm").repartition("dim", "shard").sortWithinPartitions("dim", "shard")
-    return save(rows.mapInArrow(build, "dim int, shard long, tree binary"), path)
+    tasks = _spread(shards.agg(F.sum("shards").alias("n")).first()["n"] or 1)
+    rows = bounded_batches(placed).select("key", "vector", "dim", "shard", "norm").repartition(tasks, "dim", "shard").sortWithinPartitions("dim", "shard")
+    return save(rows.mapInArrow(build, "dim int, shard long, tree binary"), f"{path}/trees")
+
+
+def _spread(units: int) -> int:
+    """Partitions for units of work that a hash deals out: several times as many, so that few meet."""
+    return max(1, min(4 * units, MOST_TASKS))
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 20, factor: float = FACTOR, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's nearest k that the trees give."""
-    n = queries.count()
-    blocks = max(1, -(-n // query_rows))
+    """(query_id, rank, vec_id, score): each query's nearest k that the trees give.
+
+    A unit of work is a shard's tree and a group of query blocks. While there are fewer trees than the session
+    has tasks, groups are more and trees are copied to each; with more trees there is one group.
+    """
+    spark = queries.sparkSession
+    blocks = max(1, -(-queries.count() // query_rows))
+    trees = max(1, index.count())
+    groups = max(1, min(blocks, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // trees)))
     placed = queries.withColumn("block", F.pmod(F.xxhash64("key", F.lit(4)), F.lit(blocks)))
 
     def pack(batches):
+        take_over("ann", lambda: None)
         for (dim, block), keys, x in _stream(batches, ["dim", "block"]):
-            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([block], pa.int64()), pa.array([pickle.dumps((keys, x), protocol=5)], pa.binary())], names=["dim", "block", "queries"])
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([block], pa.int64()), pa.array([pickle.dumps((keys, x), protocol=5)], pa.binary())], names=["dim", "block", "data"])
 
-    packed = placed.repartition("dim", "block").sortWithinPartitions("dim", "block").mapInArrow(pack, "dim int, block long, queries binary")
-    count = index.groupBy("dim").agg(F.count("*").alias("shards"))
-    spread = packed.join(count, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).drop("shards")
-    spread = spread.repartition("dim", "shard", "block").join(index.hint("shuffle_hash"), ["dim", "shard"])
+    packed = bounded_batches(placed).repartition(_spread(blocks), "dim", "block").sortWithinPartitions("dim", "block").mapInArrow(pack, "dim int, block long, data binary")
+    count = index.groupBy("dim").agg((F.max("shard") + 1).alias("shards"))
+    asked = packed.join(F.broadcast(count), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))  # a row for each length of vector
+    asked = asked.select("dim", "shard", F.pmod("block", F.lit(groups)).alias("group"), F.lit(1).alias("kind"), "data")
+    held = index.select("dim", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), F.lit(0).alias("kind"), F.col("tree").alias("data"))
+    unit = ["dim", "shard", "group"]
+    rows = held.union(asked).repartition(_spread(trees * groups), *unit).sortWithinPartitions(*unit, "kind")
 
     def run(batches):
+        take_over("ann", lambda: None)
+        now, tree = None, None
         for b in batches:
-            for q, tree in zip(b.column(0), b.column(1), strict=True):
-                keys, x = pickle.loads(q.as_buffer())
-                got = pickle.loads(tree.as_buffer()).search(keys, x, k, factor)
-                cols = list(zip(*got, strict=True)) if got else [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
-
-    found = spread.select("queries", "tree").mapInArrow(run, "query_id long, vec_id long, score double")
+            for *at, kind, data in zip(*(b.column(c).to_pylist() for c in (*unit, "kind")), b.column("data"), strict=True):
+                if kind == 0:
+                    now, tree = at, pickle.loads(data.as_buffer())
+                elif at == now:
+                    keys, x = pickle.loads(data.as_buffer())
+                    got = tree.search(keys, x, k, factor)
+                    cols = list(zip(*got, strict=True)) if got else [[], [], []]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+
+    found = rows.mapInArrow(run, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
