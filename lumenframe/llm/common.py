@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -18,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
+    """The folder that driver and executors share (spark.checkpoint.dir, or the one set on the context).
 
     Only where the session names none (single-process tests) is a temporary folder set.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_lumen_root", None)
+    if not root and (own := sc._jsc.sc().getCheckpointDir()).isDefined():
+        root = own.get()
+        root = root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file://") else root
     if not root:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
@@ -59,11 +65,15 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 #: Bytes of a batch that goes to a Python worker at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, with this session's Arrow batches bounded by bytes: long texts would else make batches of any size."""
+    """df, with this session's Arrow batches bounded by bytes: long texts would else make batches of any size.
+
+    Spark reads the bound when a plan runs, which may be after the operator has returned, so it stays set; a
+    lower bound of the caller's is kept.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = (conf.get(name, None) or "").rstrip("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
@@ -71,6 +81,32 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that is not taken."""
+    while name in columns:
+        name = f"_{name}"
+    return name
+
+
+def running(df: DataFrame, order: list, sums: dict) -> DataFrame:
+    """df with, for each name, the sum of a column over all rows that come earlier in an order.
+
+    Rows are sorted by ranges, ties by their place, so rows that agree in all of the order are spread too. Sums are
+    taken within a partition and over the partitions before it; these are a row for each partition.
+    """
+    hidden = {n: unused(f"_own_{n}", df.columns) for n in sums}
+    at, part = unused("_at", df.columns), unused("_part", df.columns)
+    rows = df.withColumns({hidden[n]: c for n, c in sums.items()}).withColumn(at, F.monotonically_increasing_id())
+    rows = kept(rows.orderBy(*order, at).withColumn(part, F.spark_partition_id()))
+    earlier = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy(part).agg(*[F.sum(h).alias(h) for h in hidden.values()])
+    totals = totals.select(part, *[F.coalesce(F.sum(h).over(earlier), F.lit(0)).alias(f"{h}_before") for h in hidden.values()])
+    within = W.partitionBy(part).orderBy(*order, at).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.join(F.broadcast(totals), part)
+    rows = rows.withColumns({n: F.col(f"{h}_before") + F.coalesce(F.sum(h).over(within), F.lit(0)) for n, h in hidden.items()})
+    return rows.select(*df.columns, *sums)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x.astype(np.uint64, copy=True)
@@ -133,7 +169,7 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 class WordHash:
     """64-bit hashes of whitespace-separated words, remembered up to a bound."""
 
-    def __init__(self, bound: int = 150_000):
+    def __init__(self, bound: int = 100_000):
         self.memo: dict[bytes, int] = {}
         self.bound = bound
 
@@ -181,11 +217,30 @@ _OWNER = [""]
 _CACHES: dict[str, object] = {}
 
 
+@cache
+def _lean() -> object:
+    """Lets a worker return freed memory: large blocks are mapped on their own, Arrow's come from the same allocator.
+
+    Returns the C library's trimming function, or nothing where there is none.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        lib = ctypes.CDLL(None)
+        lib.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        lib.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        return lib.malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
 def take_over(name: str, clear) -> None:
-    """What a Python worker remembers for one operator goes when another begins to use the worker."""
+    """What a Python worker remembers for one operator goes when another begins to use the worker, and its memory is returned."""
+    trim = _lean()
     if _OWNER[0] != name:
         for other in list(_CACHES):
             if other != name:
                 _CACHES.pop(other)()
         _OWNER[0] = name
+        gc.collect()
+        trim(0)
     _CACHES[name] = clear

@@ -29,14 +29,47 @@ WITH d AS (
   SELECT source, source_size, CASE WHEN full_ THEN cap::DOUBLE ELSE w * (total - held1) / weight1 END AS target,
          least(floor((CASE WHEN full_ THEN cap::DOUBLE ELSE w * (total - held1) / weight1 END) + 0.5)::BIGINT, cap) AS words
   FROM f, l
+), u AS (
+  SELECT *, ((words + 4095) // 4096)::BIGINT AS blocks, (row_number() OVER (ORDER BY source NULLS LAST) - 1)::BIGINT AS no,
+         coalesce(sum(words) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low
+  FROM t
+), g AS (
+  SELECT sum(words)::BIGINT AS all_words, sum(blocks)::BIGINT AS all_blocks, count(*)::BIGINT AS sources FROM u
+), i AS (
+  SELECT id, least(floor(((id + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((id + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE)) * all_words::DOUBLE)::BIGINT, all_words - 1) AS point
+  FROM (SELECT unnest(range(0, all_blocks)) AS id, all_words FROM g)
+), k AS (
+  SELECT u.no, u.blocks, i.id, (row_number() OVER (PARTITION BY u.no ORDER BY i.id) - 1)::BIGINT AS block
+  FROM i JOIN u ON i.point >= u.low AND i.point < u.low + u.words
+), e AS (
+  SELECT no, block, id AS slot FROM k WHERE block < blocks
+  UNION ALL
+  SELECT no, block, all_blocks + block * sources + no
+  FROM (SELECT u.no, unnest(range(least((SELECT count(*) FROM k WHERE k.no = u.no), u.blocks), u.blocks)) AS block FROM u), g
 ), r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, t.words,
+  SELECT d.doc_id, d.size, u.no, u.source_size, u.target, u.words,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
+), z AS (
+  SELECT doc_id, no, start + copy * source_size AS low, least(start + copy * source_size + size, words) AS high FROM r, (SELECT unnest([0, 1]) AS copy)
+), y AS (
+  SELECT z.doc_id, min(e.slot) AS first_slot, sum(least(z.high, (e.block + 1) * 4096) - greatest(z.low, e.block * 4096))::BIGINT AS taken
+  FROM z JOIN e ON e.no = z.no AND e.block BETWEEN z.low // 4096 AND (z.high - 1) // 4096 WHERE z.high > z.low GROUP BY z.doc_id
 )
-SELECT doc_id, size, source_size, target,
-       (greatest(least(start + size, words) - start, 0) + greatest(least(start + source_size + size, words) - start - source_size, 0))::BIGINT AS taken
-FROM r
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot FROM r LEFT JOIN y USING (doc_id)
+"""
+
+OP10 = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, len(embedding) AS dim FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.dim = c.dim AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
 OP9 = f"""
@@ -49,4 +82,4 @@ SELECT page_id, payload_bytes, {_base32("digest")} AS payload_digest,
 FROM p JOIN h USING (html)
 """
 
-SQL: dict[str, str] = {"op7_mix": OP7, "op9_warc": OP9}
+SQL: dict[str, str] = {"op7_mix": OP7, "op9_warc": OP9, "op10_ann": OP10}
