@@ -51,6 +51,7 @@ def compute_trace(y: DataFrame, a: DataFrame, c: DataFrame, b: DataFrame | None
         back = b.select(*HW, F.col("value").alias("_b"))
         y = y.join(back, HW, "left").join(f.select("frame", F.col("value").alias("_f")), "frame", "left")
         y = y.select("frame", *HW, (F.col("value") - F.coalesce(F.col("_b") * F.col("_f"), F.lit(0.0))).alias("value"))
+    y = y.join(c.select("frame").distinct(), "frame", "left_semi")  # arrays align on frames; others would go at the end
     norm = a.groupBy("unit_id").agg(F.sum(F.col("value") * F.col("value")).alias("_n"))
     w = a.select("unit_id", *HW, F.col("value").alias("_a"))
     ya = y.join(w, HW).groupBy("unit_id", "frame").agg(F.sum(F.col("value") * F.col("_a")).alias("_ya"))
@@ -152,38 +153,44 @@ def update_temporal(yra: DataFrame, noise_freq: float = 0.25, p: int = 2, add_la
     return out.select("unit_id", "_r.*").where(F.exists("s", lambda v: v > 0))
 
 
+#: Frames that one task solves for a component of units.
+SOLVE_FRAMES = 256
+
+
 def init_c(y: DataFrame, a: DataFrame, rounds: int = 10) -> DataFrame:
     """(unit_id, frame, value): least squares of every frame on the footprints, by at most `rounds` of conjugate gradients on the Gram matrix.
 
-    The Gram matrix of overlapping units and A'Y are join-aggregates; each component of overlapping units solves on its own.
+    The Gram matrix of overlapping units and A'Y are join-aggregates. Each component of overlapping units solves a run
+    of SOLVE_FRAMES frames in a task, which gets the component's Gram matrix once.
     """
     w = a.select("unit_id", *HW, F.col("value").alias("_a"))
     gram = w.join(a.select(F.col("unit_id").alias("_u"), *HW, F.col("value").alias("_v")), HW).groupBy("unit_id", "_u").agg(F.sum(F.col("_a") * F.col("_v")).alias("g"))
     ay = y.join(w, HW).groupBy("unit_id", "frame").agg(F.sum(F.col("value") * F.col("_a")).alias("v"))
     labels = connected_components(gram.select(F.col("unit_id").alias("src"), F.col("_u").alias("dst")), a.select("unit_id").distinct())
-    grams = gram.join(labels, F.col("unit_id") == F.col("node")).groupBy("label").agg(F.collect_list(F.struct("unit_id", "_u", "g")).alias("gram"))
-    rows = ay.join(labels, F.col("unit_id") == F.col("node")).groupBy("label", "frame").agg(F.collect_list(F.struct("unit_id", "v")).alias("ay")).join(grams, "label")
-
-    @F.pandas_udf("array<struct<unit_id:long,value:double>>")
-    def solve(ays: pd.Series, gs: pd.Series) -> pd.Series:
-        out = []
-        for ay_, g in zip(ays, gs, strict=True):
-            ids = sorted({x["unit_id"] for x in g})
-            at = {u: i for i, u in enumerate(ids)}
-            m, r = np.zeros((len(ids), len(ids))), np.zeros(len(ids))
-            for x in g:
-                m[at[x["unit_id"]], at[x["_u"]]] = x["g"]
-            for x in ay_:
-                r[at[x["unit_id"]]] = x["v"]
-            c, d = np.zeros(len(ids)), r.copy()
-            p, s = r.copy(), r @ r
-            for _ in range(rounds):
-                q = m @ p
-                if s <= 1e-28 or p @ q <= 0:
-                    break
-                c, d = c + s / (p @ q) * p, d - s / (p @ q) * q
-                p, s = d + (d @ d) / s * p, d @ d
-            out.append([{"unit_id": u, "value": float(v)} for u, v in zip(ids, c, strict=True)])
-        return pd.Series(out)
-
-    return rows.select("frame", F.explode(solve("ay", "gram")).alias("x")).select("x.unit_id", "frame", "x.value")
+    own = F.col("unit_id") == F.col("node")
+    rows = ay.join(labels, own).select("label", F.floor(F.col("frame") / SOLVE_FRAMES).alias("run"), "unit_id", F.col("frame").cast("long"), "v")
+    runs = rows.select(F.col("label").alias("_label"), F.col("run").alias("_run")).distinct()
+    grams = gram.join(labels, own).join(runs, F.col("label") == F.col("_label")).select("_label", "_run", F.col("unit_id").alias("_i"), F.col("_u").alias("_j"), F.col("g").alias("_g"))
+
+    def solve(found: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        ids, u = np.unique(entries["_i"].to_numpy(), return_inverse=True)
+        frames, f = np.unique(found["frame"].to_numpy(), return_inverse=True)
+        m, d = np.zeros((len(ids), len(ids))), np.zeros((len(ids), len(frames)))
+        m[u, np.searchsorted(ids, entries["_j"].to_numpy())] = entries["_g"]
+        d[np.searchsorted(ids, found["unit_id"].to_numpy()), f] = found["v"]
+        c, p, s = np.zeros_like(d), d.copy(), (d * d).sum(0)
+        for _ in range(rounds):
+            q = m @ p
+            slope = (p * q).sum(0)
+            on = (s > 1e-28) & (slope > 0)
+            if not on.any():
+                break
+            step = np.where(on, s / np.where(on, slope, 1), 0)
+            c, d = c + step * p, d - step * q
+            new = (d * d).sum(0)
+            p = np.where(on, d + new / np.where(on, s, 1) * p, p)
+            s = np.where(on, new, s)
+        return pd.DataFrame({"unit_id": np.repeat(ids, len(frames)), "frame": np.tile(frames, len(ids)), "value": c.ravel()})
+
+    kind = a.schema["unit_id"].dataType.simpleString()
+    return rows.groupBy("label", "run").cogroup(grams.groupBy("_label", "_run")).applyInPandas(solve, f"unit_id {kind}, frame long, value double")

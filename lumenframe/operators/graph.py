@@ -37,21 +37,22 @@ SMALL_EDGES = 100_000
 
 
 def _labels_here(e: DataFrame) -> DataFrame:
-    """Labels of a small canonical edge table, by union-find on the driver."""
-    up: dict = {}
-
-    def find(x):
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = up.setdefault(y, y)
+    """Labels of a small canonical edge table, by union-find on the driver over the nodes' places in Spark's own order."""
+    nodes = [r[0] for r in e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().orderBy("node").collect()]
+    place = {x: i for i, x in enumerate(nodes)}
+    up = list(range(len(nodes)))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
             x = up[x]
         return x
 
     for a, b in e.collect():
-        a, b = find(a), find(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
+        a, b = find(place[a]), find(place[b])
+        up[max(a, b)] = min(a, b)
     kind = e.schema["src"].dataType
-    return e.sparkSession.createDataFrame([(x, find(x)) for x in list(up)], StructType([StructField("node", kind), StructField("label", kind)]))
+    return e.sparkSession.createDataFrame([(x, nodes[find(i)]) for i, x in enumerate(nodes)], StructType([StructField("node", kind), StructField("label", kind)]))
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, singletons: bool = True, small: int = SMALL_EDGES) -> DataFrame:

@@ -7,6 +7,7 @@ import warnings
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats as T
@@ -16,6 +17,8 @@ from .image import local_max_roll, max_projection
 from .signal import median_baseline, pnr
 
 HW = ["height", "width"]
+#: Values that a mixture is fitted on, at most.
+MIXTURE_VALUES = 5000
 
 
 def windows(n_frames: int, size: int, step: int) -> list[tuple[int, int]]:
@@ -29,17 +32,14 @@ def window_projections(cells: DataFrame, n_frames: int, size: int, step: int, me
     """(sample, height, width, value): the maximum over each window of frames, rolling or drawn at random."""
     if method == "rolling":
         # a frame's windows by arithmetic on its label: no join with a window table
-        bounds = windows(n_frames, size, step)
-        table = F.array(*[F.struct(F.lit(i).alias("sample"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for i, (a, b) in enumerate(bounds)])
-        if len(bounds) > 1000:
-            m, half = len(bounds), math.ceil(size / 2)
-            gap = (n_frames - 1) / (m - 1)
-            near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("frame") - half - 1) / gap)).cast("int"), F.least(F.lit(m - 1), F.ceil((F.col("frame") + half + 1) / gap)).cast("int"))
-            centre = lambda i: i * F.lit(float(n_frames - 1)) / F.lit(m - 1)
-            hit = F.filter(near, lambda i: (F.col("frame") >= F.greatest(F.lit(0), F.floor(centre(i) - half))) & (F.col("frame") < F.ceil(centre(i) + half)))
-            rows = cells.withColumn("sample", F.explode(hit))
-        else:
-            rows = cells.withColumn("w", F.explode(F.filter(table, lambda w: (F.col("frame") >= w["a"]) & (F.col("frame") < w["b"])))).withColumn("sample", F.col("w.sample"))
+        m, half = math.ceil(n_frames / step) + 1, math.ceil(size / 2)
+        gap = (n_frames - 1) / (m - 1)
+        low = F.floor((F.col("frame") - half - 1) / gap) if gap > 0 else F.lit(0)
+        high = F.ceil((F.col("frame") + half + 1) / gap) if gap > 0 else F.lit(m - 1)
+        near = F.sequence(F.greatest(F.lit(0), low).cast("int"), F.least(F.lit(m - 1), high).cast("int"))
+        centre = lambda i: i * F.lit(float(n_frames - 1)) / F.lit(m - 1)
+        hit = F.filter(near, lambda i: (F.col("frame") >= F.greatest(F.lit(0), F.floor(centre(i) - half))) & (F.col("frame") < F.ceil(centre(i) + half)))
+        rows = cells.withColumn("sample", F.explode(hit))
     elif method == "random":
         draws = cells.sparkSession.range(n_random * size).select((F.col("id") % n_random).cast("int").alias("sample"), F.floor(F.rand(seed) * n_frames).cast("long").alias("frame")).distinct()
         rows = cells.join(draws, "frame")
@@ -68,7 +68,7 @@ def _mask(seeds: DataFrame, marked: DataFrame, name: str) -> DataFrame:
 def gmm_refine(traces: DataFrame, seeds: DataFrame, q=(0.1, 99.9), n: int = 2, valid: int = 1, above_lowest: bool = True) -> DataFrame:
     """seeds with ptp and mask_gmm: whether a seed's range of values belongs to the upper components of a mixture over seeds.
 
-    One number a seed reaches the driver, where the mixture is fitted.
+    The mixture is fitted on the driver on evenly spaced quantiles: all values of up to MIXTURE_VALUES seeds, else so many.
     """
     from .signal import ptp_quantile
 
@@ -77,9 +77,11 @@ def gmm_refine(traces: DataFrame, seeds: DataFrame, q=(0.1, 99.9), n: int = 2, v
 
 
 def _mixture(seeds: DataFrame, values: DataFrame, column: str, name: str, n: int, valid: int, above_lowest: bool) -> DataFrame:
-    x = values.select(column).toArrow()[column].to_numpy()
-    if not len(x):
+    m = min(values.where(F.col(column).isNotNull()).count(), MIXTURE_VALUES)
+    if not m:
         return seeds.withColumn(name, F.lit(None).cast("boolean"))
+    places = F.array(*[F.lit((i + 0.5) / m) for i in range(m)])
+    x = np.array(values.agg(F.percentile_approx(column, places, F.lit(100 * MIXTURE_VALUES)).alias("x")).first()["x"])
     w, m, s = T.gaussian_mixture_1d(x, n)
     part = F.array(*[F.lit(float(np.log(a) - np.log(c))) - (F.col(column) - float(b)) * (F.col(column) - float(b)) / float(2 * c**2) for a, b, c in zip(w, m, s, strict=True)])
     best = F.array_position(part, F.array_max(part)) - 1
@@ -125,6 +127,14 @@ def ks_statistic(traces: DataFrame) -> DataFrame:
     return traces.withColumn("d", map_traces(lambda x: [T.normal_ks(r)[0] for r in x], returns="double"))
 
 
+def zscore_rank(cells: DataFrame, by: str = "unit_id") -> DataFrame:
+    """(by, frame, z, rank): each trace's z-scores and their places in ascending order, ties by frame; null scores where it does not vary."""
+    own = W.partitionBy(by)
+    spread = F.stddev_pop("value").over(own)
+    z = F.when(spread > 0, (F.col("value") - F.avg("value").over(own)) / spread)
+    return cells.select(by, "frame", z.alias("z"), F.row_number().over(own.orderBy("value", "frame")).alias("rank"))
+
+
 def seeds_merge(traces: DataFrame, projection: DataFrame, seeds: DataFrame, thres_dist: float = 5, thres_corr: float = 0.6, noise_freq: float | None = None) -> DataFrame:
     """seeds (id, height, width, ...) with mask_mrg: the brightest of each group of near, correlated seeds, and all others."""
     pairs = radius_pairs(seeds, thres_dist)

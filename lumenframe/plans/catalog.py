@@ -84,7 +84,7 @@ def where_fill(s, d):
 
 @query
 def crop_to_mask(s, d):
-    return _r(A.crop(V.movie(s, d).where("frame = 0"), F.col("value") > 0.15, HW))
+    return _r(A.crop(V.movie(s, d), F.col("value") > 0.15, HW))
 
 
 @query
@@ -119,9 +119,7 @@ def align_arith(s, d):
 
 @query
 def reindex_like(s, d):
-    few = V.movie(s, d).where("frame < 20 AND (frame + height) % 2 = 0")
-    grid = V.movie(s, d).where("frame < 30").select(*CELL)
-    return _r(A.reindex(few, grid, CELL).select(*CELL, "value"))
+    return _r(A.reindex(V.movie(s, d).where("value > 0"), V.movie(s, d).select(*CELL), CELL).select(*CELL, "value"))
 
 
 @query
@@ -139,20 +137,23 @@ def sample_rows(s, d):
 
 @query
 def open_merge(s, d):
-    a = V.movie(s, d).where("frame < 30")
-    b = V.movie(s, d).where("frame BETWEEN 20 AND 50")
+    a, b = V.movie(s, d).where("value > -0.1"), V.movie(s, d).where("value < 0.1")
     return _r(A.merge(a, b, CELL, ("a", "b")), "a", "b")
 
 
 def _folder(s) -> str:
-    root = s.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    root = s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not s.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}"
     return f"{root.rstrip('/')}/lumen-store-{uuid.uuid4().hex}"
 
 
 @query
 def open_multi(s, d):
     root = _folder(s)
-    for label in (0, 1, 2):
+    for label in sorted(r[0] for r in V.table(s, d, "embeddings").select("label").distinct().collect()):  # a store for each session
         part = V.footprints(s, d).where(F.col("session") == label).drop("session")
         store.save(part, f"{root}/animal0/session{label}/store", "A")
     out = store.open_many(s, root, {"animal": -2, "session": -1}, "A")
@@ -161,7 +162,7 @@ def open_multi(s, d):
 
 @query
 def concat_dims(s, d):
-    m = V.movie(s, d).where("frame < 5")
+    m = V.movie(s, d)
     return _r(A.concat([({"animal": "a", "session": 1}, m), ({"animal": "a", "session": 2}, m.withColumn("value", -F.col("value")))]))
 
 
@@ -173,7 +174,7 @@ def save_reload(s, d):
 @query
 def meta_coords(s, d):
     root = _folder(s)
-    store.save(V.movie(s, d).where("frame < 3"), root, "movie", {"animal": "m0"})
+    store.save(V.movie(s, d), root, "movie", {"animal": "m0"})
     store.update_meta(s, root, {"session": "s1"})
     return _r(store.open_variable(s, root, "movie"))
 
@@ -186,7 +187,7 @@ def normalize_u8(s, d):
 
 @query
 def mosaic_residual(s, d):
-    y, a, c = V.movie(s, d).where("frame < 64"), V.footprints(s, d).where("unit_id < 20").drop("session"), V.trace_cells(s, d).where("unit_id < 20")
+    y, a, c = _whole(s, d)
     parts = video.generate_videos(y, a, c, scale=1.0)
     return _r(I.mosaic(parts["movie"], parts["residual"], "width", 8), digits=4)
 
@@ -194,7 +195,7 @@ def mosaic_residual(s, d):
 @query
 def export_long(s, d):
     path = _folder(s)
-    store.export_long(V.movie(s, d).where("frame < 10"), path)
+    store.export_long(V.movie(s, d), path)
     return _r(s.read.schema("frame long, height int, width int, value double").option("header", True).csv(path))
 
 
@@ -388,6 +389,11 @@ def intensity_mask(s, d):
 
 @query
 def ks_zscore_rank(s, d):
+    return _r(D.zscore_rank(V.trace_cells(s, d)), "z")
+
+
+@query
+def ks_distance(s, d):
     return _r(D.ks_statistic(V.traces(s, d)).select("unit_id", "d"), "d")
 
 
@@ -425,13 +431,14 @@ def init_a(s, d):
 
 @query
 def init_c_single(s, d):
-    one = V.footprints(s, d).where("unit_id = 7").drop("session")
-    return _r(C.init_c(V.movie(s, d), one).select("unit_id", "frame", "value"))
+    """Units whose footprints do not overlap: runs of three pixels, weighted by the maximum projection."""
+    a = I.max_projection(V.movie(s, d)).where("value > 0").withColumn("unit_id", F.expr("cast((height * 8 + width) div 3 as bigint)"))
+    return _r(C.init_c(V.movie(s, d), a.select("unit_id", *HW, "value")).select("unit_id", "frame", "value"))
 
 
 @query
 def init_c_many(s, d):
-    return _r(C.init_c(V.movie(s, d), V.footprints(s, d).where("unit_id < 6").drop("session")), digits=4)
+    return _r(C.init_c(V.movie(s, d), V.footprints(s, d).drop("session")), digits=4)
 
 
 # --- signals ---------------------------------------------------------------
@@ -498,25 +505,25 @@ def ar_response(s, d):
 # --- factorisation ---------------------------------------------------------
 
 
-def _small(s, d):
-    """A small problem: 64 frames, 30 footprints and their traces."""
-    return V.movie(s, d).where("frame < 64"), V.footprints(s, d).where("unit_id < 30").drop("session"), V.trace_cells(s, d).where("unit_id < 30")
+def _whole(s, d):
+    """The movie, all footprints and their traces."""
+    return V.movie(s, d), V.footprints(s, d).drop("session"), V.trace_cells(s, d)
 
 
 @query
 def submask(s, d):
-    return C.sub_mask(V.footprints(s, d).where("unit_id < 50").drop("session").where("value > 0.2"), 1, 8, 8)
+    return C.sub_mask(V.footprints(s, d).drop("session").where("value > 0.2"), 1, 8, 8)
 
 
 @query
 def compute_trace(s, d):
-    y, a, c = _small(s, d)
+    y, a, c = _whole(s, d)
     return _r(C.compute_trace(y, a, c), digits=5)
 
 
 @query
 def jaccard_groups(s, d):
-    return _r(C.jaccard_edges(V.footprints(s, d).where("unit_id < 200").drop("session"), 0.45), "jaccard")
+    return _r(C.jaccard_edges(V.footprints(s, d).drop("session"), 0.45), "jaccard")
 
 
 @query
@@ -528,22 +535,28 @@ def post_scale(s, d):
 
 @query
 def atc(s, d):
-    _, a, c = _small(s, d)
+    _, a, c = _whole(s, d)
     return _r(C.product(a, c), digits=5)
 
 
+def _kinds(**parts):
+    """Results of several layouts as one table."""
+    none = {"unit_id": "long", "height": "int", "width": "int", "frame": "long"}
+    rows = [df.select(F.lit(k).alias("kind"), *[F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()], "value") for k, df in parts.items()]
+    return A.concat([({}, df) for df in rows])
+
+
 @query
 def unit_merge(s, d):
-    a = V.footprints(s, d).where("unit_id < 60").drop("session")
-    a2, _, _ = C.unit_merge(a, V.trace_cells(s, d).where("unit_id < 60"), 0.3)
-    return _r(a2)
+    _, a, c = _whole(s, d)
+    a2, c2, labels = C.unit_merge(a, c, 0.4)
+    return _r(_kinds(a=a2, c=c2, label=labels.withColumn("value", F.col("label").cast("double"))))
 
 
 @query
 def background(s, d):
-    y, a, c = _small(s, d)
-    b, f = C.update_background(y, a, c)
-    return _r(f.select("frame", "value"), digits=5)
+    b, f = C.update_background(*_whole(s, d))
+    return _r(_kinds(b=b, f=f), digits=5)
 
 
 @query
@@ -553,19 +566,21 @@ def centroid(s, d):
 
 @query
 def update_spatial(s, d):
-    from ..model import LabelledFrame
-
-    y, a, c = _small(s, d)
-    traces = LabelledFrame(y, ("frame", "height", "width")).to_traces().df
-    sn = S.noise_fft(traces).select(*HW, "sn")
-    out, _ = C.update_spatial(traces, a, LabelledFrame(c, ("unit_id", "frame")).to_traces().df, sn, 1, 0.01, 8, 8, (0, None))
+    """Every vector as the trace of a pixel of a wide field of view; pixels of even rows and columns are units."""
+    y = V.wide_traces(s, d)
+    units = y.where("height % 2 = 0 AND width % 2 = 0").withColumn("unit_id", F.col("height").cast("long") * V.WIDE + F.col("width"))
+    a = units.select("unit_id", *HW, F.lit(1.0).alias("value"))
+    height = -(-V.table(s, d, "embeddings").count() // V.WIDE)
+    sn = S.noise_fft(y).select(*HW, "sn")
+    out, _ = C.update_spatial(y, a, units.select("unit_id", "y"), sn, 1, 0.01, height, V.WIDE, (0, None))
     return _r(out)
 
 
 @query
 def update_temporal(s, d):
-    out = C.update_temporal(V.traces(s, d).where("unit_id < 100"), max_iters=60)
-    return out.select("unit_id", F.size("c").alias("n"), F.round("b", 4).alias("b"))
+    out = C.update_temporal(V.traces(s, d), max_iters=60)
+    cells = out.select("unit_id", "b", F.posexplode(F.arrays_zip("c", "s")).alias("frame", "r")).select("unit_id", "frame", "b", "r.c", "r.s")
+    return _r(cells, "b", "c", "s", digits=4)
 
 
 # --- graphs ----------------------------------------------------------------
@@ -586,14 +601,14 @@ def components(s, d):
 
 @query
 def canonical_edges(s, d):
-    o = V.table(s, d, "lineitem").select((F.col("l_partkey") % 50).alias("src"), (F.col("l_suppkey") % 50).alias("dst"))
+    o = V.table(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
     return G.canonical(o)
 
 
 @query
 def kd_partition(s, d):
     p = V.points(s, d).select(F.col("unit_id").alias("id"), *HW)
-    return G.kd_partition(p, 64).groupBy("part").agg(F.count("*").alias("n"))
+    return G.kd_partition(p, 64)
 
 
 @query
@@ -612,7 +627,7 @@ def _pairs(s, d):
 
 @query
 def fov_window(s, d):
-    cells = V.movie(s, d).where("frame < 50").withColumn("value", F.when(F.col("value") > -0.1, F.col("value")))
+    cells = V.movie(s, d).withColumn("value", F.when(F.col("value") > -0.1, F.col("value")))
     return X.fov_window(cells, [])
 
 
@@ -629,13 +644,14 @@ def pair_distance(s, d):
 
 @query
 def tile_pairs(s, d):
-    return _r(X.tile_pairs(V.points(s, d).where("session < 3"), (1.0, 1.0)), "distance")
+    return _r(X.tile_pairs(V.points(s, d), (1.0, 1.0)), "distance")
 
 
 @query
 def cartesian(s, d):
+    """Every unit with every session."""
     p = V.points(s, d)
-    return X.cartesian(p.where("unit_id < 12").select(F.col("unit_id").alias("a")), p.where("unit_id BETWEEN 20 AND 29").select(F.col("unit_id").alias("b")))
+    return X.cartesian(p.select("unit_id"), p.select("session").distinct())
 
 
 @query
@@ -695,16 +711,16 @@ def footprint_summary(s, d):
 
 @query
 def preview_sweep(s, d):
-    few = V.frames(s, d).where("frame < 5")
-    out = I.sweep(few, lambda f, wnd: I.remove_background(f, "uniform", wnd), wnd=[3, 5])
-    return out.select("frame", "param_wnd", F.round(F.array_max("px"), 6).alias("top"))
+    out = I.sweep(V.frames(s, d), lambda f, wnd: I.remove_background(f, "uniform", wnd), wnd=[3, 5])
+    cells = out.select("param_wnd", "frame", F.posexplode("px").alias("i", "value"))
+    return _r(cells.select("param_wnd", "frame", F.expr("cast(i div 8 as int)").alias("height"), F.expr("cast(i % 8 as int)").alias("width"), "value"))
 
 
 @query
 def mapping_pivot(s, d):
-    named = _named(_mapping(s, d, "strict")).withColumnRenamed("mapping", "mapping_id").where("session < 3")
-    wide = X.pivot_mapping(named, [0, 1, 2])
-    return wide.select(F.col("mapping_id").alias("mapping"), *[F.col(str(i)).alias(f"session{i}") for i in range(3)])
+    named = _named(_mapping(s, d, "strict")).withColumnRenamed("mapping", "mapping_id")
+    wide = X.pivot_mapping(named, list(range(10)))
+    return wide.select(F.col("mapping_id").alias("mapping"), *[F.col(str(i)).alias(f"session{i}") for i in range(10)])
 
 
 @query

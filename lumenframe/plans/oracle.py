@@ -70,7 +70,23 @@ COMPONENTS = """u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FRO
  reach(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, reach.root FROM reach JOIN u ON u.a = reach.node),
  lab AS (SELECT node, min(root) AS label FROM reach GROUP BY node)"""
 
-SMALL = "y AS (SELECT * FROM m WHERE frame < 64), b AS (SELECT unit_id, height, width, value FROM a WHERE unit_id < 30), c AS (SELECT * FROM t WHERE unit_id < 30), ac AS (SELECT frame, height, width, sum(b.value * c.value) AS value FROM b JOIN c USING (unit_id) GROUP BY ALL)"
+#: Product of footprints and traces.
+PRODUCT = "ac AS (SELECT frame, height, width, sum(a.value * t.value) AS value FROM a JOIN t USING (unit_id) GROUP BY ALL)"
+
+
+def _roll(source: str, radii: str, diff: float) -> str:
+    """rolled(g, height, width): of images (g, height, width, value), the middles of touching groups of local maxima at any radius. Within WITH RECURSIVE."""
+    return f"""ro AS (SELECT k, x.d AS dy, y.d AS dx FROM (SELECT unnest({radii}) AS k), (SELECT unnest(range(-4, 5)) AS d) x, (SELECT unnest(range(-4, 5)) AS d) y WHERE x.d * x.d + y.d * y.d <= k * k),
+ rx AS (SELECT p.g, p.height, p.width, ro.k, any_value(p.value) AS own, max(q.value) AS hi, min(q.value) AS lo FROM {source} p, ro JOIN {source} q ON q.g = p.g AND q.height = p.height + ro.dy AND q.width = p.width + ro.dx GROUP BY p.g, p.height, p.width, ro.k),
+ rf AS (SELECT DISTINCT g, height, width, height * 8 + width AS i FROM rx WHERE own = hi AND hi - lo > {diff}::DOUBLE),
+ re AS (SELECT x.g, x.i AS a, y.i AS b FROM rf x JOIN rf y ON x.g = y.g AND abs(x.height - y.height) <= 1 AND abs(x.width - y.width) <= 1),
+ rr(g, node, root) AS (SELECT g, i, i FROM rf UNION SELECT re.g, re.b, rr.root FROM rr JOIN re ON re.g = rr.g AND re.a = rr.node),
+ rl AS (SELECT g, node, min(root) AS root FROM rr GROUP BY ALL),
+ rolled AS (SELECT DISTINCT rl.g, floor(median(rf.height))::INT AS height, floor(median(rf.width))::INT AS width FROM rl JOIN rf ON rf.g = rl.g AND rf.i = rl.node GROUP BY rl.g, rl.root)"""
+
+
+_WINDOWS = "z AS (SELECT count(*) AS n, ceil(count(*) / 40.0)::INT + 1 AS c FROM embeddings), w AS (SELECT i AS sample, greatest(0, floor(i * (n - 1)::DOUBLE / (c - 1) - 50)) AS lo, ceil(i * (n - 1)::DOUBLE / (c - 1) + 50) AS hi FROM z, (SELECT unnest(range(0, 100000)) AS i) WHERE i < c), wp AS (SELECT sample::INT AS g, height, width, max(value) AS value FROM w JOIN m ON frame >= lo AND frame < hi GROUP BY sample, height, width)"
+
 
 
 def _mapping(mode: str) -> str:
@@ -108,22 +124,22 @@ SQL: dict[str, str] = {
     "stride_subset": W(MOVIE, f"SELECT {CELL}, {R()} FROM m WHERE frame % 7 = 0"),
     "take_index": W(MOVIE, f"SELECT pos, {CELL}, {R()} FROM m JOIN (VALUES (0, 5), (1, 3), (2, 5), (3, 11)) v(pos, frame) USING (frame)"),
     "where_fill": W(MOVIE, f"SELECT {CELL}, {R('CASE WHEN value > 0.05 THEN value ELSE -1 END', name='value')} FROM m"),
-    "crop_to_mask": W(MOVIE, "k AS (SELECT min(height) a, max(height) b, min(width) c, max(width) d FROM m WHERE frame = 0 AND value > 0.15)", f"SELECT {CELL}, {R()} FROM m, k WHERE frame = 0 AND height BETWEEN a AND b AND width BETWEEN c AND d"),
+    "crop_to_mask": W(MOVIE, "k AS (SELECT min(height) a, max(height) b, min(width) c, max(width) d FROM m WHERE value > 0.15)", f"SELECT {CELL}, {R()} FROM m, k WHERE height BETWEEN a AND b AND width BETWEEN c AND d"),
     "fill_drop": W(MOVIE, f"SELECT {CELL}, {R('CASE WHEN value > 0.1 THEN value ELSE 0 END', name='value')} FROM (SELECT *, max(value) OVER (PARTITION BY frame * 8 + height) AS top FROM m) WHERE top > 0.1"),
     "clip": W(MOVIE, f"SELECT {CELL}, {R('least(greatest(value, -0.1), 0.1)', name='value')} FROM m"),
     "stack_unstack": W(MOVIE, f"SELECT {CELL}, {R()} FROM m"),
     "frames_to_traces": W(MOVIE, "SELECT height, width, count(*)::INT AS n, round(arg_min(value, frame), 6) AS first, round(arg_max(value, frame), 6) AS last FROM m GROUP BY height, width"),
     "align_arith": W(MOVIE, f"SELECT {CELL}, {R('value - mean', name='value')} FROM m JOIN (SELECT height, width, avg(value) AS mean FROM m GROUP BY ALL) USING (height, width)"),
-    "reindex_like": W(MOVIE, f"SELECT {CELL}, {R('CASE WHEN frame < 20 AND (frame + height) % 2 = 0 THEN value END', name='value')} FROM m WHERE frame < 30"),
+    "reindex_like": W(MOVIE, f"SELECT {CELL}, {R('CASE WHEN value > 0 THEN value END', name='value')} FROM m"),
     "isin_between": W(MOVIE, f"SELECT {CELL}, {R()} FROM m WHERE height IN (1, 3, 5) AND width BETWEEN 2 AND 4"),
-    "open_merge": W(MOVIE, f"SELECT {CELL}, {R('CASE WHEN frame < 30 THEN value END', name='a')}, {R('CASE WHEN frame BETWEEN 20 AND 50 THEN value END', name='b')} FROM m WHERE frame <= 50"),
-    "open_multi": W(FOOT, "SELECT 'animal0' AS animal, 'session' || session AS session, count(*) AS n, round(sum(value), 4) AS total FROM a WHERE session < 3 GROUP BY ALL"),
-    "concat_dims": W(MOVIE, f"SELECT 'a' AS animal, k AS session, {CELL}, {R('CASE k WHEN 1 THEN value ELSE -value END', name='value')} FROM m, (SELECT unnest([1, 2]) AS k) WHERE frame < 5"),
+    "open_merge": W(MOVIE, f"SELECT {CELL}, {R('CASE WHEN value > -0.1 THEN value END', name='a')}, {R('CASE WHEN value < 0.1 THEN value END', name='b')} FROM m"),
+    "open_multi": W(FOOT, "SELECT 'animal0' AS animal, 'session' || session AS session, count(*) AS n, round(sum(value), 4) AS total FROM a GROUP BY ALL"),
+    "concat_dims": W(MOVIE, f"SELECT 'a' AS animal, k AS session, {CELL}, {R('CASE k WHEN 1 THEN value ELSE -value END', name='value')} FROM m, (SELECT unnest([1, 2]) AS k)"),
     "save_reload": W(MOVIE, f"SELECT {CELL}, {R()} FROM m"),
-    "meta_coords": W(MOVIE, f"SELECT {CELL}, {R()}, 'm0' AS animal, 's1' AS session FROM m WHERE frame < 3"),
+    "meta_coords": W(MOVIE, f"SELECT {CELL}, {R()}, 'm0' AS animal, 's1' AS session FROM m"),
     "normalize_u8": W(MOVIE, f"SELECT {CELL}, floor((value - lo) / (hi - lo) * 255.0)::INT AS value FROM m, (SELECT min(value) lo, max(value) hi FROM m)"),
-    "mosaic_residual": W(MOVIE, FOOT, TRACES, "y AS (SELECT * FROM m WHERE frame < 64), ac AS (SELECT t.frame, height, width, sum(a.value * t.value) AS value FROM a JOIN t USING (unit_id) WHERE unit_id < 20 GROUP BY ALL), k AS (SELECT 255 / max(value) * 1.5 AS k FROM y)", f"SELECT {CELL}, {R('y.value * k', 4, 'value')} FROM y, k UNION ALL SELECT frame, height, width + 8, {R('(y.value - coalesce(ac.value, 0)) * k', 4, 'value')} FROM y LEFT JOIN ac USING (frame, height, width), k"),
-    "export_long": W(MOVIE, f"SELECT {CELL}, {R()} FROM m WHERE frame < 10"),
+    "mosaic_residual": W(MOVIE, FOOT, TRACES, PRODUCT, "k AS (SELECT 255 / max(value) * 1.5 AS k FROM m)", f"SELECT {CELL}, {R('m.value * k', 4, 'value')} FROM m, k UNION ALL SELECT frame, height, width + 8, {R('(m.value - coalesce(ac.value, 0)) * k', 4, 'value')} FROM m LEFT JOIN ac USING (frame, height, width), k"),
+    "export_long": W(MOVIE, f"SELECT {CELL}, {R()} FROM m"),
     "bg_uniform": W(MOVIE, BOX, _neighbours("reflect"), f"SELECT {CELL}, {R('first(own) - avg(value)', name='value')} FROM n GROUP BY {CELL}"),
     "bg_tophat": W(MOVIE, DISK1, _neighbours("none"), f"er AS (SELECT {CELL}, min(value) AS v, first(own) AS own FROM n GROUP BY {CELL})", f"SELECT er.frame, er.height, er.width, {R('first(er.own) - max(k.v)', name='value')} FROM er, o JOIN er k ON k.frame = er.frame AND k.height = er.height + o.dy AND k.width = er.width + o.dx GROUP BY er.frame, er.height, er.width"),
     "stripe_mean": _stripe("st AS (SELECT width, avg(v) AS v FROM (SELECT height, width, avg(value) AS v FROM m GROUP BY ALL) GROUP BY width)", "width"),
@@ -152,7 +168,7 @@ SQL: dict[str, str] = {
         "loc AS (SELECT frame, py + 0.5 * (up - dn) / (up - 2 * c0 + dn) AS y, px + 0.5 * (lf - rt) / (lf - 2 * c0 + rt) AS x FROM nb)",
         f"SELECT frame, {R('CASE WHEN y > 4 THEN y - 8 ELSE y END', 4, 'dy')}, {R('CASE WHEN x > 4 THEN x - 8 ELSE x END', 4, 'dx')} FROM loc",
     ),
-    "apply_shifts": W(MOVIE, "v AS (SELECT frame, (frame % 5 - 2)::INT AS dy, round_even(frame % 3 - 1 - 0.5, 0)::INT AS dx FROM m WHERE height = 0 AND width = 0)", f"SELECT g.frame, g.height, g.width, {R('k.value', name='value')} FROM m g JOIN v USING (frame) LEFT JOIN m k ON k.frame = g.frame AND k.height = g.height - v.dy AND k.width = g.width - v.dx"),
+    "apply_shifts": W(MOVIE, "v AS MATERIALIZED (SELECT vec_id AS frame, (vec_id % 5 - 2)::INT AS dy, round_even(vec_id % 3 - 1 - 0.5, 0)::INT AS dx FROM embeddings)", "k AS MATERIALIZED (SELECT frame, height + dy AS height, width + dx AS width, value FROM m JOIN v USING (frame))", f"SELECT {CELL}, {R('k.value', name='value')} FROM m LEFT JOIN k USING (frame, height, width)"),
     "apply_transform": W(
         MOVIE,
         "v AS (SELECT g.frame, g.height, g.width, floor(g.height - dy)::INT AS y0, g.height - dy - floor(g.height - dy) AS fy, floor(g.width - dx)::INT AS x0, g.width - dx - floor(g.width - dx) AS fx FROM (SELECT *, frame % 5 - 2 + 0.25::DOUBLE AS dy, frame % 3 - 1 - 0.5::DOUBLE AS dx FROM m) g)",
@@ -171,7 +187,7 @@ SQL: dict[str, str] = {
  e AS (SELECT x.id AS src, y.id AS dst FROM s x JOIN s y ON x.id < y.id AND (x.height - y.height) ** 2 + (x.width - y.width) ** 2 <= 4 JOIN z a ON a.height = x.height AND a.width = x.width JOIN z b ON b.height = y.height AND b.width = y.width AND a.frame = b.frame JOIN zn la ON la.height = x.height AND la.width = x.width JOIN zn lb ON lb.height = y.height AND lb.width = y.width GROUP BY x.id, y.id HAVING sum(a.v * b.v) / (any_value(la.l) * any_value(lb.l)) > 0.05),
  {COMPONENTS}, h AS (SELECT height, width, max(value) AS v FROM m GROUP BY ALL), f AS (SELECT s.*, h.v, coalesce(label, s.id) AS label FROM s JOIN h USING (height, width) LEFT JOIN lab ON lab.node = s.id)
  SELECT id, height, width, row_number() OVER (PARTITION BY label ORDER BY v DESC, id) = 1 AS mask_mrg FROM f""",
-    "init_c_single": W(MOVIE, FOOT, f"SELECT 7::BIGINT AS unit_id, frame, {R('sum(a.value * m.value) / sum(a.value * a.value)', name='value')} FROM a JOIN m USING (height, width) WHERE unit_id = 7 GROUP BY frame"),
+    "init_c_single": W(MOVIE, "a AS (SELECT (height * 8 + width) // 3 AS unit_id, height, width, max(value) AS value FROM m GROUP BY height, width HAVING max(value) > 0)", f"SELECT unit_id::BIGINT AS unit_id, frame, {R('sum(a.value * m.value) / sum(a.value * a.value)', name='value')} FROM a JOIN m USING (height, width) GROUP BY unit_id, frame"),
     "noise_fft_mean": _noise("sqrt(avg(pw))"),
     "noise_fft_median": _noise("sqrt(median(pw))"),
     "noise_fft_logmexp": _noise("sqrt(exp(avg(ln(pw + 2.220446049250313e-16))))"),
@@ -186,39 +202,62 @@ SQL: dict[str, str] = {
     "rising_run": W(TRACES, "d AS (SELECT *, lead(value) OVER w > value AS up, row_number() OVER w AS n FROM t WINDOW w AS (PARTITION BY unit_id ORDER BY frame)), g AS (SELECT *, n - row_number() OVER (PARTITION BY unit_id, up ORDER BY frame) AS k FROM d), r AS (SELECT unit_id, k, count(*) AS p, min(frame) AS f, arg_max(value, frame) - arg_min(value, frame) AS amp FROM g WHERE up GROUP BY ALL)", "SELECT unit_id, first(p ORDER BY amp DESC, f) AS p FROM r GROUP BY unit_id"),
     "med_baseline": W(TRACES, "o AS (SELECT unnest([-2, -1, 0, 1, 2]) AS d), n AS (SELECT t.unit_id, t.frame, t.value AS own, k.value FROM t, o JOIN t k ON k.unit_id = t.unit_id AND k.frame = CASE WHEN t.frame + d < 0 THEN -1 - (t.frame + d) WHEN t.frame + d > 63 THEN 127 - (t.frame + d) ELSE t.frame + d END)", f"SELECT unit_id, frame, {R('greatest(first(own) - median(value), 0)', name='value')} FROM n GROUP BY unit_id, frame"),
     "ar_response": W(TRACES, f"SELECT x.unit_id, x.frame, {R('sum(y.value * power(0.8::DOUBLE, x.frame - y.frame))', name='value')} FROM t x JOIN t y ON y.unit_id = x.unit_id AND y.frame <= x.frame GROUP BY x.unit_id, x.frame"),
-    "submask": W(FOOT, DISK1, "SELECT DISTINCT unit_id, height + dy AS height, width + dx AS width FROM a, o WHERE unit_id < 50 AND value > 0.2 AND height + dy BETWEEN 0 AND 7 AND width + dx BETWEEN 0 AND 7"),
-    "compute_trace": W(MOVIE, FOOT, TRACES, SMALL, "n AS (SELECT unit_id, sum(value * value) AS n FROM b GROUP BY 1), yy AS (SELECT b.unit_id, y.frame, sum(b.value * y.value) AS v FROM y JOIN b USING (height, width) GROUP BY ALL), rr AS (SELECT b.unit_id, ac.frame, sum(b.value * ac.value) AS v FROM ac JOIN b USING (height, width) GROUP BY ALL)", f"SELECT unit_id, frame, {R('greatest((yy.v - rr.v) / n.n + c.value, 0)', 5, 'value')} FROM yy JOIN rr USING (unit_id, frame) JOIN n USING (unit_id) JOIN c USING (unit_id, frame)"),
-    "jaccard_groups": W(FOOT, "b AS (SELECT * FROM a WHERE unit_id < 200), n AS (SELECT unit_id, count(*) AS n FROM b GROUP BY 1), s AS (SELECT x.unit_id AS src, y.unit_id AS dst, count(*) AS k FROM b x JOIN b y ON x.height = y.height AND x.width = y.width AND x.unit_id < y.unit_id GROUP BY ALL)", f"SELECT src, dst, {R('k / (n1.n + n2.n - k)::DOUBLE', name='jaccard')} FROM s JOIN n n1 ON n1.unit_id = src JOIN n n2 ON n2.unit_id = dst WHERE k / (n1.n + n2.n - k)::DOUBLE > 0.45"),
+    "submask": W(FOOT, DISK1, "SELECT DISTINCT unit_id, height + dy AS height, width + dx AS width FROM a, o WHERE value > 0.2 AND height + dy BETWEEN 0 AND 7 AND width + dx BETWEEN 0 AND 7"),
+    "compute_trace": W(MOVIE, FOOT, TRACES, PRODUCT, "n AS (SELECT unit_id, sum(value * value) AS n FROM a GROUP BY 1), y AS (SELECT * FROM m WHERE frame IN (SELECT frame FROM t)), yy AS (SELECT a.unit_id, y.frame, sum(a.value * y.value) AS v FROM y JOIN a USING (height, width) GROUP BY ALL), rr AS (SELECT a.unit_id, ac.frame, sum(a.value * ac.value) AS v FROM ac JOIN a USING (height, width) GROUP BY ALL)", f"SELECT unit_id, frame, {R('greatest((yy.v - rr.v) / n.n + t.value, 0)', 5, 'value')} FROM yy JOIN rr USING (unit_id, frame) JOIN n USING (unit_id) JOIN t USING (unit_id, frame)"),
+    "jaccard_groups": W(FOOT, "b AS (SELECT * FROM a), n AS (SELECT unit_id, count(*) AS n FROM b GROUP BY 1), s AS (SELECT x.unit_id AS src, y.unit_id AS dst, count(*) AS k FROM b x JOIN b y ON x.height = y.height AND x.width = y.width AND x.unit_id < y.unit_id GROUP BY ALL)", f"SELECT src, dst, {R('k / (n1.n + n2.n - k)::DOUBLE', name='jaccard')} FROM s JOIN n n1 ON n1.unit_id = src JOIN n n2 ON n2.unit_id = dst WHERE k / (n1.n + n2.n - k)::DOUBLE > 0.45"),
     "post_scale": W(TRACES, f"SELECT unit_id, {R('sum(value * (value * 2 + frame * 0.001::DOUBLE)) / sum(value * value)', name='scale')} FROM t GROUP BY unit_id"),
-    "atc": W(MOVIE, FOOT, TRACES, SMALL, f"SELECT {CELL}, {R('value', 5)} FROM ac"),
-    "background": W(MOVIE, FOOT, TRACES, SMALL, "yb AS (SELECT y.frame, y.height, y.width, greatest(y.value - coalesce(ac.value, 0), 0) AS v FROM y LEFT JOIN ac USING (frame, height, width)), bb AS (SELECT height, width, avg(v) AS b FROM yb GROUP BY ALL)", f"SELECT frame, {R('sum(b * v) / sum(b * b)', 5, 'value')} FROM yb JOIN bb USING (height, width) GROUP BY frame"),
-    "unit_merge": f"""WITH RECURSIVE {FOOT}, {TRACES}, b AS (SELECT * FROM a WHERE unit_id < 60), z AS (SELECT unit_id, frame, value - avg(value) OVER (PARTITION BY unit_id) AS v FROM t WHERE unit_id < 60), l AS (SELECT unit_id, sqrt(sum(v * v)) AS l FROM z GROUP BY 1),
- e AS (SELECT x.unit_id AS src, y.unit_id AS dst FROM z x JOIN z y ON x.frame = y.frame AND x.unit_id < y.unit_id JOIN l lx ON lx.unit_id = x.unit_id JOIN l ly ON ly.unit_id = y.unit_id GROUP BY x.unit_id, y.unit_id, lx.l, ly.l HAVING sum(x.v * y.v) / (lx.l * ly.l) > 0.3 AND EXISTS (SELECT 1 FROM b p JOIN b q ON p.height = q.height AND p.width = q.width WHERE p.unit_id = x.unit_id AND q.unit_id = y.unit_id)),
- {COMPONENTS}, g AS (SELECT u.unit_id, coalesce(label, u.unit_id) AS label FROM (SELECT DISTINCT unit_id FROM b) u LEFT JOIN lab ON lab.node = u.unit_id), n AS (SELECT label, count(*) AS n FROM g GROUP BY 1)
- SELECT label AS unit_id, height, width, {R('sum(value) / any_value(n)', name='value')} FROM b JOIN g USING (unit_id) JOIN n USING (label) GROUP BY label, height, width""",
+    "atc": W(FOOT, TRACES, PRODUCT, f"SELECT {CELL}, {R('value', 5)} FROM ac"),
+    "background": W(MOVIE, FOOT, TRACES, PRODUCT, "yb AS (SELECT m.frame, m.height, m.width, greatest(m.value - coalesce(ac.value, 0), 0) AS v FROM m LEFT JOIN ac USING (frame, height, width)), bb AS (SELECT height, width, avg(v) AS b FROM yb GROUP BY ALL)", f"SELECT 'b' AS kind, NULL::BIGINT AS unit_id, height, width, NULL::BIGINT AS frame, {R('b', 5, 'value')} FROM bb UNION ALL SELECT 'f', NULL, NULL, NULL, frame, {R('sum(b * v) / sum(b * b)', 5, 'value')} FROM yb JOIN bb USING (height, width) GROUP BY frame"),
+    "unit_merge": f"""WITH RECURSIVE {FOOT}, {TRACES}, k AS (SELECT unit_id, frame, value - avg(value) OVER (PARTITION BY unit_id) AS v FROM t), l AS (SELECT unit_id, sqrt(sum(v * v)) AS l FROM k GROUP BY 1),
+ ov AS (SELECT DISTINCT p.unit_id AS src, q.unit_id AS dst FROM a p JOIN a q ON p.height = q.height AND p.width = q.width AND p.unit_id < q.unit_id),
+ e AS (SELECT src, dst FROM ov JOIN k x ON x.unit_id = src JOIN k y ON y.unit_id = dst AND y.frame = x.frame JOIN l lx ON lx.unit_id = src JOIN l ly ON ly.unit_id = dst GROUP BY src, dst, lx.l, ly.l HAVING sum(x.v * y.v) / (lx.l * ly.l) > 0.4),
+ {COMPONENTS}, g AS (SELECT d.unit_id, coalesce(label, d.unit_id) AS label FROM (SELECT DISTINCT unit_id FROM a) d LEFT JOIN lab ON lab.node = d.unit_id), n AS (SELECT label, count(*) AS n FROM g GROUP BY 1)
+ SELECT 'a' AS kind, label AS unit_id, height, width, NULL::BIGINT AS frame, {R('sum(value) / any_value(n)', name='value')} FROM a JOIN g USING (unit_id) JOIN n USING (label) GROUP BY label, height, width
+ UNION ALL SELECT 'c', label, NULL, NULL, frame, {R('avg(value)', name='value')} FROM t JOIN g USING (unit_id) GROUP BY label, frame
+ UNION ALL SELECT 'label', unit_id, NULL, NULL, NULL, label::DOUBLE FROM g""",
     "centroid": W(POINTS, f"SELECT session, unit_id, {R('height')}, {R('width')} FROM p"),
     "edge_corr": W(POINTS, TRACES, "e AS (SELECT x.unit_id AS src, y.unit_id AS dst FROM p x JOIN p y ON x.unit_id < y.unit_id WHERE sqrt((x.height - y.height) * (x.height - y.height) + (x.width - y.width) * (x.width - y.width)) <= 0.2)", f"SELECT src, dst, {R('corr(x.value, y.value)', name='corr')} FROM e JOIN t x ON x.unit_id = src JOIN t y ON y.unit_id = dst AND y.frame = x.frame GROUP BY src, dst"),
     "components": f"WITH RECURSIVE {POINTS}, e AS (SELECT x.unit_id AS src, y.unit_id AS dst FROM p x JOIN p y ON x.unit_id < y.unit_id WHERE sqrt((x.height - y.height) * (x.height - y.height) + (x.width - y.width) * (x.width - y.width)) <= 0.08), {COMPONENTS} SELECT unit_id AS node, coalesce(label, unit_id) AS label FROM p LEFT JOIN lab ON lab.node = unit_id",
-    "canonical_edges": "SELECT DISTINCT least(l_partkey % 50, l_suppkey % 50) AS src, greatest(l_partkey % 50, l_suppkey % 50) AS dst FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50",
+    "canonical_edges": "SELECT DISTINCT least(l_partkey, l_suppkey) AS src, greatest(l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_partkey <> l_suppkey",
+    "kd_partition": f"""WITH RECURSIVE {POINTS}, r(id, height, width, path, ord) AS (
+  SELECT unit_id, height, width, '', row_number() OVER (ORDER BY unit_id) FROM p
+  UNION ALL SELECT id, height, width, path || CASE WHEN rn <= n // 2 THEN '0' ELSE '1' END, rn
+  FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY CASE WHEN wide THEN width ELSE height END, ord) AS rn
+        FROM (SELECT *, count(*) OVER k AS n, max(width) OVER k - min(width) OVER k > max(height) OVER k - min(height) OVER k AS wide FROM r WINDOW k AS (PARTITION BY path))) WHERE n > 64),
+ f AS (SELECT id, arg_max(path, length(path)) AS path FROM r GROUP BY id)
+ SELECT id, dense_rank() OVER (ORDER BY path) - 1 AS part FROM f""",
+    "local_max_roll": f"WITH RECURSIVE {MOVIE}, im AS (SELECT frame AS g, height, width, value FROM m), {_roll('im', '[1, 2]', 0.1)} SELECT g AS frame, height, width FROM rolled",
+    "seeds_rolling": f"WITH RECURSIVE {MOVIE}, {_WINDOWS}, {_roll('wp', '[2, 3]', 0.05)} SELECT height, width, count(*)::INT AS seeds FROM rolled GROUP BY ALL",
+    "ks_zscore_rank": W(TRACES, f"SELECT unit_id, frame, {R('(value - avg(value) OVER w) / stddev_pop(value) OVER w', name='z')}, row_number() OVER (PARTITION BY unit_id ORDER BY value, frame)::INT AS rank FROM t WINDOW w AS (PARTITION BY unit_id)"),
+    "pnr_mask": W(
+        MOVIE,
+        SEEDS,
+        "c AS (SELECT count(*) AS n, floor(count(*) * 0.25)::BIGINT AS cut FROM embeddings)",
+        "d AS (SELECT i, sum((CASE WHEN j = 0 OR 2 * j = n THEN 1 ELSE 2 END) * cos(2 * pi() * ((j * i) % n) / n)) / any_value(n) AS v FROM (SELECT n, cut, unnest(range(0, n)) AS i FROM c), (SELECT unnest(range(0, n // 2 + 1)) AS j FROM c) WHERE j >= cut GROUP BY i)",
+        "x AS (SELECT s.id, m.frame, m.value FROM s JOIN m USING (height, width))",
+        "y AS (SELECT x.id, g.frame, sum(x.value * d.v) AS value FROM x, (SELECT unnest(range(0, n)) AS frame, n FROM c) g JOIN d ON d.i = (g.frame - x.frame + g.n) % g.n GROUP BY x.id, g.frame)",
+        "k AS (SELECT id, quantile_cont(value, 0.999) - quantile_cont(value, 0.001) AS p FROM x GROUP BY id), l AS (SELECT id, quantile_cont(value, 0.999) - quantile_cont(value, 0.001) AS q FROM y GROUP BY id)",
+        "SELECT s.id, s.height, s.width, p / q > 1.5 AS mask_pnr FROM s JOIN k USING (id) JOIN l USING (id)",
+    ),
     "partition_diag": W(
         POINTS,
         "k AS (SELECT unit_id, floor(height)::BIGINT AS part FROM p), e AS (SELECT a.part AS pa, b.part AS pb FROM p x JOIN p y ON x.unit_id < y.unit_id JOIN k a ON a.unit_id = x.unit_id JOIN k b ON b.unit_id = y.unit_id WHERE sqrt((x.height - y.height) * (x.height - y.height) + (x.width - y.width) * (x.width - y.width)) <= 0.15)",
         "z AS (SELECT pa AS part, (pa = pb)::INT AS i FROM e UNION ALL SELECT pb, 0 FROM e WHERE pa <> pb)",
         f"SELECT part, size, coalesce(intra, 0)::BIGINT AS intra, coalesce(crossing, 0)::BIGINT AS \"cross\", {R('size * 1000 * 4 / (1024.0::DOUBLE * 1024)', name='mib')} FROM (SELECT part, count(*) AS size FROM k GROUP BY 1) LEFT JOIN (SELECT part, sum(i) AS intra, sum(1 - i) AS crossing FROM z GROUP BY 1) USING (part)",
     ),
-    "fov_window": W(MOVIE, "n AS (SELECT height, width, count(*) FILTER (WHERE value <= -0.1) AS n FROM m WHERE frame < 50 GROUP BY ALL)", "SELECT height, width FROM n WHERE n = (SELECT min(n) FROM n)"),
+    "fov_window": W(MOVIE, "n AS (SELECT height, width, count(*) FILTER (WHERE value <= -0.1) AS n FROM m GROUP BY ALL)", "SELECT height, width FROM n WHERE n = (SELECT min(n) FROM n)"),
     "centroids_window": W(FOOT, SEEDS, f"SELECT session, unit_id, {R('sum(height * value) / sum(value) / 8 * 7', name='height')}, {R('sum(width * value) / sum(value) / 8 * 7', name='width')} FROM a WHERE (height, width) IN (SELECT height, width FROM s) GROUP BY session, unit_id"),
     "pair_distance": W(POINTS, PAIRS, f"SELECT session_a, unit_a, session_b, unit_b, {R('distance')} FROM q WHERE distance < 0.1"),
     "tile_pairs": W(
         POINTS,
-        "b AS (SELECT session, min(height) h0, max(height) h1, min(width) w0, max(width) w1 FROM p WHERE session < 3 GROUP BY 1)",
+        "b AS (SELECT session, min(height) h0, max(height) h1, min(width) w0, max(width) w1 FROM p GROUP BY 1)",
         "k AS (SELECT x.session AS session_a, y.session AS session_b, least(x.h0, y.h0) AS h0, greatest(x.h1, y.h1) AS h1, least(x.w0, y.w0) AS w0, greatest(x.w1, y.w1) AS w1 FROM b x JOIN b y ON x.session < y.session)",
         "c AS (SELECT *, ceil((h1 - h0) * 2)::INT AS nh, ceil((w1 - w0) * 2)::INT AS nw FROM k)",
         "ti AS (SELECT session_a, session_b, h0 + i * (CASE WHEN nh > 1 THEN (h1 - h0) / (nh - 1) ELSE 0 END) AS th, w0 + j * (CASE WHEN nw > 1 THEN (w1 - w0) / (nw - 1) ELSE 0 END) AS tw FROM c, (SELECT unnest(range(40)) AS i), (SELECT unnest(range(40)) AS j) WHERE i < nh AND j < nw)",
         "pr AS (SELECT DISTINCT ti.session_a, ti.session_b, x.unit_id AS unit_a, y.unit_id AS unit_b, x.height AS hx, x.width AS wx, y.height AS hy, y.width AS wy FROM ti JOIN p x ON x.session = session_a AND x.height BETWEEN th - 1 AND th + 1 AND x.width BETWEEN tw - 1 AND tw + 1 JOIN p y ON y.session = session_b AND y.height BETWEEN th - 1 AND th + 1 AND y.width BETWEEN tw - 1 AND tw + 1)",
         f"SELECT session_a, session_b, unit_a, unit_b, {R('sqrt((hx - hy) * (hx - hy) + (wx - wy) * (wx - wy))', name='distance')} FROM pr",
     ),
-    "cartesian": "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE a.vec_id < 12 AND b.vec_id BETWEEN 20 AND 29",
+    "cartesian": "SELECT vec_id AS unit_id, session FROM embeddings, (SELECT DISTINCT label AS session FROM embeddings)",
     "mutual_nn": W(POINTS, PAIRS, "r AS (SELECT *, row_number() OVER (PARTITION BY session_a, session_b, unit_a ORDER BY distance, unit_b) AS na, row_number() OVER (PARTITION BY session_a, session_b, unit_b ORDER BY distance, unit_a) AS nb FROM q WHERE distance < 0.1)", f"SELECT session_a, unit_a, session_b, unit_b, {R('distance')} FROM r WHERE na = 1 AND nb = 1"),
     "resolve_strict": _resolved("strict"),
     "resolve_majority": _resolved("majority"),
@@ -227,7 +266,8 @@ SQL: dict[str, str] = {
     "overlay_counts": f"WITH RECURSIVE {_mapping('strict')}, {_FILLED}, k AS (SELECT session, unit_id, count(*) OVER (PARTITION BY label) > 1 AS m FROM g) SELECT session, height, width, count(*) FILTER (WHERE m) AS matched, count(*) FILTER (WHERE NOT m) AS unmatched FROM a JOIN k USING (session, unit_id) GROUP BY ALL",
     "frame_summary": W(MOVIE, "f AS (SELECT frame, avg(value) AS mean, max(value) AS max, min(value) AS min FROM m GROUP BY 1)", f"SELECT frame, {R('mean')}, {R('max')}, {R('min')}, {R('mean - lag(mean) OVER (ORDER BY frame)', name='diff')} FROM f"),
     "footprint_summary": W(FOOT, f"SELECT height, width, {R('sum(value)', 4, 'total')}, count(*) AS units FROM a GROUP BY height, width"),
-    "mapping_pivot": f"WITH RECURSIVE {_mapping('strict')} SELECT {_NAME.format('label')} AS mapping, max(unit_id) FILTER (WHERE session = 0) AS session0, max(unit_id) FILTER (WHERE session = 1) AS session1, max(unit_id) FILTER (WHERE session = 2) AS session2 FROM r WHERE session < 3 GROUP BY label",
+    "preview_sweep": W(MOVIE, "o AS (SELECT x.d AS dy, y.d AS dx FROM (SELECT unnest(range(-2, 3)) AS d) x, (SELECT unnest(range(-2, 3)) AS d) y)", _neighbours("reflect"), f"SELECT 3 AS param_wnd, {CELL}, {R('any_value(own) - avg(value)', name='value')} FROM n WHERE abs(dy) <= 1 AND abs(dx) <= 1 GROUP BY {CELL} UNION ALL SELECT 5, {CELL}, {R('any_value(own) - avg(value)', name='value')} FROM n GROUP BY {CELL}"),
+    "mapping_pivot": f"WITH RECURSIVE {_mapping('strict')} SELECT {_NAME.format('label')} AS mapping, {', '.join(f'max(unit_id) FILTER (WHERE session = {i}) AS session{i}' for i in range(10))} FROM r GROUP BY label",
     "unit_groups": "SELECT vec_id // 5 AS unit_group, count(*) AS n FROM embeddings GROUP BY 1",
     "unit_labels": W(TRACES, f"SELECT (unit_id // 3)::INT AS unit_id, frame, {R('avg(value)', name='value')} FROM t WHERE unit_id % 10 <> 0 GROUP BY unit_id // 3, frame"),
 }

@@ -9,6 +9,8 @@ from ..model import LabelledFrame
 from ..operators.cnmf import centroid
 
 SIDE = 8
+#: Columns of the wide field of view, whose pixels are vectors.
+WIDE = 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,12 @@ def traces(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").cast("array<double>").alias("y"))
 
 
+def wide_traces(spark, sf_dir) -> DataFrame:
+    """(height, width, y): each vector as the trace of a pixel of a field of WIDE columns."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.expr(f"cast(vec_id div {WIDE} as int)").alias("height"), F.expr(f"cast(vec_id % {WIDE} as int)").alias("width"), F.col("embedding").cast("array<double>").alias("y"))
+
+
 def trace_cells(spark, sf_dir) -> DataFrame:
     """(unit_id, frame, value)."""
     return LabelledFrame(traces(spark, sf_dir), ("unit_id", "frame"), layout="trace").to_cells().df

@@ -67,31 +67,95 @@ def _ffmpeg(data: bytes, width: int, height: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(-1, height, width)
 
 
+def count_frames(name: str, data: bytes) -> int:
+    """Frames of a file from its headers; only files that ffmpeg decodes are decoded for it."""
+    kind = name.rsplit(".", 1)[-1].lower()
+    if kind == "npy":
+        return _npy_shape(data)[0]
+    if kind in ("tif", "tiff"):
+        return sum(1 for _ in _tiff_pages(data))
+    if kind == "avi":
+        todo, n, plain = [(12, len(data))], 0, True
+        while todo:
+            at, end = todo.pop()
+            for chunk, start, size in _chunks(data, at, end):
+                if chunk == b"LIST":
+                    todo.append((start + 4, min(end, start + size)))
+                elif chunk == b"strf" and size >= 40:
+                    plain &= struct.unpack("<H", data[start + 14 : start + 16])[0] == 8 and struct.unpack("<I", data[start + 16 : start + 20])[0] in (0, 0x30303859, 0x59455247)
+                n += chunk in (b"00db", b"00dc")
+        if plain:
+            return n
+    return len(decode(name, data))
+
+
+def _npy_shape(data: bytes) -> tuple[int, ...]:
+    stream = io.BytesIO(data)
+    version = np.lib.format.read_magic(stream)
+    return (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(stream)[0]
+
+
+class AviWriter:
+    """An uncompressed 8-bit grey AVI (top-down Y800), written frame by frame; its counts are filled in at the end."""
+
+    def __init__(self, out, fps: int = 30):
+        self.out, self.fps, self.n, self.shape = out, fps, 0, (0, 0)
+
+    def _head(self) -> bytes:
+        chunk = lambda kind, d: kind + struct.pack("<I", len(d)) + d
+        h, w = self.shape
+        size = -(-w // 4) * 4 * h
+        main = struct.pack("<14I", 1_000_000 // self.fps, size * self.fps, 0, 0x10, self.n, 0, 1, size, w, h, 0, 0, 0, 0)
+        stream = b"vidsY800" + struct.pack("<IHHIIIIIIIIhhhh", 0, 0, 0, 0, 1, self.fps, 0, self.n, size, 0xFFFFFFFF, 0, 0, 0, w, h)
+        form = struct.pack("<IiiHHIIiiII", 40, w, h, 1, 8, 0x30303859, size, 0, 0, 0, 0)
+        head = chunk(b"LIST", b"hdrl" + chunk(b"avih", main) + chunk(b"LIST", b"strl" + chunk(b"strh", stream) + chunk(b"strf", form)))
+        body = 4 + self.n * (8 + size)
+        total = 4 + len(head) + 8 + body
+        if total >= 1 << 32:
+            raise ValueError("an AVI holds 4 GB; write the movie in parts")
+        return b"RIFF" + struct.pack("<I", total) + b"AVI " + head + b"LIST" + struct.pack("<I", body) + b"movi"
+
+    def add(self, frame: np.ndarray) -> None:
+        if not self.n:
+            self.shape = frame.shape
+            self.out.write(self._head())
+        h, w = self.shape
+        rows = np.zeros((h, -(-w // 4) * 4), np.uint8)
+        rows[:, :w] = frame
+        self.out.write(b"00db" + struct.pack("<I", rows.size) + rows.tobytes())
+        self.n += 1
+
+    def close(self) -> None:
+        self.out.seek(0)
+        self.out.write(self._head())
+
+
 def encode_avi(frames: np.ndarray, fps: int = 30) -> bytes:
-    """An uncompressed 8-bit grey AVI (top-down Y800)."""
-    n, h, w = frames.shape
-    stride = -(-w // 4) * 4
-    body = np.zeros((n, h, stride), np.uint8)
-    body[:, :, :w] = frames
-    chunk = lambda kind, d: kind + struct.pack("<I", len(d)) + d + b"\0" * (len(d) % 2)
-    lst = lambda kind, d: chunk(b"LIST", kind + d)
-    size = stride * h
-    main = struct.pack("<14I", 1_000_000 // fps, size * fps, 0, 0x10, n, 0, 1, size, w, h, 0, 0, 0, 0)
-    stream = b"vidsY800" + struct.pack("<IHHIIIIIIIIhhhh", 0, 0, 0, 0, 1, fps, 0, n, size, 0xFFFFFFFF, 0, 0, 0, w, h)
-    form = struct.pack("<IiiHHIIiiII", 40, w, h, 1, 8, 0x30303859, size, 0, 0, 0, 0)
-    head = lst(b"hdrl", chunk(b"avih", main) + lst(b"strl", chunk(b"strh", stream) + chunk(b"strf", form)))
-    movi = lst(b"movi", b"".join(chunk(b"00db", f.tobytes()) for f in body))
-    data = b"AVI " + head + movi
-    return b"RIFF" + struct.pack("<I", len(data)) + data
+    """A movie (n, h, w) as the bytes of an AVI."""
+    out = io.BytesIO()
+    writer = AviWriter(out, fps)
+    writer.shape = frames.shape[1:]
+    for f in frames:
+        writer.add(f)
+    writer.close()
+    return out.getvalue()
+
+
+def _tiff_pages(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """(byte order, place, entries) of each page's directory."""
+    order = "<" if data[:2] == b"II" else ">"
+    at = struct.unpack(order + "I", data[4:8])[0]
+    while at:
+        n = struct.unpack(order + "H", data[at : at + 2])[0]
+        yield order, at, n
+        at = struct.unpack(order + "I", data[at + 2 + 12 * n : at + 6 + 12 * n])[0]
 
 
 def decode_tiff(data: bytes) -> np.ndarray:
     """Pages of an uncompressed grey TIFF, 8, 16 or 32 bits."""
-    order = "<" if data[:2] == b"II" else ">"
-    at, pages = struct.unpack(order + "I", data[4:8])[0], []
+    pages = []
     size = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8}
-    while at:
-        n = struct.unpack(order + "H", data[at : at + 2])[0]
+    for order, at, n in _tiff_pages(data):
         tags = {}
         for i in range(n):
             tag, kind, count = struct.unpack(order + "HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
@@ -107,7 +171,6 @@ def decode_tiff(data: bytes) -> np.ndarray:
         bits, form = tags.get(258, (8,))[0], tags.get(339, (1,))[0]
         kind = {(8, 1): "u1", (16, 1): "u2", (32, 1): "u4", (32, 3): "f4"}[bits, form]
         pages.append(np.frombuffer(raw, order + kind).reshape(tags[257][0], tags[256][0]))
-        at = struct.unpack(order + "I", data[at + 2 + 12 * n : at + 6 + 12 * n])[0]
     return np.stack(pages)
 
 
@@ -132,7 +195,7 @@ def load_videos(spark: SparkSession, folder: str, pattern: str = r"msCam[0-9]+\.
 
     @F.pandas_udf("long")
     def count(names: pd.Series, data: pd.Series) -> pd.Series:
-        return pd.Series([len(decode(n, d)) for n, d in zip(names, data, strict=True)])
+        return pd.Series([count_frames(n, d) for n, d in zip(names, data, strict=True)])
 
     # one row for each file of the folder: its name and number of frames
     counts = sorted(((r["name"], r["n"]) for r in files.select("name", count("name", "content").alias("n")).collect()), key=lambda r: natural_key(r[0]))
@@ -179,14 +242,14 @@ def to_uint8(frames: DataFrame) -> DataFrame:
 
 
 def write_video(frames: DataFrame, path: str, norm: bool = True, fps: int = 30) -> str:
-    """One AVI of a movie: frames come in order, a partition at a time, and odd sizes are padded to even ones."""
+    """One AVI of a movie: frames come in order, a partition at a time, and are written as they come; odd sizes are padded to even ones."""
     rows = (to_uint8(frames) if norm else frames).orderBy("frame").select("height", "width", "px").toLocalIterator(prefetchPartitions=True)
-    got = []
-    for r in rows:
-        f = np.clip(np.asarray(r["px"], float), 0, 255).astype(np.uint8).reshape(r["height"], r["width"])
-        got.append(np.pad(f, ((0, f.shape[0] % 2), (0, f.shape[1] % 2))))
     with open(path, "wb") as out:
-        out.write(encode_avi(np.stack(got), fps))
+        writer = AviWriter(out, fps)
+        for r in rows:
+            f = np.clip(np.asarray(r["px"], float), 0, 255).astype(np.uint8).reshape(r["height"], r["width"])
+            writer.add(np.pad(f, ((0, f.shape[0] % 2), (0, f.shape[1] % 2))))
+        writer.close()
     return path
 
 
