@@ -5,12 +5,16 @@ num/den. The join loses no link:
 
 1. Blocks. Sizes fall into levels such that linked sets are in the same or neighbouring
    levels, which bounds their symmetric difference by d. Each set is dealt by hash into
-   d + 1 + s parts; linked sets agree on s + 1 of them entirely, so each part's content is
-   a key, and texts that share a key may link. Parts of few shingles are no keys (unless a
-   set has more than s of them), so a passage that many texts share makes no key by itself.
-   Equal keys inside a batch become links to the batch's smallest document before anything
-   is shuffled, so a hot key has a row for each batch, not for each copy. Components of
-   these candidate links are blocks; linked texts are always in one block.
+   parts, and a key is the content of a part, or of two parts out of a group of four where
+   the threshold would make single parts small. So many parts are dealt that whatever d
+   differences touch, linked sets agree on spare + 1 keys at least. Keys of few shingles are
+   left out if a set has no more than spare of them; a set that has more is dealt again, until
+   it has not, with less asked of a key each time. Linked sets share a key in the first deal
+   in which either stops, so no link is lost, and neither an empty part nor a passage that
+   many texts share makes a key by itself. Equal keys inside a batch become links to the
+   batch's smallest document before anything is shuffled, so a hot key has a row for each
+   batch, not for each copy. Components of these candidate links are blocks; linked texts are
+   always in one block.
 2. Equal sets are one member of their block (its smallest document).
 3. Signature trees. A block's members, by size and smallest shingle, are leaves of a tree
    whose nodes hold OR- and AND-combined bitmaps of shingles and the range of sizes. A dual
@@ -20,7 +24,8 @@ num/den. The join loses no link:
 4. Large blocks are dealt into pieces. Each piece is joined by its own tree and nominates
    hubs (its best-linked members); every member is compared with its block's hubs; members
    outside the largest component then are compared with all of the block, in bounded seats. Pairs that are not compared are in one
-   component already.
+   component already. Where these are many, as in a chain of texts that have little in common, blocks are first dealt anew by
+   other hashes and split where those do not link.
 5. Components of the links give the answer.
 
 Defined results: null text, empty text and text without words have an empty set, linked
@@ -33,6 +38,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +46,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, WordHash, blocks, bounded_batches, components, discard, filter_of, mix64, save, scratch, take_over, union_all
-
-#: Keys of a batch; fewest shingles of a part that is a key; members and shingles of a block that one tree takes; hubs of a large block; members of a seat of it; members that are held against a seat at once; pairs of a task.
-BATCH_KEYS, PART_SHINGLES, BLOCK_MEMBERS, BLOCK_SHINGLES, HUBS, SEATS, PACK, PAIRS_A_TASK = 400_000, 3, 256, 2_000_000, 32, 256, 64, 4_000_000
-#: Differences below which parts are always as many as make sure of an agreement; differences a part has in mean where a chance of missing is allowed.
-SURE_DIFFERENCES, TOUCHED = 5, 1.5
+from .common import FILTER_BITS, WordHash, blocks, bounded_batches, components, discard, filter_of, filter_passes, mix64, save, scratch, take_over, union_all
+
+#: Keys of a batch; members and shingles of a block that one tree takes; hubs of a large block; members of a seat of it; members that are held against a seat at once; pairs of a task.
+BATCH_KEYS, BLOCK_MEMBERS, BLOCK_SHINGLES, HUBS, SEATS, PACK, PAIRS_A_TASK = 400_000, 256, 2_000_000, 32, 256, 64, 4_000_000
+#: Pairs that are left to compare, above which large blocks are dealt anew; and how often.
+ANEW_PAIRS, ANEW = 50_000_000, 3
+#: Fewest shingles of a key, deal by deal; in the last one all keys count, the empty ones too.
+LEAST = (3, 3, 2, 2, *(1,) * 12, 0)
+#: Shingles for each difference from which on single parts are large enough to be keys.
+SINGLE = 6
+#: Differences that a part has in mean where a chance of missing is allowed: the choices.
+TOUCHED = (1.5, 1.75, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0)
+#: Copies of a set are gathered in so many heaps first, then the heaps' least ones.
+HEAPS = 64
+#: Members up to which the fixed filter rules out most other documents.
+FILTER_MEMBERS = 1 << (FILTER_BITS - 2)
 _WORDS = WordHash()
 
 
@@ -66,12 +82,23 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(out)
 
 
+class Plan(NamedTuple):
+    """How sets of a level are dealt: keys of single parts (group 1) or of pairs out of groups of four; deals is 0 where LEAST decides."""
+
+    differences: int
+    spare: int
+    parts: int
+    group: int
+    deals: int
+
+
 class Levels:
-    """Size levels of a threshold, and for each the bound on differences and the number of parts."""
+    """Size levels of a threshold, and for each how its sets are dealt."""
 
     def __init__(self, num: int, den: int, miss: float = 0.0):
         self.num, self.den, self.miss = num, den, miss
         self.starts = [1, 2]
+        self.plans: dict[int, Plan] = {}
 
     def _reach(self, n: int) -> None:
         while self.starts[-1] <= n + 1:
@@ -81,59 +108,98 @@ class Levels:
         self._reach(int(sizes.max(initial=1)))
         return np.searchsorted(np.array(self.starts), sizes, side="right") - 1
 
-    def parts(self, level: int) -> tuple[int, int, int]:
-        """(largest difference, spare agreements, parts) of linked sets of which the smaller is of this level."""
+    def sure(self, level: int) -> Plan:
+        """Linked sets, of which the smaller is of this level, share spare + 1 keys whatever their differences touch.
+
+        Groups of four parts with g + 1 + spare parts untouched, g being their number, hold spare + 1 untouched pairs.
+        """
         self._reach(self.starts[min(level + 1, len(self.starts) - 1)])
         d = (self.starts[level + 1] - 1) * (self.den - self.num) // self.num
-        spare = 2 + d // 8 if d else 0
-        return d, spare, d + 1 + spare
-
-    def deals(self, level: int) -> tuple[int, int, int, int]:
-        """(largest difference, spare agreements, parts, times dealt). Few parts dealt several times, where a chance of missing is allowed.
-
-        d differences leave all of p parts touched with a probability of at most (1 - (1 - 1/p)^d)^p.
+        if not d:
+            return Plan(0, 0, 1, 1, 0)
+        if self.num >= SINGLE * (self.den - self.num):
+            spare = 2 + d // 24
+            return Plan(d, spare, d + 1 + spare, 1, 0)
+        spare = 1 + d // 12
+        return Plan(d, spare, 4 * -(-(d + 1 + spare) // 3), 4, 0)
+
+    def plan(self, level: int) -> Plan:
+        """The sure way, or fewer keys where a chance of missing is allowed.
+
+        Linked sets have d differences at most and c common shingles at least. A part of p is untouched and holds
+        LEAST[0] common ones with probability q = (1 - 1/p)^d * P(Bin(c, 1/p) >= LEAST[0]). The numbers of both in
+        the parts are negatively associated, so no part does with (1 - q)^p at most, and deals are independent.
         """
-        d, spare, parts = self.parts(level)
-        if not self.miss or d < SURE_DIFFERENCES:
-            return d, spare, parts, 1
-        few = max(2, int(d / TOUCHED))
-        touched = few * math.log1p(-((1 - 1 / few) ** d))
-        return d, few, few, math.ceil(math.log(self.miss) / touched)
-
-
-def keys_of(sets: list[np.ndarray], levels: Levels) -> tuple[np.ndarray, np.ndarray]:
+        if level not in self.plans:
+            self.plans[level] = self._plan(level)
+        return self.plans[level]
+
+    def _plan(self, level: int) -> Plan:
+        sure = self.sure(level)
+        if not self.miss or not sure.differences:
+            return sure
+        d, c = sure.differences, -(-2 * self.num * self.starts[level] // (self.num + self.den))
+        best, cost = sure, sure.parts * (1.5 if sure.group > 1 else 1)
+        for touched in TOUCHED:
+            p = int(d / touched)
+            if p < 2:
+                break
+            few = sum(math.comb(c, i) * (1 / p) ** i * (1 - 1 / p) ** (c - i) for i in range(min(c + 1, LEAST[0])))
+            missed = p * math.log1p(-((1 - 1 / p) ** d) * (1 - few))
+            deals = math.ceil(math.log(self.miss) / missed) if missed else len(LEAST) + 1
+            if deals <= len(LEAST) and deals * p <= cost:
+                best, cost = Plan(d, 0, p, 1, deals), deals * p
+        return best
+
+
+_PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
+
+
+def keys_of(sets: list[np.ndarray], levels: Levels, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(key, place of its set in the list) of all sets; empty sets have none."""
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
+    out_keys, out_owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     if not sizes.sum():
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    level = levels.of(np.maximum(sizes, 1))
-    owner, tokens = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
-    out_keys, out_owner = [], []
+        return out_keys[0], out_owner[0]
+    level, starts = levels.of(np.maximum(sizes, 1)), np.concatenate([[0], np.cumsum(sizes)])
+    tokens = np.concatenate(sets)
     for step in (0, 1):
         at = level - step
-        table = {x: levels.deals(x) for x in set(at.tolist()) if x >= 0}
-        use = np.array([n > 0 and x >= 0 and (step == 0 or table[x][0] > 0) for n, x in zip(sizes, at.tolist(), strict=True)])
-        plan = np.array([table[x] if u else (0, 0, 0, 0) for x, u in zip(at.tolist(), use, strict=True)]).reshape(-1, 4)
-        spare = plan[:, 1]
-        for time in range(int(plan[:, 3].max(initial=0))):
-            parts = np.where(plan[:, 3] > time, plan[:, 2], 0)
+        plans = {x: levels.plan(x) for x in set(at.tolist()) if x >= 0}
+        table = np.array([plans.get(x, (0,) * 5) for x in at.tolist()], np.int64)
+        todo = np.flatnonzero((sizes > 0) & (at >= 0) & ((step == 0) | (table[:, 0] > 0)))
+        for time, least in enumerate(LEAST):
+            if not len(todo):
+                break
+            _, spare, parts, group, deals = table[todo].T
             base = np.concatenate([[0], np.cumsum(parts)])
-            mine = parts[owner] > 0
-            own, tok = owner[mine], tokens[mine]
-            mixed = mix64(tok + (at[own] * 64 + time).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            own = np.repeat(np.arange(len(todo)), sizes[todo])
+            tok = tokens[np.repeat(starts[todo] - np.concatenate([[0], np.cumsum(sizes[todo])[:-1]]), sizes[todo]) + np.arange(len(own))]
+            deal = mix64((at[todo] * 64 + time).astype(np.uint64) + np.uint64(salt << 40))
+            mixed = mix64(tok + deal[own])
             slot = base[own] + ((mixed >> np.uint64(40)) % parts[own].astype(np.uint64)).astype(np.int64)
             n = np.bincount(slot, minlength=base[-1])
             again = mix64(mixed)
             low = np.bincount(slot, (again & np.uint64(0xFFFFFFFF)).astype(np.float64), base[-1]).astype(np.uint64)
             high = np.bincount(slot, (again >> np.uint64(32)).astype(np.float64), base[-1]).astype(np.uint64)
-            whose = np.repeat(np.arange(len(sets)), parts)
-            small = (n < PART_SHINGLES) & (parts[whose] > 1)
-            few = np.bincount(whose, small, len(sets)) <= spare
-            emit = ~(small & few[whose])
+            content = mix64(low) + mix64(high + np.uint64(1)) * np.uint64(3) + n.astype(np.uint64)
+            whose = np.repeat(np.arange(len(todo)), parts)
             part = np.arange(base[-1]) - base[:-1][whose]
-            tag = mix64((at[whose] * 64 + time).astype(np.uint64) << np.uint64(32) | part.astype(np.uint64))
-            out_keys.append(mix64(mix64(low + tag) + mix64(high + np.uint64(1)) * np.uint64(3) + n.astype(np.uint64))[emit])
-            out_owner.append(whose[emit])
+            content = mix64(content + mix64(deal[whose] + part.astype(np.uint64)))
+            one = group[whose] == 1
+            keys, owners, held = [content[one]], [whose[one]], [n[one]]
+            first = np.flatnonzero(~one & (part % 4 == 0))
+            for a, b in _PAIRS:
+                keys.append(mix64(content[first + a] * np.uint64(3) + content[first + b]))
+                owners.append(whose[first])
+                held.append(n[first + a] + n[first + b])
+            key, owner, held = np.concatenate(keys), np.concatenate(owners), np.concatenate(held)
+            asked = np.where(deals > 0, LEAST[0], np.where(parts == 1, 0, np.where(group > 1, min(least, 2), least)))
+            emit = held >= asked[owner]
+            out_keys.append(key[emit])
+            out_owner.append(todo[owner[emit]])
+            over = np.where(deals > 0, time + 1 >= deals, np.bincount(owner, ~emit, len(todo)) <= spare)
+            todo = todo[~over]
     return np.concatenate(out_keys), np.concatenate(out_owner)
 
 
@@ -149,57 +215,90 @@ def collapse(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([keys[first], own, own]), np.concatenate([docs[first], pairs[0], pairs[1]])
 
 
+def _key_links(batches: Iterator[pa.RecordBatch], levels: Levels, sets_of, salt: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows (key, doc) of batches whose last column sets_of turns into sets; a group column between, if any, is part of the key."""
+    held_keys, held_docs, held = [], [], 0
+
+    def flush():
+        k, d = collapse(np.concatenate(held_keys), np.concatenate(held_docs))
+        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(d)], names=["key", "doc"])
+
+    for b in batches:
+        ids = b.column(0).to_numpy()
+        group = b.column(1).to_numpy().view(np.uint64) if b.num_columns > 2 else None
+        for i, values in blocks(b.column(b.num_columns - 1), 1_000_000, 500):
+            k, owner = keys_of([sets_of(t) for t in values], levels, salt)
+            owner = owner + i
+            held_keys.append(k if group is None else mix64(k + mix64(group[owner] + np.uint64(1))))
+            held_docs.append(ids[owner])
+            held += len(k)
+            if held > BATCH_KEYS:
+                yield flush()
+                held_keys, held_docs, held = [], [], 0
+    if held:
+        yield flush()
+
+
+def _key_groups(keyed: DataFrame) -> DataFrame:
+    """(src, dst) that connect the documents of equal keys."""
+    head = F.first("doc").over(W.partitionBy("key").orderBy("doc").rowsBetween(W.unboundedPreceding, 0))
+    return keyed.select(F.col("doc").alias("src"), head.alias("dst")).where("src != dst").distinct()
+
+
 def candidate_links(docs: DataFrame, key: str, text: str, size: int, num: int, den: int, miss: float = 0.0) -> DataFrame:
     """(src, dst): links that contain every link between texts in their components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _begin()
-        levels = Levels(num, den, miss)
-        held_keys, held_docs, held = [], [], 0
+        yield from _key_links(batches, Levels(num, den, miss), lambda t: shingles(t, size))
 
-        def flush():
-            k, d = collapse(np.concatenate(held_keys), np.concatenate(held_docs))
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(d)], names=["key", "doc"])
+    rows = bounded_batches(docs).where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long"), F.col(text))
+    return _key_groups(rows.mapInArrow(run, "key long, doc long"))
 
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            for i, texts in blocks(b.column(1), 1_000_000, 500):
-                k, owner = keys_of([shingles(t, size) for t in texts], levels)
-                held_keys.append(k)
-                held_docs.append(ids[i : i + len(texts)][owner])
-                held += len(k)
-                if held > BATCH_KEYS:
-                    yield flush()
-                    held_keys, held_docs, held = [], [], 0
-        if held:
-            yield flush()
 
-    rows = bounded_batches(docs).where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long"), F.col(text))
-    keyed = rows.mapInArrow(run, "key long, doc long")
-    head = F.first("doc").over(W.partitionBy("key").orderBy("doc").rowsBetween(W.unboundedPreceding, 0))
-    return keyed.select(F.col("doc").alias("src"), head.alias("dst")).where("src != dst").distinct()
+def split_blocks(members: DataFrame, path: str, num: int, den: int, miss: float, salt: int) -> DataFrame:
+    """members (root, doc, n_shingles, tokens) under new roots: documents of a block that another deal does not connect come apart."""
+
+    def run(batches):
+        _begin()
+        yield from _key_links(batches, Levels(num, den, miss), lambda t: np.frombuffer(t, np.uint64), salt)
+
+    keyed = members.select("doc", "root", "tokens").mapInArrow(run, "key long, doc long")
+    parts = components(save(_key_groups(keyed), f"{path}/again")).withColumnRenamed("root", "part")
+    out = members.join(parts, F.col("doc") == F.col("node"))
+    return save(out.select(F.col("part").alias("root"), "doc", "n_shingles", "tokens"), f"{path}/parts{salt}")
 
 
 def facts_of(docs: DataFrame, members: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(doc, n_shingles, h1, h2, tokens) of every row; tokens only where the document may be a member."""
-    bits = docs.sparkSession.sparkContext.broadcast(filter_of(members, "node"))
+    """(doc, n_shingles, h1, h2, tokens) of every row; tokens only where the document may be a member.
+
+    A filter of fixed size tells so while it is sparse; more members than that are joined.
+    """
+    sparse = members.count() <= FILTER_MEMBERS
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(members, "node") if sparse else None)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         _begin()
         for b in batches:
-            for i, texts in blocks(b.column(1), 1_000_000, 1000):
+            for i, texts in blocks(b.column(2), 1_000_000, 1000):
                 sets = [shingles(t, size) for t in texts]
                 j = i + len(texts)
-                ids = b.column(0).slice(i, j - i).to_pylist()
-                slots = [None if x is None else x & ((1 << FILTER_BITS) - 1) for x in ids]
-                tokens = [s.tobytes() if x is not None and len(s) and bits.value[x >> 3] & (128 >> (x & 7)) else None for s, x in zip(sets, slots, strict=True)]
+                ids, marks = (b.column(c).slice(i, j - i).to_pylist() for c in (0, 1))
+                if bits.value is not None:
+                    marks = [x is not None and filter_passes(bits.value, x) for x in ids]
+                tokens = [s.tobytes() if mark and len(s) else None for s, mark in zip(sets, marks, strict=True)]
                 sums = [(int(mix64(s).sum(dtype=np.uint64)), int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))) for s in sets]
                 h = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
                 cols = [b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(tokens, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc", "n_shingles", "h1", "h2", "tokens"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"doc {kind}, n_shingles long, h1 long, h2 long, tokens binary")
+    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("_text"))
+    if sparse:
+        rows = rows.select("doc", F.lit(False).alias("_mark"), "_text")
+    else:
+        rows = rows.join(members.select("node"), F.col("doc") == F.col("node"), "left").select("doc", F.col("node").isNotNull().alias("_mark"), "_text")
+    return bounded_batches(rows).mapInArrow(run, f"doc {kind}, n_shingles long, h1 long, h2 long, tokens binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -430,7 +529,18 @@ def _compare(members: DataFrame, others: DataFrame, num: int, den: int) -> DataF
     return rows.mapInArrow(run, "src long, dst long")
 
 
-def _large_links(members: DataFrame, path: str, num: int, den: int) -> DataFrame:
+def _block_links(members: DataFrame, path: str, num: int, den: int, miss: float, time: int = 0) -> DataFrame:
+    """Links inside blocks: members is (root, doc, n_shingles, tokens)."""
+    sizes = members.groupBy("root").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).where("members > 1")
+    sizes = save(sizes.withColumn("large", (F.col("members") > BLOCK_MEMBERS) | (F.col("total") > BLOCK_SHINGLES)), f"{path}/sizes")
+    links = _tree_links(members.join(sizes.where("NOT large"), "root"), ["root"], num, den, False)
+    big = sizes.where("large").select("root", "members")
+    if big.isEmpty():
+        return links
+    return links.union(_large_links(save(members.join(big, "root"), f"{path}/large"), path, num, den, miss, time))
+
+
+def _large_links(members: DataFrame, path: str, num: int, den: int, miss: float, time: int) -> DataFrame:
     """Links inside large blocks: members is (root, members, doc, n_shingles, tokens)."""
     piece = F.pmod(F.xxhash64("doc", F.lit(9)), F.ceil(F.col("members") / (BLOCK_MEMBERS // 2)))
     dealt = members.withColumn("piece", piece)
@@ -441,45 +551,47 @@ def _large_links(members: DataFrame, path: str, num: int, den: int) -> DataFrame
     to_hubs = save(_compare(members.withColumn("comp", F.col("doc")), hubs, num, den), f"{path}/to_hubs")
     links = inside.union(to_hubs)
     comp = components(links)
-    placed = members.join(comp.withColumnRenamed("root", "comp"), F.col("doc") == F.col("node"), "left").select("root", "members", "doc", "tokens", F.coalesce("comp", "doc").alias("comp"))
+    placed = members.join(comp.withColumnRenamed("root", "comp"), F.col("doc") == F.col("node"), "left").select("root", "members", "doc", "n_shingles", "tokens", F.coalesce("comp", "doc").alias("comp"))
     placed = save(placed, f"{path}/placed")
-    sizes = placed.groupBy("root", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("root").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"))
-    rest = save(placed.join(main, "root").where("comp != main").select("root", "doc", "comp", "tokens"), f"{path}/rest")
+    sizes = placed.groupBy("root", "comp").agg(F.count("*").alias("n"), F.first("members").alias("members"))
+    main = save(sizes.groupBy("root").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.max("n").alias("most"), F.first("members").alias("members")), f"{path}/main")
+    left = main.agg(F.sum((F.col("members") - F.col("most")) * F.col("members")).alias("n")).first()["n"] or 0
+    if left > ANEW_PAIRS and time < ANEW:
+        split = split_blocks(placed.select("root", "doc", "n_shingles", "tokens"), path, num, den, miss, time + 1)
+        return links.union(_block_links(split, f"{path}/again{time}", num, den, miss, time + 1))
+    rest = save(placed.join(main.select("root", "main"), "root").where("comp != main").select("root", "doc", "comp", "tokens"), f"{path}/rest")
     return links.union(save(_compare(placed, rest, num, den), f"{path}/more"))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100, miss: float = 0.0) -> DataFrame:
     """(key, n_shingles, component_id) of every row: the smallest key that links reach, the row's own included.
 
-    The defaults are five words and a similarity of 0.8. miss bounds the probability that a pair at the threshold
-    shares no key; 0 loses none. At low thresholds sure parts hold so few shingles that shared passages
-    chain unrelated texts into huge blocks; a miss of, say, 1e-9 gives fewer and fuller parts.
+    The defaults are five words and a similarity of 0.8. miss bounds the probability that a linked pair shares no key;
+    0 loses none. At low thresholds the sure way needs two keys for each difference; a miss of, say, 1e-15 gives long
+    texts fewer ones (see Levels.plan), short texts stay sure.
     """
     spark = docs.sparkSession
-    path = scratch(spark, "join")
+    root = scratch(spark, "join")
+    path = f"{root}/work"
     candidates = save(candidate_links(docs, key, text, size, num, den, miss), f"{path}/candidates")
     blocks = components(candidates)
     facts = save(facts_of(docs, blocks, key, text, size), f"{path}/facts")
     known = facts.where("tokens IS NOT NULL")
     same = ["n_shingles", "h1", "h2"]
-    heads = save(known.groupBy(*same).agg(F.min("doc").alias("head")), f"{path}/heads")
-    copies = known.select("doc", *same).join(heads, same).where("doc != head").select(F.col("doc").alias("src"), F.col("head").alias("dst"))
+    heap = F.pmod(F.xxhash64("doc", F.lit(8)), F.lit(HEAPS)).alias("heap")
+    heaps = save(known.groupBy(*same, heap).agg(F.min("doc").alias("low")), f"{path}/heaps")
+    heads = save(heaps.groupBy(*same).agg(F.min("low").alias("head")), f"{path}/heads")
+    copies = known.select("doc", *same, heap).join(heaps, [*same, "heap"]).where("doc != low").select(F.col("doc").alias("src"), F.col("low").alias("dst"))
+    lows = heaps.join(heads, same).where("low != head").select(F.col("low").alias("src"), F.col("head").alias("dst"))
+    links = [save(copies, f"{path}/copies"), lows]
     distinct = known.join(heads.withColumnRenamed("head", "doc"), ["doc", *same]).dropDuplicates(["doc", *same])
     members = save(distinct.join(blocks.withColumnRenamed("node", "doc"), "doc").select("root", "doc", "n_shingles", "tokens"), f"{path}/members")
-    sizes = save(members.groupBy("root").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).where("members > 1"), f"{path}/sizes")
-    large = (F.col("members") > BLOCK_MEMBERS) | (F.col("total") > BLOCK_SHINGLES)
-    few = members.join(sizes.where(~large), "root")
-    links = [copies, _tree_links(few, ["root"], num, den, False)]
-    big = sizes.where(large)
-    if not big.isEmpty():
-        inner = save(members.join(big, "root"), f"{path}/large")
-        links.append(_large_links(inner, path, num, den))
+    links.append(_block_links(members, path, num, den, miss))
     found = save(union_all(links).distinct(), f"{path}/links")
     comp = components(found)
     out = facts.select("doc", "n_shingles").join(comp, F.col("doc") == F.col("node"), "left")
-    out = save(out.select(F.col("doc").alias(key), "n_shingles", F.coalesce("root", F.col("doc").cast("long")).alias("component_id")), f"{path}/groups")
-    discard(spark, *(f"{path}/{x}" for x in ("candidates", "facts", "heads", "members", "sizes", "large", "links", "local", "to_hubs", "placed", "rest", "more")))
+    out = save(out.select(F.col("doc").alias(key), "n_shingles", F.coalesce("root", F.col("doc").cast("long")).alias("component_id")), f"{root}/groups")
+    discard(spark, path)
     return out
 
 
