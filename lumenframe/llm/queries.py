@@ -19,8 +19,13 @@ MODULES = {
 }
 
 
+def load(name: str):
+    """A query, imported with what its module needs."""
+    return getattr(import_module(f".{MODULES[name]}", __package__), name)
+
+
 def queries() -> dict:
-    return {name: getattr(import_module(f".{m}", __package__), name) for name, m in MODULES.items()}
+    return {name: load(name) for name in MODULES}
 
 
 def oracle_sql() -> dict[str, str]:
