@@ -23,6 +23,7 @@ entities has no terms; other columns are carried by sanitise() only; an empty ta
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import bounded_batches, discard, filter_of, filter_passes, save, scratch, take_over
+from .common import bounded_batches, discard, filter_of, filter_passes, kept, save, scratch, take_over
 from .secrets import count, joined
 
 #: Kinds in the order of the base digest; terms follow.
@@ -106,34 +107,47 @@ def normal(kind: int, value: str) -> str:
     return "".join(_DIGIT.findall(value)) if kind > 1 else value.lower()
 
 
-def _inside(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
-    """Words inside entities, by one sweep over the merged spans."""
-    out: set[str] = set()
+def _contexts(text: str):
+    """(entity, context, words) of each base span: hashes of its value and of the words around it, and the candidate terms there.
+
+    A context is the NEAR words outside entities on either side, however far they are.
+    """
+    spans = base_spans(text)
+    if not spans:
+        return
     merged: list[list[int]] = []
     for start, end in sorted((s, e) for _, s, e in spans):
         if merged and start <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], end)
         else:
             merged.append([start, end])
+    inside: set[str] = set()
     for start, end in merged:
-        out.update(_LETTERS.findall(text[start:end].lower()))
-    return out
-
-
-def _contexts(text: str):
-    """(entity, context, words) of each base span: hashes of its value and its neighbours, and the candidate terms there."""
-    spans = base_spans(text)
-    inside = _inside(text, spans)
+        inside.update(_LETTERS.findall(text[start:end].lower()))
+    words: list[str] = []
+    places: list[int] = []
+    at = 0
+    for m in _LETTERS.finditer(text):
+        while at < len(merged) and merged[at][1] <= m.start():
+            at += 1
+        if at == len(merged) or merged[at][0] >= m.end():
+            words.append(m[0].lower())
+            places.append(m.start())
+    hashes = [xxh3_64_intdigest(w.encode()) for w in words] if len(spans) > NEAR else None  # long words are hashed once
     for kind, start, end in spans:
         entity = xxh3_64_intdigest(f"{kind}:{normal(kind, text[start:end])}".encode())
-        sides = []
-        for words, take in ((text[max(0, start - 400) : start].split(), slice(-NEAR, None)), (text[end : end + 400].split(), slice(0, NEAR))):
-            sides += words[take]
-        yield entity, xxh3_64_intdigest(" ".join(sides).lower().encode()), {t for w in sides for t in terms_of(w)} - inside
+        left, right = bisect_left(places, start), bisect_left(places, end)
+        low, high = max(0, left - NEAR), right + NEAR
+        own = [*words[low:left], *words[right:high]]
+        marks = [*hashes[low:left], *hashes[right:high]] if hashes else [xxh3_64_intdigest(w.encode()) for w in own]
+        yield entity, xxh3_64_intdigest(repr(marks).encode()), {w for w in own if len(w) >= TERM_LETTERS} - inside
 
 
 def disclosing_terms(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame | None:
-    """(term, hashed) of terms whose disclosure of some entity reaches the threshold; None without candidates."""
+    """(term, hashed) of terms whose disclosure of some entity reaches the threshold; None without candidates.
+
+    What is written under path on the way is deleted; the result is a checkpoint.
+    """
     spark = df.sparkSession
     texts = bounded_batches(df).where(F.col(text).isNotNull()).select(text, F.xxhash64(text).alias("content"))
 
@@ -170,6 +184,7 @@ def disclosing_terms(df: DataFrame, path: str, key: str = "doc_id", text: str =
     together = save(together.where(discloses(F.col("least_of_term"))), f"{path}/together")
     candidates = save(together.select("term").distinct(), f"{path}/candidates")
     if candidates.isEmpty():
+        discard(spark, path)
         return None
     hashed = save(candidates.mapInArrow(_hash_terms, "term string, hashed long"), f"{path}/hashed")
     bits = spark.sparkContext.broadcast(filter_of(hashed, "hashed"))
@@ -197,7 +212,9 @@ def disclosing_terms(df: DataFrame, path: str, key: str = "doc_id", text: str =
     by_text = words.groupBy("term", "content").agg(F.sum("n").alias("n"))
     spread = by_text.groupBy("term").agg(F.sum(F.when(F.col("content").isNull(), F.col("n")).otherwise(1)).alias("of_term"))
     found = together.join(spread, "term").where(discloses(F.greatest("of_term", "least_of_term"))).select("term").distinct()
-    return save(found.join(hashed, "term"), f"{path}/found")
+    found = kept(found.join(hashed, "term"))
+    discard(spark, path)
+    return found
 
 
 def _hash_terms(batches):
@@ -268,7 +285,7 @@ def sanitise(df: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     found = disclosing_terms(df, path, key, text)
     rows = df.withColumn("_terms", F.lit(None).cast("array<struct<kind:string,start:int,stop:int>>"))
     if found is not None and not found.isEmpty():
-        terms = save(term_spans(df, found, key, text), f"{path}/terms").select(F.col(key).alias("_key"), F.col("content").alias("_content"), F.col("terms").alias("_terms"))
+        terms = kept(term_spans(df, found, key, text)).select(F.col(key).alias("_key"), F.col("content").alias("_content"), F.col("terms").alias("_terms"))
         rows = df.join(terms, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_content")), "left").drop("_key", "_content")
     names = [f.name for f in df.schema]
     at = names.index(text)
@@ -294,9 +311,8 @@ def op5_pii(spark, sf_dir):
 
     docs, path = table(spark, sf_dir, "documents"), scratch(spark, "pii")
     found = disclosing_terms(docs, path)
-    terms = None if found is None else save(term_spans(docs, found), f"{path}/terms")
-    discard(spark, f"{path}/near", f"{path}/together", f"{path}/contents")
+    terms = None if found is None else kept(term_spans(docs, found))
     out = scan(docs, terms=terms)
     spans = F.col("spans")
     counts = [count(spans, k).alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", *counts[:4], F.sha2(joined(spans, KINDS[:4]), 256).alias("base_sha256"), joined(spans).alias("spans"), counts[4])
+    return out.select("doc_id", *counts[:4], F.sha2(joined(spans, KINDS[:4]), 256).alias("base_sha256"), joined(spans).alias("spans"), counts[4], F.size(spans).cast("long").alias("n_spans"))
