@@ -19,12 +19,12 @@ columns are carried if asked for.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ SMOOTH = 0.01
 AMBIGUOUS = 0.10
 #: How sharply differences in loss become a score.
 SHARPNESS = 8.0
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _BLOCK_BYTES, _BLOCK_ROWS = 1_000_000, 64
 
@@ -146,20 +146,23 @@ def predict(model: Model, texts: list[bytes | None]) -> list[tuple[str, float, b
     return out
 
 
-def identify(df: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The carried columns with lang_pred, score and ambiguous."""
+def identify(df: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """The carried columns with the language, its score and whether it is ambiguous, under the given names.
+
+    Carried columns that have one of the names are left out; give other names to keep them.
+    """
     carry = df.columns if carry is None else carry
     shared = df.sparkSession.sparkContext.broadcast(model)  # languages by buckets: a fixed size
-    own = [c for c in carry if c not in ("lang_pred", "score", "ambiguous")]
+    own = [c for c in carry if c not in names]
 
     def run(batches):
         take_over("langid", lambda: None)
         for b in batches:
             got = [x for _, texts in blocks(b.column(len(own)), _BLOCK_BYTES, _BLOCK_ROWS) for x in predict(shared.value, texts)]
             cols = list(zip(*got, strict=True)) if got else [[], [], []]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *map(pa.array, cols, (pa.string(), pa.float64(), pa.bool_()))], names=[*own, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *map(pa.array, cols, (pa.string(), pa.float64(), pa.bool_()))], names=[*own, *names])
 
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in own), "lang_pred string, score double, ambiguous boolean"])
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in own), *(f"`{c}` {t}" for c, t in zip(names, ("string", "double", "boolean"), strict=True))])
     return bounded_batches(df).select(*own, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
