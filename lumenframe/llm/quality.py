@@ -5,18 +5,15 @@ texts and of raw text. A text's log importance weight is its n-grams' log probab
 the target model less that under the raw one. Adding Gumbel noise to the weights and taking
 the k largest samples k texts without replacement in proportion to their weights.
 
-The weights are tempered: the log weight of a text of more than EVIDENCE n-grams is divided by
-their number over EVIDENCE. A plain sum over a long text is far larger than the noise, and the
-sample would be all but the texts of the largest sums. The README gives the measured effect.
-
 The raw model counts every text. The target model may be fitted on a bounded sample of
 labelled texts: TARGET_ROWS keys at most in expectation, the smallest by hash, which is the only thing
 broadcast besides the models (BUCKETS numbers). The k-th largest key is found by counting
 in ever finer ranges, so nothing is sorted in one place.
 
 Defined results: null or empty text has weight 0; the noise depends on the key and seed only, so
-reruns agree; ties go to the smaller key; rows that repeat a key at the threshold are all kept;
-without target texts all weights are 0; an empty table gives an empty result.
+reruns agree; ties go to the smaller key (null first), then to fewer n-grams; of rows alike in all this as many
+are kept as are left of k, so k rows stay whatever repeats; keys may be of any type that sorts; other columns are
+not read; without target texts all weights are 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,15 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, bounded_batches, kept, mix64, take_over
+from .common import WordHash, bounded_batches, kept, mix64, running, take_over
 
 BUCKETS = 10_000
 #: Labelled target texts that are fitted on, at most (expected).
 TARGET_ROWS = 20_000
 #: Share of the texts that is sampled.
 KEEP = 0.5
-#: A text's weight counts as that of so many n-grams at most, in mean; longer texts would drown the noise.
-EVIDENCE = 100.0
 _WORDS = WordHash()
 
 
@@ -91,7 +86,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "
             for t in b.column(1):
                 at = buckets(t.as_buffer().to_pybytes()) if t.is_valid else np.empty(0, np.int64)
                 n.append(len(at))
-                w.append(float(shared.value[at].sum()) / max(1.0, len(at) / EVIDENCE))
+                w.append(float(shared.value[at].sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(w, pa.float64())], names=[key, "n_grams", "log_weight"])
 
     return bounded_batches(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, n_grams long, log_weight double")
@@ -128,11 +123,10 @@ def sample(weighted: DataFrame, k: int, key: str = "doc_id", seed: int = 1) -> D
     least = kth_largest(rows, "gumbel_key", k)
     if least is None:
         return rows.withColumn("kept", F.lit(k > 0))
-    above = rows.where(F.col("gumbel_key") > least).count()
-    at = rows.where(F.col("gumbel_key") == least)
-    last = kth_largest(at.select((-F.col(key).cast("double")).alias("v")), "v", k - above)
-    tie = F.col(key).cast("double") <= (-last if last is not None else float("inf"))
-    return rows.withColumn("kept", (F.col("gumbel_key") > least) | ((F.col("gumbel_key") == least) & F.coalesce(tie, F.lit(True))))
+    left = k - rows.where(F.col("gumbel_key") > least).count()
+    at = running(rows.where(F.col("gumbel_key") == least), [F.col(key).asc_nulls_first(), F.col("n_grams")], {"_rank": F.lit(1)})
+    at = at.withColumn("kept", F.col("_rank") < left).drop("_rank")
+    return rows.where(F.col("gumbel_key") != least).withColumn("kept", F.col("gumbel_key") > least).unionByName(at)
 
 
 def target_sample(labels: DataFrame, key: str = "doc_id", rows: int = TARGET_ROWS) -> np.ndarray:
