@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, take_over
 
 #: Samples in a row of the image, and the sample that fills the last row.
 WIDTH, PAD = 576, 255
@@ -95,6 +95,7 @@ def write_shards(df: DataFrame, root: str, key: str = "doc_id", content: str = "
     names = [key, "n_bytes", "digest", "shard", "offset", "length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("media", lambda: None)
         store, top = fs.FileSystem.from_uri(root)
         shard, out, at, seen = f"shard-{uuid.uuid4().hex}.tar", None, 0, {}
         for b in batches:
@@ -149,6 +150,7 @@ def _per_member(index: DataFrame, root: str, add: list[tuple[str, pa.DataType, s
     base = [f.name for f in kinds if f.name not in {n for n, _, _ in add}]
 
     def run(batches):
+        take_over("media", lambda: None)
         reader, known = _Reader(root), {}
         for b in batches:
             out = []
