@@ -48,6 +48,11 @@ def _extreme(kind: str) -> str:
     return W(MOVIE, DISK1, _neighbours("none"), f"SELECT {CELL}, (first(own) = {kind}(value) AND max(value) - min(value) > 0.1)::INT AS value FROM n GROUP BY {CELL}")
 
 
+def _diffused(source: str, name: str) -> str:
+    """One explicit step of diffusion with conduction exp(-(d / 0.3)^2), a tenth of the flow."""
+    return f"{name} AS (SELECT k.frame, k.height, k.width, any_value(k.value) + 0.1::DOUBLE * sum((q.value - k.value) * exp(-power((q.value - k.value) / 0.3::DOUBLE, 2))) AS value FROM {source} k JOIN {source} q ON q.frame = k.frame AND abs(q.height - k.height) + abs(q.width - k.width) = 1 GROUP BY k.frame, k.height, k.width)"
+
+
 #: Power spectrum of each trace: bins 0 to 32.
 POWER = TRACES + """, f AS (SELECT unnest(range(33)) AS k), w AS (
   SELECT unit_id, k, (power(sum(value * cos(2 * pi() * k * frame / 64)), 2) + power(sum(value * sin(2 * pi() * k * frame / 64)), 2)) / 64 AS pw FROM t, f GROUP BY unit_id, k)"""
@@ -148,6 +153,7 @@ SQL: dict[str, str] = {
     "denoise_median": W(MOVIE, BOX, _neighbours("edge"), f"SELECT {CELL}, {R('median(value)', name='value')} FROM n GROUP BY {CELL}"),
     "denoise_gaussian": W(MOVIE, BOX, _neighbours("mirror"), f"SELECT {CELL}, {R('sum(value * exp(-(dy * dy + dx * dx) / 2.0::DOUBLE)) / sum(exp(-(dy * dy + dx * dx) / 2.0::DOUBLE))', name='value')} FROM n GROUP BY {CELL}"),
     "denoise_bilateral": W(MOVIE, DISK1, _neighbours("mirror"), "g AS (SELECT *, exp(-(dy * dy + dx * dx) / (2 * 1.5::DOUBLE * 1.5::DOUBLE) - (value - own) * (value - own) / (2 * 0.2::DOUBLE * 0.2::DOUBLE)) AS w FROM n)", f"SELECT {CELL}, {R('sum(w * value) / sum(w)', name='value')} FROM g GROUP BY {CELL}"),
+    "denoise_anisotropic": W(MOVIE, *[_diffused(a, b) for a, b in (("m", "s1"), ("s1", "s2"), ("s2", "s3"))], f"SELECT {CELL}, {R()} FROM s3"),
     "glow_removal": W(MOVIE, f"SELECT {CELL}, {R('value - min(value) OVER (PARTITION BY height, width)', name='value')} FROM m"),
     "coarsen_mean": W(MOVIE, f"SELECT min(frame) AS frame, min(height) AS height, width, {R('avg(value)', name='value')} FROM m GROUP BY frame // 3, height // 2, width HAVING count(*) = 6"),
     "local_extreme_max": _extreme("max"),
@@ -175,6 +181,21 @@ SQL: dict[str, str] = {
         "c AS (SELECT unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b)",
         f"SELECT v.frame, v.height, v.width, {R('sum((CASE a WHEN 0 THEN 1 - fy ELSE fy END) * (CASE b WHEN 0 THEN 1 - fx ELSE fx END) * coalesce(k.value, 0))', name='value')} FROM v, c LEFT JOIN m k ON k.frame = v.frame AND k.height = v.y0 + c.a AND k.width = v.x0 + c.b GROUP BY v.frame, v.height, v.width",
     ),
+    "match_template": W(
+        MOVIE,
+        "o AS (SELECT x.d AS dy, y.d AS dx FROM (SELECT unnest(range(-2, 3)) AS d) x, (SELECT unnest(range(-2, 3)) AS d) y)",
+        "c AS (SELECT a.frame, o.dy, o.dx, corr(a.value, b.value) AS r FROM m a, o JOIN m b ON b.frame = a.frame + 1 AND b.height + o.dy = a.height AND b.width + o.dx = a.width GROUP BY a.frame, o.dy, o.dx)",
+        "SELECT frame, arg_max(dy, r)::DOUBLE AS dy, arg_max(dx, r)::DOUBLE AS dx FROM c GROUP BY frame",
+    ),
+    "patch_shifts": W(
+        MOVIE,
+        "b AS (SELECT frame, height // 4 AS g0, width // 4 AS g1, height % 4 AS h, width % 4 AS w, value FROM m)",
+        "x AS (SELECT p.frame, p.g0, p.g1, (p.h - q.h + 4) % 4 AS dy, (p.w - q.w + 4) % 4 AS dx, sum(p.value * q.value) AS c FROM b p JOIN b q ON q.frame = p.frame + 1 AND q.g0 = p.g0 AND q.g1 = p.g1 GROUP BY ALL)",
+        "pk AS (SELECT frame, g0, g1, arg_max(dy, c) AS py, arg_max(dx, c) AS px, max(c) AS c0 FROM x GROUP BY frame, g0, g1)",
+        "nb AS (SELECT pk.*, max(x.c) FILTER (WHERE x.dx = px AND x.dy = (py + 3) % 4) AS up, max(x.c) FILTER (WHERE x.dx = px AND x.dy = (py + 1) % 4) AS dn, max(x.c) FILTER (WHERE x.dy = py AND x.dx = (px + 3) % 4) AS lf, max(x.c) FILTER (WHERE x.dy = py AND x.dx = (px + 1) % 4) AS rt FROM pk JOIN x USING (frame, g0, g1) GROUP BY ALL)",
+        "loc AS (SELECT frame, g0, g1, py + 0.5 * (up - dn) / (up - 2 * c0 + dn) AS y, px + 0.5 * (lf - rt) / (lf - 2 * c0 + rt) AS x FROM nb)",
+        f"SELECT frame, g0::INT AS grid0, g1::INT AS grid1, {R('CASE WHEN y > 2 THEN y - 4 ELSE y END', 4, 'dy')}, {R('CASE WHEN x > 2 THEN x - 4 ELSE x END', 4, 'dx')} FROM loc",
+    ),
     "max_proj": W(MOVIE, f"SELECT height, width, {R('max(value)', name='value')} FROM m GROUP BY height, width"),
     "seeds_windows": W(MOVIE, "z AS (SELECT count(*) AS n, ceil(count(*) / 40.0)::INT + 1 AS c FROM embeddings)", "w AS (SELECT i AS sample, greatest(0, floor(i * (n - 1)::DOUBLE / (c - 1) - 50)) AS lo, ceil(i * (n - 1)::DOUBLE / (c - 1) + 50) AS hi FROM z, (SELECT unnest(range(0, 100000)) AS i) WHERE i < c)", f"SELECT sample::INT AS sample, height, width, {R('max(value)', name='value')} FROM w JOIN m ON frame >= lo AND frame < hi GROUP BY sample, height, width"),
     "ptp_quantile": W(TRACES, f"SELECT unit_id, {R('quantile_cont(value, 0.95) - quantile_cont(value, 0.05)', name='ptp')} FROM t GROUP BY unit_id"),
@@ -192,6 +213,12 @@ SQL: dict[str, str] = {
     "noise_fft_median": _noise("sqrt(median(pw))"),
     "noise_fft_logmexp": _noise("sqrt(exp(avg(ln(pw + 2.220446049250313e-16))))"),
     "noise_fft_sum": _noise("sqrt(sum(pw))"),
+    "noise_welch": W(
+        TRACES,
+        "x AS (SELECT unit_id, frame, (value - avg(value) OVER (PARTITION BY unit_id)) * (0.5 - 0.5 * cos(2 * pi() * frame / 64)) AS v FROM t)",
+        "w AS (SELECT unit_id, k, 2 * (power(sum(v * cos(2 * pi() * k * frame / 64)), 2) + power(sum(v * sin(2 * pi() * k * frame / 64)), 2)) / (SELECT sum(power(0.5 - 0.5 * cos(2 * pi() * i / 64), 2)) FROM (SELECT unnest(range(64)) AS i)) AS pw FROM x, (SELECT unnest(range(17, 32)) AS k) GROUP BY unit_id, k)",
+        f"SELECT unit_id, {R('sqrt(exp(avg(ln(pw / 2 + 2.220446049250313e-16))))', name='sn')} FROM w GROUP BY unit_id",
+    ),
     "smooth_low": W(_fft(0, 16), f"SELECT unit_id, frame, {R()} FROM y"),
     "smooth_high": W(_fft(16, 33), f"SELECT unit_id, frame, {R()} FROM y"),
     "butter": f"""WITH RECURSIVE {TRACES}, k AS (SELECT tan(pi() * 0.2) AS k), b AS (SELECT k * k / (1 + sqrt(2) * k + k * k) AS b0, 2 * (k * k - 1) / (1 + sqrt(2) * k + k * k) AS a1, (1 - sqrt(2) * k + k * k) / (1 + sqrt(2) * k + k * k) AS a2 FROM k),
@@ -199,6 +226,13 @@ SQL: dict[str, str] = {
   UNION ALL SELECT r.unit_id, r.frame + 1, t.value, x1, b0 * t.value + 2 * b0 * x1 + b0 * x2 - a1 * y1 - a2 * y2, y1 FROM r JOIN t ON t.unit_id = r.unit_id AND t.frame = r.frame + 1, b)
  SELECT unit_id, frame, {R('y1', name='value')} FROM r""",
     "ar1": W(TRACES, "d AS (SELECT unit_id, frame, value - avg(value) OVER (PARTITION BY unit_id) AS v FROM t), g AS (SELECT x.unit_id, l, sum(x.v * y.v) / 64 AS c FROM d x, (SELECT unnest([0, 1, 2]) AS l) JOIN d y ON y.unit_id = x.unit_id AND y.frame = x.frame + l GROUP BY ALL), k AS (SELECT unit_id, max(c) FILTER (WHERE l = 0) - 0.05 * 0.05 AS r0, max(c) FILTER (WHERE l = 1) AS c1, max(c) FILTER (WHERE l = 2) AS c2 FROM g GROUP BY unit_id)", f"SELECT unit_id, {R('(r0 * c1 + c1 * c2) / (r0 * r0 + c1 * c1)', 5, 'g')} FROM k"),
+    "ar2": W(
+        TRACES,
+        "d AS (SELECT unit_id, frame, value - avg(value) OVER (PARTITION BY unit_id) AS v FROM t), g AS (SELECT x.unit_id, l, sum(x.v * y.v) / 64 AS c FROM d x, (SELECT unnest(range(5)) AS l) JOIN d y ON y.unit_id = x.unit_id AND y.frame = x.frame + l GROUP BY ALL)",
+        "k AS (SELECT unit_id, max(c) FILTER (WHERE l = 0) - 0.05::DOUBLE * 0.05::DOUBLE AS c0, max(c) FILTER (WHERE l = 1) AS c1, max(c) FILTER (WHERE l = 2) AS c2, max(c) FILTER (WHERE l = 3) AS c3, max(c) FILTER (WHERE l = 4) AS c4 FROM g GROUP BY unit_id)",
+        "n AS (SELECT unit_id, c0 * c0 + c1 * c1 + c2 * c2 + c3 * c3 AS a, c0 * c1 + c1 * c0 + c2 * c1 + c3 * c2 AS b, c1 * c1 + c0 * c0 + c1 * c1 + c2 * c2 AS d, c0 * c1 + c1 * c2 + c2 * c3 + c3 * c4 AS p, c1 * c1 + c0 * c2 + c1 * c3 + c2 * c4 AS q FROM k)",
+        f"SELECT unit_id, {R('(p * d - q * b) / (a * d - b * b)', 4, 'g1')}, {R('(a * q - b * p) / (a * d - b * b)', 4, 'g2')} FROM n",
+    ),
     "rising_run": W(TRACES, "d AS (SELECT *, lead(value) OVER w > value AS up, row_number() OVER w AS n FROM t WINDOW w AS (PARTITION BY unit_id ORDER BY frame)), g AS (SELECT *, n - row_number() OVER (PARTITION BY unit_id, up ORDER BY frame) AS k FROM d), r AS (SELECT unit_id, k, count(*) AS p, min(frame) AS f, arg_max(value, frame) - arg_min(value, frame) AS amp FROM g WHERE up GROUP BY ALL)", "SELECT unit_id, first(p ORDER BY amp DESC, f) AS p FROM r GROUP BY unit_id"),
     "med_baseline": W(TRACES, "o AS (SELECT unnest([-2, -1, 0, 1, 2]) AS d), n AS (SELECT t.unit_id, t.frame, t.value AS own, k.value FROM t, o JOIN t k ON k.unit_id = t.unit_id AND k.frame = CASE WHEN t.frame + d < 0 THEN -1 - (t.frame + d) WHEN t.frame + d > 63 THEN 127 - (t.frame + d) ELSE t.frame + d END)", f"SELECT unit_id, frame, {R('greatest(first(own) - median(value), 0)', name='value')} FROM n GROUP BY unit_id, frame"),
     "ar_response": W(TRACES, f"SELECT x.unit_id, x.frame, {R('sum(y.value * power(0.8::DOUBLE, x.frame - y.frame))', name='value')} FROM t x JOIN t y ON y.unit_id = x.unit_id AND y.frame <= x.frame GROUP BY x.unit_id, x.frame"),
