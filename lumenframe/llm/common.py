@@ -141,9 +141,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
 
     def settled(e: DataFrame) -> bool:
         """Every node has one neighbour, and no neighbour has one: a star for each component."""
-        if not e.groupBy("u").count().where("count > 1").isEmpty():
-            return False
-        return e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+        return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
     path = scratch(spark, "cc")
     e = save(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u != v").distinct(), path)

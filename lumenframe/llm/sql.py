@@ -72,6 +72,28 @@ SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
+OP8 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                 ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS sh FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), k AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM k JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)
+), e AS (
+  SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l
+), r(doc_id, root) AS (
+  SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id
+), c AS (
+  SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
 OP9 = f"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS digest FROM pages
@@ -82,4 +104,4 @@ SELECT page_id, payload_bytes, {_base32("digest")} AS payload_digest,
 FROM p JOIN h USING (html)
 """
 
-SQL: dict[str, str] = {"op7_mix": OP7, "op9_warc": OP9, "op10_ann": OP10}
+SQL: dict[str, str] = {"op7_mix": OP7, "op8_ngram_join": OP8, "op9_warc": OP9, "op10_ann": OP10}
