@@ -59,7 +59,7 @@ def test_estimate_recovers_drift():
     from lumenframe.plans.simulate import planted_movie
 
     p = planted_movie(60, 48, 9, 0.01, 0.3, 0.5, seed=3)
-    _, found = shifts.estimate(p["movie"], 3)
+    _, found, _ = shifts.estimate(p["movie"], 3)
     assert np.sqrt(((-found - p["shifts"]) ** 2).mean()) < 0.5
 
 
@@ -167,3 +167,70 @@ def test_avi_and_tiff_round_trip():
     ifd = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags) + struct.pack("<I", 0)
     data = b"II*\0" + struct.pack("<I", 8 + len(page)) + page + ifd
     assert (video.decode_tiff(data)[0] == f[0]).all()
+
+
+def test_bad_frames_and_wrong_templates_leave_the_others_alone():
+    """Noise frames are no targets when they are known to be bad; masks and facing ends change nothing where all is well."""
+    rng = np.random.default_rng(31)
+    y, x = np.mgrid[:48, :48]
+    scene = sum(a * np.exp(-((y - b) ** 2 + (x - c) ** 2) / 18) for a, b, c in zip(rng.uniform(1, 2, 8), rng.uniform(12, 36, 8), rng.uniform(12, 36, 8), strict=True))
+    true = np.cumsum(rng.uniform(-0.8, 0.8, (24, 2)), 0)
+    movie = np.stack([images.translate(scene, *t) for t in true])
+    bad = [5, 11, 17]
+    movie[bad] = rng.uniform(0, 2, (3, 48, 48))
+    fine = [i for i in range(24) if i not in bad]
+    quality = np.array([shifts.template_quality(f, 20) for f in movie])
+    assert (quality[fine] > 0.5).mean() >= 0.8
+    moved = lambda s: np.abs((s[fine] - s[fine].mean(0)) + (true[fine] - true[fine].mean(0))).max()
+    movie[bad] = 0.0  # blank frames have no roundness at all
+    movie[bad, 0, 0] = movie[bad, 47, 47] = 1.0
+    assert all(shifts.template_quality(movie[i], 20) < 0.3 for i in bad)
+    _, known, ends = shifts.estimate(movie, 3, circ_thres=0.3, max_sh=20)
+    assert moved(known) < 0.5 and ends[0].shape == (48, 48)
+    _, other, _ = shifts.estimate(movie, 3, circ_thres=0.3, max_sh=20, alt_error=1.0, mask=0.01)
+    assert moved(other) < 0.5
+    with np.testing.assert_raises(ValueError):
+        shifts.estimate(movie, 3, how="median")
+
+
+def test_roundness_of_outlines():
+    y, x = np.mgrid[:41, :41]
+    disk = (y - 20) ** 2 + (x - 20) ** 2 <= 15**2
+    assert 0.85 < shifts.roundness(disk) <= 1.0
+    ring = disk & ((y - 20) ** 2 + (x - 20) ** 2 > 5**2)
+    assert shifts.roundness(ring) == shifts.roundness(disk)
+    square = np.zeros((9, 9), bool)
+    square[2:7, 2:7] = True
+    assert shifts.roundness(square) == pytest.approx(4 * np.pi * 16 / 16**2)
+    two = square.copy()
+    two[0, 0] = True
+    assert shifts.roundness(two) == 0 and shifts.roundness(np.zeros((3, 3), bool)) == 0
+    assert shifts.roundness(np.eye(5, dtype=bool)) == 0.0
+
+
+def test_local_and_subpixel_matching():
+    rng = np.random.default_rng(32)
+    y, x = np.mgrid[:32, :32]
+    f = sum(np.exp(-((y - b) ** 2 + (x - c) ** 2) / 20) for b, c in rng.uniform(8, 24, (5, 2)))
+    for move in ((0.4, -0.3), (2.6, 1.2), (-3.0, 2.0)):
+        got = shifts.match_template(f, images.translate(f, *move), 6, subpixel=True)
+        assert got == pytest.approx([-move[0], -move[1]], abs=0.35)
+        assert shifts.match_template(f, images.translate(f, *move), 6) == pytest.approx(np.round([-move[0], -move[1]]), abs=1)
+    wave = np.sin(2 * np.pi * x / 8) + 0.01 * y
+    assert abs(shifts.match_template(wave, np.roll(wave, 1, 1), 12, local=True)[1]) <= 1
+    flat = np.ones((6, 6))
+    assert (shifts.match_template(flat, flat, 2) == 0).all()
+
+
+def test_fields_of_shifts_are_applied():
+    rng = np.random.default_rng(33)
+    f = images.gaussian_filter(rng.normal(size=(1, 64, 64)), 9, 2.0)[0]
+    uniform = np.full((4, 4, 2), (1.5, -2.0))
+    assert shifts.apply_field(f, uniform, 16) == pytest.approx(images.translate(f, 1.5, -2.0))
+    field = np.zeros((4, 4, 2))
+    field[:2, :, 0], field[2:, :, 0] = 1.0, -1.0
+    warped = shifts.apply_field(f, field, 16)
+    back = shifts.patch_field(f, warped, 16)
+    fixed = shifts.apply_field(warped, back, 16)
+    inner = slice(10, 54)
+    assert np.abs(fixed - f)[inner, inner].mean() < 0.6 * np.abs(warped - f)[inner, inner].mean()

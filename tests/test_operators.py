@@ -194,3 +194,51 @@ def test_large_parts_split_as_one_task_would(spark, monkeypatch, n, target):
     monkeypatch.setattr(graph, "TASK_POINTS", 40)
     got = {r["id"]: r["part"] for r in graph.kd_partition(df.repartition(3), target).collect()}
     assert got == want and (not n or max(np.bincount(list(got.values()))) <= target)
+
+
+def test_motion_with_bad_frames_and_fields(spark):
+    """Blank frames do not disturb the others' shifts; a field of shifts moves patches their own way."""
+    rng = np.random.default_rng(41)
+    y, x = np.mgrid[:40, :40]
+    scene = sum(np.exp(-((y - b) ** 2 + (x - c) ** 2) / 16) for b, c in rng.uniform(12, 28, (6, 2)))
+    from lumenframe.functions import images, shifts
+
+    true = np.cumsum(rng.uniform(-0.6, 0.6, (30, 2)), 0)
+    movie = np.stack([images.translate(scene, *t) for t in true])
+    bad = [4, 13, 22]
+    movie[bad] = 0.0
+    movie[bad, 0, 0] = movie[bad, 39, 39] = 1.0
+    df = spark.createDataFrame([(i, 40, 40, f.ravel().tolist()) for i, f in enumerate(movie)], "frame long, height int, width int, px array<double>")
+    fine = [i for i in range(30) if i not in bad]
+    for how in ({"circ_thres": 0.3, "max_sh": 15}, {"circ_thres": 0.3, "max_sh": 15, "alt_error": 1.0, "mask": 0.01}):
+        got = motion.estimate_motion(df, chunk=10, **how).orderBy("frame").toPandas()[["dy", "dx"]].to_numpy()
+        error = (got[fine] - got[fine].mean(0)) + (true[fine] - true[fine].mean(0))
+        assert np.sqrt((error**2).mean()) < 0.5  # as for movies without bad frames
+    one = df.where("frame = 0")
+    fields = motion.estimate_fields(df.where("frame IN (1, 2, 3)"), one, 20)
+    assert fields.count() == 3 * 4
+    fixed = {r["frame"]: np.array(r["px"]).reshape(40, 40) for r in motion.apply_fields(df, fields, 20).collect()}
+    assert set(fixed) == {1, 2, 3}
+    for i, f in fixed.items():
+        field = np.array([[[r["dy"], r["dx"]] for r in sorted((r for r in fields.where(f"frame = {i}").collect() if r["grid0"] == g), key=lambda r: r["grid1"])] for g in (0, 1)])
+        assert f == pytest.approx(shifts.apply_field(movie[i], field, 20))
+
+
+def test_init_c_equals_least_squares(spark):
+    """Overlapping units over more frames than a task solves at once, against numpy."""
+    rng = np.random.default_rng(42)
+    a = np.where(rng.uniform(size=(5, 30)) < 0.5, rng.uniform(0.5, 1, (5, 30)), 0)
+    movie = rng.normal(size=(300, 30))
+    cells = [(f, 0, w, float(movie[f, w])) for f in range(300) for w in range(30)]
+    feet = [(u, 0, w, float(a[u, w])) for u in range(5) for w in range(30) if a[u, w]]
+    got = cnmf.init_c(spark.createDataFrame(cells, "frame long, height int, width int, value double"), spark.createDataFrame(feet, "unit_id long, height int, width int, value double"), 20)
+    want = np.linalg.lstsq(a.T, movie.T, rcond=None)[0]
+    rows = got.collect()
+    assert len(rows) == 1500 and all(r["value"] == pytest.approx(want[r["unit_id"], r["frame"]], abs=1e-6) for r in rows)
+
+
+def test_components_with_nulls_in_keys_agree(spark):
+    rows = [((None, 1), ("a", 2)), (("a", 2), ("b", None)), (("c", 3), ("d", 4))]
+    e = spark.createDataFrame(rows, "src struct<s:string,u:long>, dst struct<s:string,u:long>")
+    here, there = ({(tuple(r["node"]), tuple(r["label"])) for r in graph.connected_components(e, small=n).collect()} for n in (100, 0))
+    assert here == there and len({x for _, x in here}) == 2
