@@ -45,12 +45,12 @@ def cgls(a: np.ndarray, b: np.ndarray, rounds: int = 10) -> np.ndarray:
     return x
 
 
-def deconvolve(y: np.ndarray, g: np.ndarray, noise: float, penalty: float = 1.0, max_iters: int = 200) -> tuple[np.ndarray, np.ndarray, float, float]:
+def deconvolve(y: np.ndarray, g: np.ndarray, noise: float, penalty: float = 1.0, max_iters: int = 200, start: tuple[np.ndarray, float, float] | None = None) -> tuple[np.ndarray, np.ndarray, float, float]:
     """(calcium, spikes, baseline, initial calcium): minimises |y - c - b - c0 d|_2 + noise * penalty * |s|_1.
 
     s = G c >= 0, b >= min(y), c0 >= 0, with d the decay from the first sample. The norm is not squared: as in a
     square-root lasso, its scale and the non-negative problem at that scale take turns; the inner problem is
-    solved by accelerated projected gradient steps.
+    solved by accelerated projected gradient steps, from start (spikes, baseline, initial calcium) if that is given.
     """
     y = np.asarray(y, np.float64)
     t = len(y)
@@ -70,7 +70,9 @@ def deconvolve(y: np.ndarray, g: np.ndarray, noise: float, penalty: float = 1.0,
         v = w / max(np.linalg.norm(w), 1e-12)
     step = 1.0 / max(float(v @ backward(forward(v))) + t + float(decay @ decay), 1e-12)
     s, b, c0 = np.zeros(t), floor, 0.0
-    sigma = max(float(np.linalg.norm(y - floor)), 1e-12)
+    if start is not None:
+        s, b, c0 = np.maximum(start[0], 0), max(floor, start[1]), max(0.0, start[2])
+    sigma = max(float(np.linalg.norm(y - forward(s) - b - c0 * decay)), 1e-12)
     for _ in range(8):
         ps, pb, pc, momentum = s, b, c0, 1.0
         lam = noise * penalty * sigma

@@ -98,13 +98,16 @@ def sub_mask(a: DataFrame, radius: int, height: int, width: int) -> DataFrame:
     return dilate_cells(a.where("value > 0"), radius, height, width, ["unit_id"])
 
 
-def update_spatial(y: DataFrame, a: DataFrame, c: DataFrame, sn: DataFrame, radius: int = 5, penalty: float = 0.5, height: int = 0, width: int = 0, size_thres: tuple = (9, None), normalize: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(A, norm): each pixel's trace by a non-negative lasso on the traces of its candidate units.
+def update_spatial(y: DataFrame, a: DataFrame, c: DataFrame, sn: DataFrame, radius: int = 5, penalty: float = 0.5, height: int = 0, width: int = 0, size_thres: tuple = (9, None), normalize: bool = True, f: DataFrame | None = None) -> tuple[DataFrame, ...]:
+    """(A, norm), and b if f is given: each pixel's trace by a non-negative lasso on the traces of its candidate units.
 
     y is in trace layout (height, width, y); c is (unit_id, y); sn is (height, width, sn). A pixel's row carries the
     traces of its own candidates only, so no task holds all units. Footprints of sizes outside the thresholds go; the rest are scaled by their largest value, which norm keeps.
+    f is the background's trace, one row (y): it is a candidate of every pixel, and its weights are the new background b (height, width, value).
     """
-    near = sub_mask(a, radius, height, width).join(c.select("unit_id", F.col("y").alias("_c")), "unit_id")
+    near = sub_mask(a, radius, height, width).join(c.select("unit_id", F.col("y").alias("_c")), "unit_id").withColumn("unit_id", F.col("unit_id").cast("long"))
+    if f is not None:
+        near = near.unionByName(y.select(*HW).crossJoin(F.broadcast(f.limit(1).select(F.lit(None).cast("long").alias("unit_id"), F.col("y").alias("_c")))))  # one row
     rows = near.groupBy(*HW).agg(F.collect_list(F.struct("unit_id", "_c")).alias("_units")).join(y, HW).join(sn, HW)
 
     @F.pandas_udf("array<double>")
@@ -117,39 +120,64 @@ def update_spatial(y: DataFrame, a: DataFrame, c: DataFrame, sn: DataFrame, radi
 
     done = rows.withColumn("_w", solve("y", "_units", "sn"))
     cells = done.select(*HW, F.explode(F.arrays_zip(F.col("_units.unit_id").alias("unit_id"), F.col("_w").alias("value"))).alias("x"))
-    cells = cells.select("x.unit_id", *HW, "x.value").where("value > 0")
+    every = cells.select("x.unit_id", *HW, "x.value").where("value > 0")
+    cells = every.where("unit_id IS NOT NULL")
     size = cells.groupBy("unit_id").agg(F.count("*").alias("n"), F.max("value").alias("norm"))
     low, high = size_thres
     size = size.where(F.col("n") > (low or 0)) if high is None else size.where((F.col("n") > (low or 0)) & (F.col("n") < high))
     out = cells.join(size, "unit_id")
     value = F.col("value") / F.col("norm") if normalize else F.col("value")
-    return out.select("unit_id", *HW, value.alias("value")), size.select("unit_id", "norm")
+    result = out.select("unit_id", *HW, value.alias("value")), size.select("unit_id", "norm")
+    return result if f is None else (*result, every.where("unit_id IS NULL").select(*HW, "value"))
 
 
-def update_temporal(yra: DataFrame, noise_freq: float = 0.25, p: int = 2, add_lag="p", penalty: float = 1.0, use_smooth: bool = True, med_wd: int | None = None, zero_thres: float = 1e-8, max_iters: int = 200) -> DataFrame:
+def overlap_groups(a: DataFrame, thres: float = 0.1) -> DataFrame:
+    """(unit_id, label): groups of units whose footprints overlap by more than thres (Jaccard), directly or through others."""
+    labels = connected_components(jaccard_edges(a, thres).select("src", "dst"), a.select("unit_id").distinct())
+    return labels.select(F.col("node").alias("unit_id"), "label")
+
+
+def update_temporal(yra: DataFrame, noise_freq: float = 0.25, p: int = 2, add_lag="p", penalty: float = 1.0, use_smooth: bool = True, med_wd: int | None = None, zero_thres: float = 1e-8, max_iters: int = 200, groups: DataFrame | None = None, warm: DataFrame | None = None, post_scal: bool = False) -> DataFrame:
     """(unit_id, c, s, b, c0, g) of traces (unit_id, y): each unit's AR model and deconvolution; units without positive values or spikes go.
 
-    Units share no variables once their traces are given, so each is a row: a group of overlapping units of any size stays spread.
+    Units share no variables once their traces are given, so each is a row: a group of overlapping units of any size stays
+    spread. What a group (unit_id, label; see overlap_groups) shares is the scale that its traces are solved at, the mean of
+    their sums; without groups a unit is its own. warm (unit_id, s, b, c0) is where the solver starts. post_scal scales results by
+    least squares onto the traces. A trace whose solution is not finite gets zeros, so its unit goes.
     """
 
     @F.pandas_udf("c array<double>, s array<double>, b double, c0 double, g array<double>")
-    def solve(traces: pd.Series) -> pd.DataFrame:
+    def solve(traces: pd.Series, totals: pd.Series, starts: pd.Series, firsts: pd.Series, decays: pd.Series) -> pd.DataFrame:
         rows = []
-        for t in traces:
-            y = np.array(t, np.float64)
-            norm = len(y) / y.sum() if y.sum() > 0 else 1.0
-            y = y * norm
+        for t, total, s0, b0, d0 in zip(traces, totals, starts, firsts, decays, strict=True):
+            given = np.array(t, np.float64)
+            norm = len(given) / total if total > 0 else 1.0
+            y = given * norm
             noise = float(S.noise_fft(y[None], (noise_freq, 0.5))[0])
             base = S.median_baseline(y[None], med_wd)[0] if med_wd else y
             g = S.ar_coefficients(S.fft_filter(base, noise_freq, "low") if use_smooth else base, 0.0 if use_smooth else noise, p, add_lag)
             roots = np.roots(np.concatenate([[1.0], -g]))
             if (np.abs(roots) >= 1).any():  # an unstable fit decays at the edge of stability
                 g = -np.poly(np.where(np.abs(roots) >= 1, 0.98 * roots / np.maximum(np.abs(roots), 1e-12), roots))[1:].real
-            c, s, b, c0 = K.deconvolve(base, g, noise, penalty, max_iters)
-            rows.append((c / norm, np.where(s > zero_thres, s, 0) / norm, b / norm, c0 / norm, g))
+            start = None if s0 is None else (np.array(s0, np.float64) * norm, float(b0) * norm, float(d0) * norm)
+            c, s, b, c0 = K.deconvolve(base, g, noise, penalty, max_iters, start)
+            if not (np.isfinite(c).all() and np.isfinite(s).all()):
+                c, s, b, c0 = np.zeros(len(y)), np.zeros(len(y)), 0.0, 0.0
+            back = 1 / norm
+            if post_scal and (c * c).sum() > 0:
+                back *= float(c @ given) * norm / float(c @ c)
+            rows.append((c * back, np.where(s > zero_thres, s, 0) * back, b * back, c0 * back, g))
         return pd.DataFrame(rows, columns=["c", "s", "b", "c0", "g"])
 
-    out = yra.where(F.exists("y", lambda v: v > 0)).withColumn("_r", solve("y"))
+    rows = yra.where(F.exists("y", lambda v: v > 0)).withColumn("_total", F.aggregate("y", F.lit(0.0), lambda x, v: x + v))
+    if groups is not None:
+        own = rows.join(groups.select("unit_id", F.col("label").alias("_label")), "unit_id")
+        rows = own.join(own.groupBy("_label").agg(F.avg("_total").alias("_mean")), "_label").withColumn("_total", F.col("_mean"))
+    if warm is not None:
+        rows = rows.join(warm.select("unit_id", F.col("s").alias("_s"), F.col("b").alias("_b"), F.col("c0").alias("_c0")), "unit_id", "left")
+    else:
+        rows = rows.withColumns({"_s": F.lit(None).cast("array<double>"), "_b": F.lit(None).cast("double"), "_c0": F.lit(None).cast("double")})
+    out = rows.withColumn("_r", solve("y", "_total", "_s", "_b", "_c0"))
     return out.select("unit_id", "_r.*").where(F.exists("s", lambda v: v > 0))
 
 

@@ -76,12 +76,19 @@ def gmm_refine(traces: DataFrame, seeds: DataFrame, q=(0.1, 99.9), n: int = 2, v
     return _mixture(seeds, values, "ptp", "mask_gmm", n, valid, above_lowest)
 
 
-def _mixture(seeds: DataFrame, values: DataFrame, column: str, name: str, n: int, valid: int, above_lowest: bool) -> DataFrame:
+def _quantiles(values: DataFrame, column: str) -> np.ndarray:
+    """All values of a column of up to MIXTURE_VALUES rows, else so many evenly spaced quantiles."""
     m = min(values.where(F.col(column).isNotNull()).count(), MIXTURE_VALUES)
     if not m:
-        return seeds.withColumn(name, F.lit(None).cast("boolean"))
+        return np.empty(0)
     places = F.array(*[F.lit((i + 0.5) / m) for i in range(m)])
-    x = np.array(values.agg(F.percentile_approx(column, places, F.lit(100 * MIXTURE_VALUES)).alias("x")).first()["x"])
+    return np.array(values.agg(F.percentile_approx(column, places, F.lit(100 * MIXTURE_VALUES)).alias("x")).first()["x"])
+
+
+def _mixture(seeds: DataFrame, values: DataFrame, column: str, name: str, n: int, valid: int, above_lowest: bool) -> DataFrame:
+    x = _quantiles(values, column)
+    if not len(x):
+        return seeds.withColumn(name, F.lit(None).cast("boolean"))
     w, m, s = T.gaussian_mixture_1d(x, n)
     part = F.array(*[F.lit(float(np.log(a) - np.log(c))) - (F.col(column) - float(b)) * (F.col(column) - float(b)) / float(2 * c**2) for a, b, c in zip(w, m, s, strict=True)])
     best = F.array_position(part, F.array_max(part)) - 1
@@ -91,6 +98,19 @@ def _mixture(seeds: DataFrame, values: DataFrame, column: str, name: str, n: int
     return seeds.join(values.withColumn(name, keep), HW, "left")
 
 
+def mixture_histogram(values: DataFrame, column: str, bins: int = 50, n: int = 2) -> DataFrame:
+    """(bin, low, high, n, density): the histogram of a column and the fitted mixture's density at the bins' middles."""
+    ends = values.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    if ends["lo"] is None:
+        return values.sparkSession.createDataFrame([], "bin int, low double, high double, n long, density double")
+    lo, width = ends["lo"], (ends["hi"] - ends["lo"]) / bins or 1.0
+    counts = {r["b"]: r["n"] for r in values.where(F.col(column).isNotNull()).groupBy(F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}  # a row for each bin
+    w, m, s = T.gaussian_mixture_1d(_quantiles(values, column), n)
+    middles = lo + width * (np.arange(bins) + 0.5)
+    density = (w * np.exp(-((middles[:, None] - m) ** 2) / (2 * s**2)) / (s * np.sqrt(2 * np.pi))).sum(1)
+    return values.sparkSession.createDataFrame([(i, lo + i * width, lo + (i + 1) * width, counts.get(i, 0), float(density[i])) for i in range(bins)], "bin int, low double, high double, n long, density double")
+
+
 def pnr_refine(traces: DataFrame, seeds: DataFrame, noise_freq: float = 0.25, thres: float | str = 1.5, q=(0.1, 99.9), med_wnd: int | None = None, compat: bool = False) -> DataFrame:
     """seeds with pnr and mask_pnr. A running-median baseline is taken off first if med_wnd is given (not under compat)."""
     rows = at_seeds(traces, seeds)

@@ -298,6 +298,11 @@ SQL: dict[str, str] = {
     "fill_mapping": f"WITH RECURSIVE {_mapping('strict')}, {_FILLED} SELECT {_NAME.format('label')} AS mapping, session, unit_id FROM g",
     "group_sessions": f"WITH RECURSIVE {_mapping('strict')}, {_FILLED} SELECT sessions, count(*) AS n FROM (SELECT label, string_agg(session::VARCHAR, ',' ORDER BY session) AS sessions FROM g GROUP BY label) GROUP BY sessions",
     "overlay_counts": f"WITH RECURSIVE {_mapping('strict')}, {_FILLED}, k AS (SELECT session, unit_id, count(*) OVER (PARTITION BY label) > 1 AS m FROM g) SELECT session, height, width, count(*) FILTER (WHERE m) AS matched, count(*) FILTER (WHERE NOT m) AS unmatched FROM a JOIN k USING (session, unit_id) GROUP BY ALL",
+    "nn_order": f"""WITH RECURSIVE {POINTS}, r(session, unit_id, height, width, seen, nn) AS (
+  SELECT session, unit_id, height, width, [unit_id], 0::BIGINT FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY height + width, unit_id) AS k FROM p) WHERE k = 1
+  UNION ALL SELECT session, unit_id, height, width, list_append(seen, unit_id), nn + 1
+  FROM (SELECT p.*, r.seen, r.nn, row_number() OVER (PARTITION BY r.session ORDER BY (p.height - r.height) ** 2 + (p.width - r.width) ** 2, p.unit_id) AS k FROM r JOIN p ON p.session = r.session AND NOT list_contains(r.seen, p.unit_id)) WHERE k = 1)
+ SELECT session, unit_id, nn FROM r""",
     "frame_summary": W(MOVIE, "f AS (SELECT frame, avg(value) AS mean, max(value) AS max, min(value) AS min FROM m GROUP BY 1)", f"SELECT frame, {R('mean')}, {R('max')}, {R('min')}, {R('mean - lag(mean) OVER (ORDER BY frame)', name='diff')} FROM f"),
     "footprint_summary": W(FOOT, f"SELECT height, width, {R('sum(value)', 4, 'total')}, count(*) AS units FROM a GROUP BY height, width"),
     "preview_sweep": W(MOVIE, "o AS (SELECT x.d AS dy, y.d AS dx FROM (SELECT unnest(range(-2, 3)) AS d) x, (SELECT unnest(range(-2, 3)) AS d) y)", _neighbours("reflect"), f"SELECT 3 AS param_wnd, {CELL}, {R('any_value(own) - avg(value)', name='value')} FROM n WHERE abs(dy) <= 1 AND abs(dx) <= 1 GROUP BY {CELL} UNION ALL SELECT 5, {CELL}, {R('any_value(own) - avg(value)', name='value')} FROM n GROUP BY {CELL}"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from ..operators import image as I
 from ..operators import motion as M
 from ..operators import seeds as D
 from ..operators import signal as S
+from ..operators.graph import edge_correlation
 from ..sources import store
 
 HW = ["height", "width"]
@@ -103,22 +105,43 @@ def run(spark: SparkSession, frames: DataFrame, folder: str, cfg: Config | None
     return {"A": a, "C": c, "S": spikes, "b": b, "f": f, "motion": motion, "max_proj": high, "seeds": seeds}
 
 
-def evaluate(found: DataFrame, truth: DataFrame, least: float = 0.3) -> dict:
+def evaluate(found: DataFrame, truth: DataFrame, least: float = 0.3, found_c: DataFrame | None = None, truth_c: DataFrame | None = None) -> dict:
     """Recall, precision and F1 of footprints against true ones, matched one to one by overlap (intersection over union).
 
-    Overlaps are a join of cells; the assignment is solved on the driver, over pairs of units that overlap.
+    Overlaps are a join of cells; the assignment is solved on the driver, over each group of units that overlap. With traces
+    (unit_id, y) of both, also the mean correlation of the matched ones.
     """
     x, y = found.select(F.col("unit_id").alias("u"), *HW), truth.select(F.col("unit_id").alias("v"), *HW)
     nx, ny = x.groupBy("u").agg(F.count("*").alias("nx")), y.groupBy("v").agg(F.count("*").alias("ny"))
     both = x.join(y, HW).groupBy("u", "v").agg(F.count("*").alias("k")).join(nx, "u").join(ny, "v")
     rows = both.select("u", "v", (F.col("k") / (F.col("nx") + F.col("ny") - F.col("k"))).alias("iou")).collect()
-    us, vs = sorted({r["u"] for r in rows}), sorted({r["v"] for r in rows})
     import numpy as np
 
-    cost = np.zeros((len(us), len(vs)))
+    parent: dict = {}
+
+    def find(n):
+        while parent.setdefault(n, n) != n:
+            n = parent[n]
+        return n
+
+    for r in rows:
+        parent[find(("u", r["u"]))] = find(("v", r["v"]))
+    parts: dict = {}
     for r in rows:
-        cost[us.index(r["u"]), vs.index(r["v"])] = -r["iou"]
-    pairs = [(us[i], vs[j], -cost[i, j]) for i, j in assign(cost) if -cost[i, j] >= least]
+        parts.setdefault(find(("u", r["u"])), []).append(r)
+    pairs = []
+    for part in parts.values():
+        us, vs = ({k: i for i, k in enumerate(sorted({r[c] for r in part}))} for c in ("u", "v"))
+        cost = np.zeros((len(us), len(vs)))
+        for r in part:
+            cost[us[r["u"]], vs[r["v"]]] = -r["iou"]
+        names = list(us), list(vs)
+        pairs += [(names[0][i], names[1][j], -cost[i, j]) for i, j in assign(cost) if -cost[i, j] >= least]
     n_found, n_true = nx.count(), ny.count()
     recall, precision = len(pairs) / max(1, n_true), len(pairs) / max(1, n_found)
-    return {"pairs": pairs, "recall": recall, "precision": precision, "f1": 2 * recall * precision / max(1e-12, recall + precision)}
+    out = {"pairs": sorted(pairs), "recall": recall, "precision": precision, "f1": 2 * recall * precision / max(1e-12, recall + precision)}
+    if found_c is not None and truth_c is not None and pairs:
+        matched = found.sparkSession.createDataFrame([(("found", int(u)), ("true", int(v))) for u, v, _ in pairs], "src struct<side:string,id:long>, dst struct<side:string,id:long>")
+        traces = reduce(DataFrame.unionByName, [df.select(F.struct(F.lit(side).alias("side"), F.col("unit_id").cast("long").alias("id")).alias("unit_id"), "y") for side, df in (("found", found_c), ("true", truth_c))])
+        out["correlation"] = edge_correlation(matched, traces).agg(F.avg("corr").alias("r")).first()["r"]
+    return out

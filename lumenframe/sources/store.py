@@ -142,6 +142,12 @@ def chunk_plan(sizes: dict[str, int], item_bytes: int, along: str, target_mb: in
     return rows, max(f for f in factors(sizes[along]) if f <= rows)
 
 
+def co_partition(a: DataFrame, b: DataFrame, keys: list[str], parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both tables dealt by the same keys into as many partitions, so that joins and groups by them need no further shuffle."""
+    n = parts or int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return a.repartition(n, *keys), b.repartition(n, *keys)
+
+
 def export_long(df: DataFrame, path: str, form: str = "csv") -> None:
     """The cells as CSV or Parquet."""
     df.write.mode("overwrite").option("header", True).format(form).save(path)

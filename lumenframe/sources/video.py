@@ -12,6 +12,7 @@ import shutil
 import struct
 import subprocess
 import tempfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,8 +152,26 @@ def _tiff_pages(data: bytes) -> Iterator[tuple[str, int, int]]:
         at = struct.unpack(order + "I", data[at + 2 + 12 * n : at + 6 + 12 * n])[0]
 
 
+def _unpack_runs(data: bytes) -> bytes:
+    """Run-length packed bytes: a count of literal bytes, or of repeats of the next one."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            out += data[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+#: TIFF's numbers of the kinds of strips.
+_UNPACK = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpack_runs}
+
+
 def decode_tiff(data: bytes) -> np.ndarray:
-    """Pages of an uncompressed grey TIFF, 8, 16 or 32 bits."""
+    """Pages of a grey TIFF, 8, 16 or 32 bits, plain or in deflated or run-length strips."""
     pages = []
     size = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8}
     for order, at, n in _tiff_pages(data):
@@ -165,9 +184,10 @@ def decode_tiff(data: bytes) -> np.ndarray:
             form = {3: "H", 4: "I"}.get(kind)
             if form:
                 tags[tag] = struct.unpack(f"{order}{count}{form}", data[place : place + size[kind] * count])
-        if tags.get(259, (1,))[0] != 1:
-            raise ValueError("compressed TIFF is not supported")
-        raw = b"".join(data[a : a + b] for a, b in zip(tags[273], tags[279], strict=True))
+        packing = tags.get(259, (1,))[0]
+        if packing not in _UNPACK or tags.get(317, (1,))[0] != 1:
+            raise ValueError(f"TIFF compression {packing} is not supported")
+        raw = b"".join(_UNPACK[packing](data[a : a + b]) for a, b in zip(tags[273], tags[279], strict=True))
         bits, form = tags.get(258, (8,))[0], tags.get(339, (1,))[0]
         kind = {(8, 1): "u1", (16, 1): "u2", (32, 1): "u4", (32, 3): "f4"}[bits, form]
         pages.append(np.frombuffer(raw, order + kind).reshape(tags[257][0], tags[256][0]))

@@ -242,3 +242,95 @@ def test_components_with_nulls_in_keys_agree(spark):
     e = spark.createDataFrame(rows, "src struct<s:string,u:long>, dst struct<s:string,u:long>")
     here, there = ({(tuple(r["node"]), tuple(r["label"])) for r in graph.connected_components(e, small=n).collect()} for n in (100, 0))
     assert here == there and len({x for _, x in here}) == 2
+
+
+def test_spatial_update_with_background(spark):
+    """Pixels that mix two units and a background come apart into their weights."""
+    rng = np.random.default_rng(43)
+    c, f = np.maximum(rng.normal(size=(2, 200)), 0), np.abs(np.sin(np.arange(200) / 9)) + 0.2
+    weights = {(0, 0): (1.0, 0.0, 0.5), (0, 1): (0.6, 0.3, 1.0), (0, 2): (0.0, 0.8, 0.7)}
+    y = spark.createDataFrame([(h, w, (a * c[0] + b * c[1] + k * f).tolist()) for (h, w), (a, b, k) in weights.items()], "height int, width int, y array<double>")
+    a = spark.createDataFrame([(u, 0, 1, 1.0) for u in (0, 1)], "unit_id long, height int, width int, value double")
+    units = spark.createDataFrame([(u, c[u].tolist()) for u in (0, 1)], "unit_id long, y array<double>")
+    sn = y.select("height", "width", F.lit(0.0).alias("sn"))
+    back = spark.createDataFrame([(f.tolist(),)], "y array<double>")
+    out, norm, b = cnmf.update_spatial(y, a, units, sn, 1, 0.1, 1, 3, (0, None), False, back)
+    got = {(r["unit_id"], r["width"]): r["value"] for r in out.collect() if r["value"] > 1e-6}
+    assert got == pytest.approx({(u, w): v[u] for (_, w), v in weights.items() for u in (0, 1) if v[u]}, abs=1e-5)
+    assert {r["width"]: r["value"] for r in b.collect()} == pytest.approx({w: v[2] for (_, w), v in weights.items()}, abs=1e-5)
+    assert {r["unit_id"]: r["norm"] for r in norm.collect()} == pytest.approx({0: 1.0, 1: 0.8}, abs=1e-5)
+
+
+def test_temporal_update_options(spark):
+    """A group shares the scale it is solved at; a warm start ends where a cold one does; post_scal fits the traces."""
+    from lumenframe.functions import signals
+
+    rng = np.random.default_rng(44)
+    spikes = (rng.uniform(size=(3, 300)) < 0.05) * rng.uniform(1, 2, (3, 300))
+    traces = np.stack([signals.ar_response(s, [0.8]) for s in spikes]) * np.array([[1.0], [3.0], [2.0]]) + rng.normal(scale=0.05, size=(3, 300))
+    df = spark.createDataFrame([(i, t.tolist()) for i, t in enumerate(traces)] + [(9, [-1.0] * 300)], "unit_id long, y array<double>")
+    cold = {r["unit_id"]: r for r in cnmf.update_temporal(df, p=1, penalty=0.05, max_iters=300).collect()}
+    assert set(cold) == {0, 1, 2}
+    assert all(np.corrcoef(cold[i]["c"], traces[i])[0, 1] > 0.95 for i in range(3))
+    warm = spark.createDataFrame([(i, cold[i]["s"], cold[i]["b"], cold[i]["c0"]) for i in range(3)], "unit_id long, s array<double>, b double, c0 double")
+    again = {r["unit_id"]: r for r in cnmf.update_temporal(df, p=1, penalty=0.05, max_iters=300, warm=warm).collect()}
+    assert all(np.abs(np.array(again[i]["c"]) - np.array(cold[i]["c"])).max() < 0.1 * np.abs(traces[i]).max() for i in range(3))
+    groups = spark.createDataFrame([(0, 0), (1, 0), (2, 2), (9, 9)], "unit_id long, label long")
+    shared = {r["unit_id"]: r for r in cnmf.update_temporal(df, p=1, penalty=0.05, max_iters=300, groups=groups).collect()}
+    assert shared[2]["c"] == pytest.approx(cold[2]["c"]) and shared[0]["c"] != pytest.approx(cold[0]["c"], rel=1e-6)
+    scaled = {r["unit_id"]: r for r in cnmf.update_temporal(df, p=1, penalty=0.05, max_iters=300, post_scal=True).collect()}
+    for i in range(3):
+        c = np.array(scaled[i]["c"])
+        assert (c @ traces[i]) / (c @ c) == pytest.approx(1.0, abs=1e-6)
+    feet = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 1, 1.0), (1, 0, 1, 1.0), (2, 5, 5, 1.0)], "unit_id long, height int, width int, value double")
+    assert {(r["unit_id"], r["label"]) for r in cnmf.overlap_groups(feet, 0.1).collect()} == {(0, 0), (1, 0), (2, 2)}
+
+
+def test_evaluation_with_traces_and_histogram(spark):
+    feet = lambda rows: spark.createDataFrame(rows, "unit_id long, height int, width int, value double")
+    truth = feet([(u, u * 10, w, 1.0) for u in range(3) for w in range(4)])
+    found = feet([(10 + u, u * 10, w, 1.0) for u in range(2) for w in range(1, 4)] + [(50, 90, 0, 1.0)])
+    t = [np.sin(np.arange(50) / (2 + u)) for u in range(3)]
+    traces = lambda rows: spark.createDataFrame(rows, "unit_id long, y array<double>")
+    got = pipeline.evaluate(found, truth, 0.3, traces([(10 + u, (2 * t[u] + 1).tolist()) for u in range(2)]), traces([(u, x.tolist()) for u, x in enumerate(t)]))
+    assert [p[:2] for p in got["pairs"]] == [(10, 0), (11, 1)] and got["recall"] == pytest.approx(2 / 3) and got["precision"] == pytest.approx(2 / 3)
+    assert got["correlation"] == pytest.approx(1.0)
+    values = spark.createDataFrame([(float(x),) for x in [*np.random.default_rng(1).normal(0, 1, 300), *np.random.default_rng(2).normal(8, 1, 100)]] + [(None,)], "ptp double")
+    rows = seeds.mixture_histogram(values, "ptp", 20).orderBy("bin").collect()
+    assert sum(r["n"] for r in rows) == 400 and sum(r["density"] * (r["high"] - r["low"]) for r in rows) == pytest.approx(1, abs=0.1)
+    assert seeds.mixture_histogram(values.limit(0), "ptp").count() == 0
+
+
+def test_co_partitioned_tables_join_without_a_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a, b = store.co_partition(spark.range(50).withColumnRenamed("id", "k"), spark.range(20, 70).withColumnRenamed("id", "k"), ["k"], 3)
+        j = a.join(b, "k")
+        assert j.count() == 30
+        assert j._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_packed_tiffs():
+    import struct
+    import zlib
+
+    x = np.arange(24, dtype=np.uint8).reshape(4, 6)
+    for kind, body in ((1, x.tobytes()), (8, zlib.compress(x.tobytes())), (32773, bytes([23]) + x.tobytes())):
+        tags = [(256, 4, 6), (257, 4, 4), (258, 3, 8), (259, 3, kind), (273, 4, 8), (279, 4, len(body))]
+        at = 8 + len(body) + len(body) % 2
+        entries = b"".join(struct.pack("<HHI", t, k, 1) + (struct.pack("<HH", v, 0) if k == 3 else struct.pack("<I", v)) for t, k, v in tags)
+        data = b"II*\0" + struct.pack("<I", at) + body + b"\0" * (len(body) % 2) + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0)
+        assert (video.decode_tiff(data)[0] == x).all() and video.count_frames("a.tif", data) == 1
+    assert video._unpack_runs(bytes([254, 7, 128, 1, 5, 6])) == bytes([7, 7, 7, 5, 6])
+
+
+def test_movies_are_counted_by_their_headers(spark, tmp_path):
+    movie = (np.arange(5 * 6 * 8) % 256).astype(np.uint8).reshape(5, 6, 8)
+    df = spark.createDataFrame([(i, 6, 8, f.ravel().astype(float).tolist()) for i, f in enumerate(movie)], "frame long, height int, width int, px array<double>")
+    path = video.write_video(df, str(tmp_path / "msCam1.avi"), norm=False)
+    data = open(path, "rb").read()
+    assert data == video.encode_avi(movie) and video.count_frames("a.avi", data) == 5 and (video.decode_avi(data) == movie).all()
+    np.save(tmp_path / "m.npy", movie)
+    assert video.count_frames("m.npy", open(tmp_path / "m.npy", "rb").read()) == 5
