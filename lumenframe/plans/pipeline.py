@@ -20,6 +20,8 @@ from ..operators.graph import edge_correlation
 from ..sources import store
 
 HW = ["height", "width"]
+#: Pixels of an image that is broadcast.
+BROADCAST_PIXELS = 4_000_000
 
 
 @dataclass
@@ -56,9 +58,12 @@ def run(spark: SparkSession, frames: DataFrame, folder: str, cfg: Config | None
     cells = lambda f: LabelledFrame(f, ("frame", *HW), layout="frame").to_cells().df.select("frame", *HW, "value")
     keep = lambda df, name, order=None: store.save(df, folder, name, overwrite=True, order=order)
 
-    low = cells(frames).groupBy(*HW).agg(F.min("value").alias("low"))
-    packed = low.agg(F.transform(F.array_sort(F.collect_list(F.struct(*HW, "low"))), lambda r: r["low"]).alias("low"))  # one image
-    ref = frames.crossJoin(F.broadcast(packed)).withColumn("px", F.zip_with("px", "low", lambda a, b: a - b)).drop("low")
+    if h * w <= BROADCAST_PIXELS:
+        low = cells(frames).groupBy(*HW).agg(F.min("value").alias("low"))
+        packed = low.agg(F.transform(F.array_sort(F.collect_list(F.struct(*HW, "low"))), lambda r: r["low"]).alias("low"))  # one image
+        ref = frames.crossJoin(F.broadcast(packed)).withColumn("px", F.zip_with("px", "low", lambda a, b: a - b)).drop("low")
+    else:
+        ref = LabelledFrame(I.glow_removal(cells(frames)), ("frame", *HW)).to_frames(h, w).df
     if cfg.denoise:
         ref = I.denoise(ref, **cfg.denoise)
     if cfg.background:

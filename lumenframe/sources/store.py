@@ -58,7 +58,8 @@ def meta_from_path(folder: str, levels: dict[str, int]) -> dict:
 def save(df: DataFrame, folder: str, name: str, meta: dict | None = None, overwrite: bool = False, order: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """Write a variable and return it as read back, which cuts its lineage.
 
-    The table is written beside its place and then moved there, so a variable may be overwritten while it is read.
+    The table is written beside its place and then moved there, so a variable may be overwritten while it is read. What
+    stood there is moved aside first and goes last; open_variable takes it back if a driver was lost in between.
     order clusters the rows by range, for reads along it.
     """
     spark = df.sparkSession
@@ -71,15 +72,22 @@ def save(df: DataFrame, folder: str, name: str, meta: dict | None = None, overwr
         df = df.repartition(parts)
     fresh = f"{folder}/_tmp-{uuid.uuid4().hex}"
     df.write.parquet(fresh)
+    aside = _fs(spark, f"{folder}/_old-{name}")[0]
     if fs.exists(target):
-        fs.delete(target, True)
+        fs.delete(aside, True)
+        fs.rename(target, aside)
     fs.rename(_fs(spark, fresh)[0], target)
+    fs.delete(aside, True)
     if meta:
         update_meta(spark, folder, meta)
     return open_variable(spark, folder, name)
 
 
 def open_variable(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    target, fs = _fs(spark, f"{folder}/{name}")
+    aside = _fs(spark, f"{folder}/_old-{name}")[0]
+    if not fs.exists(target) and fs.exists(aside):
+        fs.rename(aside, target)
     df = spark.read.parquet(f"{folder}/{name}")
     return df.withColumns({k: F.lit(v) for k, v in read_meta(spark, folder).items()})
 

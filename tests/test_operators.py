@@ -334,3 +334,11 @@ def test_movies_are_counted_by_their_headers(spark, tmp_path):
     assert data == video.encode_avi(movie) and video.count_frames("a.avi", data) == 5 and (video.decode_avi(data) == movie).all()
     np.save(tmp_path / "m.npy", movie)
     assert video.count_frames("m.npy", open(tmp_path / "m.npy", "rb").read()) == 5
+
+
+def test_a_variable_moved_aside_is_taken_back(spark, tmp_path):
+    folder = f"file://{tmp_path}/store"
+    store.save(spark.range(3), folder, "x")
+    assert store.save(spark.range(5), folder, "x", overwrite=True).count() == 5
+    (tmp_path / "store" / "x").rename(tmp_path / "store" / "_old-x")  # as if the driver had been lost there
+    assert store.open_variable(spark, folder, "x").count() == 5 and store.variables(spark, folder) == ["x"]
