@@ -55,8 +55,8 @@ def compute_trace(y: DataFrame, a: DataFrame, c: DataFrame, b: DataFrame | None
     norm = a.groupBy("unit_id").agg(F.sum(F.col("value") * F.col("value")).alias("_n"))
     w = a.select("unit_id", *HW, F.col("value").alias("_a"))
     ya = y.join(w, HW).groupBy("unit_id", "frame").agg(F.sum(F.col("value") * F.col("_a")).alias("_ya"))
-    ata = w.join(a.select(F.col("unit_id").alias("_u"), *HW, F.col("value").alias("_v")), HW).groupBy("unit_id", "_u").agg(F.sum(F.col("_a") * F.col("_v")).alias("_g"))
-    cross = ata.join(c.select(F.col("unit_id").alias("_u"), "frame", "value"), "_u").groupBy("unit_id", "frame").agg(F.sum(F.col("_g") * F.col("value")).alias("_gc"))
+    # C AtA as (A C) A: over pixels, not over all pairs of overlapping units
+    cross = product(a, c).join(w, HW).groupBy("unit_id", "frame").agg(F.sum(F.col("value") * F.col("_a")).alias("_gc"))
     out = ya.join(norm, "unit_id").join(cross, ["unit_id", "frame"]).join(c, ["unit_id", "frame"])
     return out.select("unit_id", "frame", F.greatest(F.lit(0.0), (F.col("_ya") - F.col("_gc")) / F.col("_n") + F.col("value")).alias("value"))
 
