@@ -20,3 +20,13 @@ def test_long_traces_are_normalised_once(spark):
     assert time.time() - t < 20  # the mean was taken anew for each of its samples
     z = y - y.mean(1, keepdims=True)
     assert np.array([got[i] for i in range(4)]) == pytest.approx(z / np.linalg.norm(z, axis=1, keepdims=True)) and got[4] is None
+
+
+def test_init_a_of_long_movies(spark):
+    y = RNG.normal(size=(9, 20_000)) + RNG.normal(size=20_000)
+    traces = spark.createDataFrame([(i // 3, i % 3, r.tolist()) for i, r in enumerate(y)], "height int, width int, y array<double>")
+    t = time.time()
+    got = seeds.init_a(traces, spark.createDataFrame([(7, 1, 1)], "id long, height int, width int"), 0.1, 1.0).toPandas()
+    assert time.time() - t < 30
+    want = np.corrcoef(y)[4]
+    assert len(got) == 5 and got["value"].to_numpy() == pytest.approx(want[got["height"] * 3 + got["width"]])
