@@ -7,11 +7,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import signals as S
 from ..functions import solvers as K
+from . import near
 from .graph import connected_components, edge_correlation
 
 HW = ["height", "width"]
@@ -37,12 +40,72 @@ def overlap(a: DataFrame) -> DataFrame:
     return left.join(right, HW).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("shared"))
 
 
+def _support_blocks(a: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Blocks of units (unit_id, px: codes of their pixels, and the columns of more), near ones together, and the pairs (a, b) whose extents meet."""
+    ends = [f(d).alias(f"{n}_{d}") for d in HW for n, f in (("lo", F.min), ("hi", F.max))]
+    units = a.groupBy("unit_id").agg(F.collect_list(F.col("height").cast("long") * (1 << 31) + F.col("width").cast("long")).alias("px"), *ends)
+    units = units.withColumns({"_h": F.floor(F.col("lo_height") / 64), "_w": F.floor(F.col("lo_width") / 64)})
+    units = units if more is None else units.join(more, "unit_id")
+    blocks = near.pack(units, [], ["_h", "_w", "unit_id"]).drop("_h", "_w")
+    ends = {s: blocks.select(F.col("block").alias(s), *[f(f"{n}_{d}").alias(f"{n}_{d}_{s}") for d in HW for n, f in (("lo", F.array_min), ("hi", F.array_max))]) for s in "ab"}
+    meets = F.col("a") <= F.col("b")
+    for d in HW:
+        meets = meets & (F.col(f"lo_{d}_a") <= F.col(f"hi_{d}_b")) & (F.col(f"lo_{d}_b") <= F.col(f"hi_{d}_a"))
+    pairs = ends["a"].join(F.broadcast(ends["b"]), meets).select("a", "b")  # a row for each block of units
+    return blocks.select("block", *[c for c in blocks.columns if c != "block" and not c.startswith(("lo_", "hi_"))]), pairs
+
+
+#: Pixels that supports are laid out over at once.
+PIXELS = 1024
+
+
+def _shared(a: pa.Array, b: pa.Array) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+    """Pixels that each unit of a shares with each of b (None: no pixel at all), and each unit's pixels."""
+    na, nb = (near.numbers(x.value_lengths()) for x in (a, b))
+    pa_, pb = near.numbers(a.flatten()), near.numbers(b.flatten())
+    common, out = np.intersect1d(pa_, pb), None
+    for s in range(0, len(common), PIXELS):
+        some = common[s : s + PIXELS]
+        laid = []
+        for px, n in ((pa_, na), (pb, nb)):
+            at = np.minimum(np.searchsorted(some, px), len(some) - 1)
+            on = some[at] == px
+            row = np.repeat(np.arange(len(n)), n)
+            laid.append(np.bincount(row[on] * len(some) + at[on], minlength=len(n) * len(some)).reshape(len(n), len(some)).astype(np.float32))
+        m = laid[0] @ laid[1].T
+        out = m if out is None else out + m
+    return out, na, nb
+
+
 def jaccard_edges(a: DataFrame, thres: float) -> DataFrame:
-    """(src, dst, jaccard) of footprints whose supports overlap by more than thres."""
-    n = a.groupBy("unit_id").agg(F.count("*").alias("n"))
-    o = overlap(a).join(n.select(F.col("unit_id").alias("src"), F.col("n").alias("ns")), "src").join(n.select(F.col("unit_id").alias("dst"), F.col("n").alias("nd")), "dst")
-    j = F.col("shared") / (F.col("ns") + F.col("nd") - F.col("shared"))
-    return o.select("src", "dst", j.alias("jaccard")).where(F.col("jaccard") > thres)
+    """(src, dst, jaccard) of footprints whose supports overlap by more than thres: counts of shared pixels are products of blocks of supports."""
+    blocks, pairs = _support_blocks(a)
+    kind = a.schema["unit_id"].dataType
+
+    def kernel(met):
+        for x, y, a, b in met:
+            shared, na, nb = _shared(a["px"], b["px"])
+            if shared is None:
+                continue
+            bound = np.float32(thres / (1 + thres) * (1 - 1e-5)) if thres > -1 else None
+            step = max(1, near.AT_ONCE // len(nb))
+            for s in range(0, len(na), step):
+                part = shared[s : s + step]
+                hit = part > 0
+                if bound is not None and bound > 0:  # in single precision first, loosely
+                    hit &= part > bound * (na[s : s + step, None] + nb).astype(np.float32)
+                k = np.flatnonzero(hit)
+                i, j = np.divmod(k, len(nb))
+                n = part.ravel()[k].astype(np.float64)
+                i += s
+                value = n / (na[i] + nb[j] - n)
+                on = value > thres
+                if x == y:
+                    on &= i < j
+                yield [a["unit_id"].take(pa.array(i[on])), b["unit_id"].take(pa.array(j[on])), value[on]]
+
+    out = near.meet(blocks, pairs, kernel, StructType([StructField("x", kind), StructField("y", kind), StructField("jaccard", DoubleType())]))
+    return out.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "jaccard")
 
 
 def compute_trace(y: DataFrame, a: DataFrame, c: DataFrame, b: DataFrame | None = None, f: DataFrame | None = None) -> DataFrame:

@@ -3,11 +3,11 @@
 import time
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import graph, seeds
+from lumenframe.operators import cnmf, graph, near, register, seeds
+from lumenframe.plans import catalog
 
 RNG = np.random.default_rng(5)
 
@@ -30,3 +30,28 @@ def test_init_a_of_long_movies(spark):
     assert time.time() - t < 30
     want = np.corrcoef(y)[4]
     assert len(got) == 5 and got["value"].to_numpy() == pytest.approx(want[got["height"] * 3 + got["width"]])
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def feet(spark, n=60, side=6, seed=2):
+    rng = np.random.default_rng(seed)
+    on = rng.random((n, side * side)) < 0.5
+    on[:5] = on[0]  # copies
+    rows = [(int(u), int(p // side), int(p % side), 1.0) for u, p in zip(*np.nonzero(on), strict=True)]
+    return on, spark.createDataFrame(rows, "unit_id long, height int, width int, value double")
+
+
+def test_supports_meet_by_blocks(spark, monkeypatch):
+    on, a = feet(spark)
+    shared = on.astype(int) @ on.T
+    n = on.sum(1)
+    want = {(i, j): shared[i, j] / (n[i] + n[j] - shared[i, j]) for i in range(60) for j in range(i + 1, 60)}
+    for block, pixels in ((2048, 1024), (7, 5)):
+        monkeypatch.setattr(near.pack, "__defaults__", (block, False))
+        monkeypatch.setattr(cnmf, "PIXELS", pixels)
+        got = cnmf.jaccard_edges(a, 0.4)
+        assert "Join" not in plan(got).split("MapInArrow")[0] and "MapInArrow" in plan(got)  # no pair goes through a join
+        assert {(r["src"], r["dst"]): r["jaccard"] for r in got.collect()} == {k: v for k, v in want.items() if v > 0.4}
