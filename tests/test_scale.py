@@ -55,3 +55,26 @@ def test_supports_meet_by_blocks(spark, monkeypatch):
         got = cnmf.jaccard_edges(a, 0.4)
         assert "Join" not in plan(got).split("MapInArrow")[0] and "MapInArrow" in plan(got)  # no pair goes through a join
         assert {(r["src"], r["dst"]): r["jaccard"] for r in got.collect()} == {k: v for k, v in want.items() if v > 0.4}
+
+
+def test_tile_pairs_come_once_without_a_shuffle_of_pairs(spark):
+    x = np.random.default_rng(3).uniform(0, 3, (50, 2)).round(3)
+    x[:6] = x[0]
+    df = spark.createDataFrame([(i % 3, i, float(h), float(w)) for i, (h, w) in enumerate(x)], "session int, unit_id long, height double, width double")
+    got = register.tile_pairs(df, (1.0, 1.0))
+    assert "Aggregate" not in plan(got).split("MapInArrow")[0] and "MapInArrow" in plan(got)
+    want = {}
+    for sa, sb in ((0, 1), (0, 2), (1, 2)):
+        both = np.array([x[i] for i in range(50) if i % 3 in (sa, sb)])
+        tiles = []
+        for d in (0, 1):
+            lo, span = both[:, d].min(), both[:, d].max() - both[:, d].min()
+            n = int(np.ceil(span * 2))
+            tiles.append([lo + i * (span / (n - 1) if n > 1 else 0.0) for i in range(n)])
+        within = lambda i, d, c: c - 1 <= x[i][d] <= c + 1
+        for i in range(sa, 50, 3):
+            for j in range(sb, 50, 3):
+                if all(any(within(i, d, c) and within(j, d, c) for c in tiles[d]) for d in (0, 1)):
+                    want[sa, sb, i, j] = np.hypot(*(x[i] - x[j]))
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r["session_a"], r["session_b"], r["unit_a"], r["unit_b"]): r["distance"] for r in rows} == pytest.approx(want)
