@@ -78,3 +78,23 @@ def test_tile_pairs_come_once_without_a_shuffle_of_pairs(spark):
                     want[sa, sb, i, j] = np.hypot(*(x[i] - x[j]))
     rows = got.collect()
     assert len(rows) == len(want) and {(r["session_a"], r["session_b"], r["unit_a"], r["unit_b"]): r["distance"] for r in rows} == pytest.approx(want)
+
+
+def test_unit_merge_finds_a_forest_by_blocks(spark, monkeypatch):
+    on, a = feet(spark, 40, 4)
+    y = np.random.default_rng(4).normal(size=(40, 30))
+    y[3] = 1.0  # does not vary
+    c = spark.createDataFrame([(i, t, float(y[i, t])) for i in range(40) for t in range(30)], "unit_id long, frame long, value double")
+    z = y - y.mean(1, keepdims=True)
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    label = np.arange(40)
+    for _ in range(40):
+        for i, j in zip(*np.nonzero((z @ z.T > 0.25) & (on.astype(int) @ on.T > 0)), strict=True):
+            label[label == max(label[i], label[j])] = min(label[i], label[j])
+    assert 1 < len(set(label)) < 40
+    for block in (2048, 7):
+        monkeypatch.setattr(near.pack, "__defaults__", (block, False))
+        labels = cnmf.unit_merge(a, c, 0.25)[2]
+        assert {r["unit_id"]: r["label"] for r in labels.collect()} == dict(enumerate(label.tolist()))
+    traces = c.groupBy("unit_id").agg(F.collect_list("value").alias("y"))
+    assert cnmf._correlated(a, traces, 0.0).count() < 40 * 16  # not all pairs: an edge for each unit in a task at most
