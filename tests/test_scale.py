@@ -98,3 +98,24 @@ def test_unit_merge_finds_a_forest_by_blocks(spark, monkeypatch):
         assert {r["unit_id"]: r["label"] for r in labels.collect()} == dict(enumerate(label.tolist()))
     traces = c.groupBy("unit_id").agg(F.collect_list("value").alias("y"))
     assert cnmf._correlated(a, traces, 0.0).count() < 40 * 16  # not all pairs: an edge for each unit in a task at most
+
+
+def places(spark, n=70, seed=6):
+    x = np.random.default_rng(seed).normal(size=(n, 2)).round(3)
+    x[:20] = x[0] + np.random.default_rng(seed).normal(size=(20, 2)).round(4) * 1e-2  # a crowded cell
+    x[3] = x[4]
+    df = spark.createDataFrame([(i, i % 4, float(h), float(w)) for i, (h, w) in enumerate(x)] + [(n, 0, float("nan"), 0.0)], "id long, session int, height double, width double")
+    d = x[:, None] - x
+    return x, df, np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1])
+
+
+def test_radius_correlation_moves_blocks(spark, monkeypatch):
+    x, df, d = places(spark)
+    y = np.random.default_rng(7).normal(size=(70, 12))
+    y[5] = 2.0
+    t = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(y) if i != 6], "unit_id long, y array<double>")
+    want = {(i, j): 0.0 if 5 in (i, j) else np.corrcoef(y[i], y[j])[0, 1] for i in range(70) for j in range(i + 1, 70) if d[i, j] <= 0.3 and 6 not in (i, j)}
+    monkeypatch.setattr(near, "BLOCK", 4)
+    got = graph.radius_correlation(df, t, 0.3)
+    assert "Join" not in plan(got).split("MapInArrow")[0]
+    assert {(r["src"], r["dst"]): r["corr"] for r in got.collect()} == pytest.approx(want)
