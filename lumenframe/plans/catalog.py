@@ -613,8 +613,7 @@ def kd_partition(s, d):
 @query
 def partition_diag(s, d):
     p = V.points(s, d).select(F.col("unit_id").alias("id"), *HW)
-    parts = p.select("id", F.floor(F.col("height")).cast("long").alias("part"))
-    return _r(G.partition_diagnostics(parts, G.radius_pairs(p, 0.15), n_frames=1000), "mib")
+    return _r(G.radius_diagnostics(p.withColumn("part", F.floor(F.col("height")).cast("long")), 0.15, n_frames=1000), "mib")
 
 
 # --- sessions --------------------------------------------------------------

@@ -119,3 +119,10 @@ def test_radius_correlation_moves_blocks(spark, monkeypatch):
     got = graph.radius_correlation(df, t, 0.3)
     assert "Join" not in plan(got).split("MapInArrow")[0]
     assert {(r["src"], r["dst"]): r["corr"] for r in got.collect()} == pytest.approx(want)
+
+
+def test_partition_counts_without_pairs(spark):
+    _, df, _ = places(spark)
+    parts = df.withColumn("part", F.floor(F.coalesce(F.nanvl("height", F.lit(0.0)))).cast("long"))
+    got = graph.radius_diagnostics(parts, 0.5, 100)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, graph.partition_diagnostics(parts, graph.radius_pairs(df, 0.5), n_frames=100).collect()))
