@@ -126,3 +126,10 @@ def test_partition_counts_without_pairs(spark):
     parts = df.withColumn("part", F.floor(F.coalesce(F.nanvl("height", F.lit(0.0)))).cast("long"))
     got = graph.radius_diagnostics(parts, 0.5, 100)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, graph.partition_diagnostics(parts, graph.radius_pairs(df, 0.5), n_frames=100).collect()))
+
+
+def test_radius_components_against_edges(spark):
+    _, df, _ = places(spark)
+    for radius in (0.01, 0.1, 0.3):
+        want = graph.connected_components(graph.radius_pairs(df, radius).select("src", "dst"), df.select("id"))
+        assert sorted(map(tuple, graph.radius_components(df, radius).collect())) == sorted(map(tuple, want.collect()))
