@@ -5,6 +5,8 @@ Mappings are long: (meta..., mapping_id, session, unit_id); nodes are (session,
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -134,6 +136,52 @@ def mutual_nearest(dist: DataFrame, meta: list[str] | None = None) -> DataFrame:
     return l2.join(r2, [*keys, "unit_a", "unit_b"]).select(*keys, "unit_a", "unit_b", "distance")
 
 
+def mutual_pairs(cents: DataFrame, radius: float, meta: list[str] | None = None) -> DataFrame:
+    """mutual_nearest of pair_distance; a session's units are unique. Each unit's nearest in each other session is found where blocks meet, so no table of pairs is made."""
+    meta = meta or []
+    rows = cents.select(*meta, "session", "unit_id", *[F.col(c).cast("double").alias(c) for c in ("height", "width")]).dropna(subset=["session", "unit_id"])
+    blocks = near.pack(near.grid(rows, radius), [*meta, "ch", "cw"], ["session", "unit_id"])
+    kinds = {c.name: c.dataType for c in cents.schema}
+
+    def kernel(met):
+        for _, run in groupby(met, key=lambda m: m[0]):
+            best: dict = {}
+            for _, _, a, b in run:
+                ah, aw, bh, bw = (near.numbers(x[c]) for x in (a, b) for c in ("height", "width"))
+                sb, ub, rows = near.numbers(b["session"]), near.numbers(b["unit_id"]), np.arange(len(ah))
+                cuts = [0, *(np.flatnonzero(sb[1:] != sb[:-1]) + 1).tolist(), len(sb)]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    other = b["session"][lo].as_py()
+                    if other not in best:
+                        best[other] = np.full(len(ah), np.inf), np.full(len(ah), ub[lo], ub.dtype)
+                    least, unit = best[other]
+                    step = max(1, near.AT_ONCE // (hi - lo))
+                    for s in range(0, len(ah), step):
+                        d, w = ah[s : s + step, None] - bh[lo:hi], aw[s : s + step, None] - bw[lo:hi]
+                        d *= d
+                        w *= w
+                        d += w
+                        np.sqrt(d, out=d)
+                        k = d.argmin(1)  # the first: units are in order
+                        d, u, at = d[rows[: len(k)], k], ub[lo + k], slice(s, s + step)
+                        on = (d < least[at]) | ((d == least[at]) & (u < unit[at]))
+                        least[at], unit[at] = np.where(on, d, least[at]), np.where(on, u, unit[at])
+            sa = near.numbers(a["session"])
+            for other, (least, unit) in best.items():
+                on = np.flatnonzero((least < radius) & (sa != other))
+                at = pa.array(on)
+                yield [*[pa.repeat(a[c], len(on)) for c in meta], a["session"].take(at), a["unit_id"].take(at), pa.array([other] * len(on), a["session"].type), pa.array(unit[on], a["unit_id"].type), least[on]]
+
+    fields = [*[(c, kinds[c]) for c in meta], ("session", kinds["session"]), ("unit_id", kinds["unit_id"]), ("other", kinds["session"]), ("unit", kinds["unit_id"]), ("distance", DoubleType())]
+    found = near.meet(blocks, near.neighbours(blocks, meta, both=True), kernel, StructType([StructField(*f) for f in fields]), whole=True)
+    first = F.col("session") < F.col("other")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    sides = found.select(*meta, pick("session", "other").alias("session_a"), pick("unit_id", "unit").alias("unit_a"), pick("other", "session").alias("session_b"), pick("unit", "unit_id").alias("unit_b"), "distance", first.alias("_first"))
+    keys = [*meta, "session_a", "session_b", "unit_a", "unit_b"]
+    both = sides.groupBy(*keys).agg(F.max("distance").alias("distance"), F.count_if("_first").alias("_l"), F.count_if(~F.col("_first")).alias("_r"))
+    return both.where("_l > 0 AND _r > 0").select(*keys, "distance")
+
+
 def group_sessions(mapping: DataFrame, by: list[str]) -> DataFrame:
     """(by, group): the sorted sessions of each mapping."""
     return mapping.groupBy(*by).agg(F.array_sort(F.collect_set("session")).alias("group"))

@@ -654,7 +654,7 @@ def cartesian(s, d):
 
 @query
 def mutual_nn(s, d):
-    return _r(X.mutual_nearest(_pairs(s, d)), "distance")
+    return _r(X.mutual_pairs(V.points(s, d), 0.1), "distance")
 
 
 def _mapping(s, d, mode):

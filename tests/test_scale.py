@@ -133,3 +133,12 @@ def test_radius_components_against_edges(spark):
     for radius in (0.01, 0.1, 0.3):
         want = graph.connected_components(graph.radius_pairs(df, radius).select("src", "dst"), df.select("id"))
         assert sorted(map(tuple, graph.radius_components(df, radius).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_mutual_pairs_against_the_pair_table(spark, monkeypatch):
+    _, df, _ = places(spark)
+    cents = df.withColumnRenamed("id", "unit_id")
+    want = sorted(map(tuple, register.mutual_nearest(register.pair_distance(cents, 0.4)).collect()))
+    for block in (2048, 3):
+        monkeypatch.setattr(near.pack, "__defaults__", (block, False))
+        assert sorted(map(tuple, register.mutual_pairs(cents, 0.4).collect())) == want and want
