@@ -44,14 +44,25 @@ def _distance():
 
 
 def pair_distance(cents: DataFrame, radius: float, meta: list[str] | None = None) -> DataFrame:
-    """(meta, session_a, unit_a, session_b, unit_b, distance) of all pairs of sessions' units less than radius apart: an equi-join of square cells."""
+    """(meta, session_a, unit_a, session_b, unit_b, distance) of all pairs of sessions' units less than radius apart: blocks of square cells meet their neighbours."""
     meta = meta or []
-    a, b = _sides(cents, meta)
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = a.withColumn("ch", F.floor(F.col("h_a") / radius)).withColumn("cw", F.floor(F.col("w_a") / radius))
-    b = b.withColumn("o", F.explode(around)).withColumn("ch", F.floor(F.col("h_b") / radius) + F.col("o.i")).withColumn("cw", F.floor(F.col("w_b") / radius) + F.col("o.j")).drop("o")
-    out = a.join(b, [*meta, "ch", "cw"]).where("session_a < session_b").withColumn("distance", _distance())
-    return out.where(F.col("distance") < radius).select(*meta, "session_a", "unit_a", "session_b", "unit_b", "distance")
+    rows = cents.select(*meta, "session", "unit_id", *[F.col(c).cast("double").alias(c) for c in ("height", "width")])
+    blocks = near.pack(near.grid(rows, radius), [*meta, "ch", "cw"], ["session", "unit_id"])
+    kinds = {c.name: c.dataType for c in cents.schema}
+
+    def kernel(met):
+        for x, y, a, b in met:
+            sa, sb = near.numbers(a["session"]), near.numbers(b["session"])
+            for i, j, distance in near.close(a, b, radius, True, x == y):
+                on = sa[i] != sb[j]
+                i, j = pa.array(i[on]), pa.array(j[on])
+                yield [*[pa.repeat(a[c], len(i)) for c in meta], a["session"].take(i), a["unit_id"].take(i), b["session"].take(j), b["unit_id"].take(j), distance[on]]
+
+    fields = [*[(c, kinds[c]) for c in meta], *[(f"{c}_{s}", kinds[k]) for s in "xy" for c, k in (("session", "session"), ("unit", "unit_id"))], ("distance", DoubleType())]
+    out = near.meet(blocks, near.neighbours(blocks, meta), kernel, StructType([StructField(*f) for f in fields])).where("session_x != session_y")
+    first = F.col("session_x") < F.col("session_y")
+    pick = lambda c, a, b: F.when(first, F.col(f"{c}_{a}")).otherwise(F.col(f"{c}_{b}"))
+    return out.select(*meta, *[pick(c, a, b).alias(f"{c}_{n}") for n, a, b in (("a", "x", "y"), ("b", "y", "x")) for c in ("session", "unit")], "distance")
 
 
 def _tiles_at(d: str, x, half: float):

@@ -142,3 +142,11 @@ def test_mutual_pairs_against_the_pair_table(spark, monkeypatch):
     for block in (2048, 3):
         monkeypatch.setattr(near.pack, "__defaults__", (block, False))
         assert sorted(map(tuple, register.mutual_pairs(cents, 0.4).collect())) == want and want
+
+
+def test_pair_distance_by_blocks(spark):
+    _, df, d = places(spark)
+    got = register.pair_distance(df.withColumnRenamed("id", "unit_id"), 0.4)
+    assert "Join" not in plan(got).split("MapInArrow")[0]
+    want = {(i % 4, i, j % 4, j): d[i, j] for i in range(70) for j in range(70) if i % 4 < j % 4 and d[i, j] < 0.4}
+    assert {tuple(r)[:4]: r["distance"] for r in got.collect()} == want
