@@ -658,7 +658,7 @@ def mutual_nn(s, d):
 
 
 def _mapping(s, d, mode):
-    return X.resolve_mapping(X.mutual_nearest(X.pair_distance(V.points(s, d), 0.04)), mode)
+    return X.resolve_mapping(X.mutual_pairs(V.points(s, d), 0.04), mode)
 
 
 def _named(mapping):

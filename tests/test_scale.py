@@ -160,3 +160,9 @@ def test_radius_pairs_by_blocks(spark, monkeypatch):
         got = graph.radius_pairs(df, 0.4)
         assert "Join" not in plan(got).split("MapInArrow")[0]
         assert {(r["src"], r["dst"]): r["distance"] for r in got.collect()} == want
+
+
+def test_mappings_make_no_pair_table(spark, monkeypatch):
+    monkeypatch.setattr(register, "pair_distance", None)
+    for name in ("fill_mapping", "overlay_counts", "mapping_pivot"):
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count()
