@@ -166,3 +166,29 @@ def test_mappings_make_no_pair_table(spark, monkeypatch):
     monkeypatch.setattr(register, "pair_distance", None)
     for name in ("fill_mapping", "overlay_counts", "mapping_pivot"):
         assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_init_c_of_more_units_than_pixels(spark):
+    rng = np.random.default_rng(8)
+    a = rng.random((30, 12)) * (rng.random((30, 12)) < 0.5)
+    a[:, 11] = 0  # a pixel without units
+    y = rng.normal(size=(5, 12))
+    feet = spark.createDataFrame([(i, p // 4, p % 4, float(a[i, p])) for i, p in zip(*map(np.ndarray.tolist, np.nonzero(a)), strict=True)] + [(50, 9, 9, 2.0)], "unit_id long, height int, width int, value double")
+    cells = [(f, p // 4, p % 4, float(y[f, p])) for f in range(5) for p in range(12)] + [(f, 9, 9, float(f)) for f in range(5)]
+    movie = spark.createDataFrame(cells, "frame long, height int, width int, value double")
+    for rounds in (2, 60):
+        out = cnmf.init_c(movie, feet, rounds)
+        got = out.toPandas().set_index(["unit_id", "frame"])["value"]
+        assert len(got) == 31 * 5 and [got[50, f] for f in range(5)] == pytest.approx([f / 2 for f in range(5)])
+        want = np.linalg.lstsq(a.T, y.T, rcond=None)[0] if rounds > 2 else cnmf._steps(lambda p: a @ (a.T @ p), a @ y.T, 2)
+        assert np.array([[got[i, f] for f in range(5)] for i in range(30)]) == pytest.approx(want, abs=1e-6)
+    assert "MapInArrow" in plan(out)  # units meet solutions of the pixels; no matrix of units by units
+
+
+def test_quick_rounding_is_rounding(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=20_000), rng.normal(size=2000) * 1e5, np.arange(-2000, 2000) / 2e6, np.arange(-50, 50) + 0.5, [0.0, -0.0, 1e300, np.inf, np.nan, -1e-9]])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "value double")
+    for digits in (4, 6):
+        want = df.select(F.round(F.nanvl("value", F.lit(None).cast("double")), digits) + F.lit(0.0))
+        assert [repr(r[0]) for r in catalog._r(df, digits=digits).collect()] == [repr(r[0]) for r in want.collect()]
