@@ -231,6 +231,10 @@ def overlap_groups(a: DataFrame, thres: float = 0.1) -> DataFrame:
     return labels.select(F.col("node").alias("unit_id"), "label")
 
 
+#: Samples of traces that are deconvolved together.
+SOLVE_VALUES = 1 << 15
+
+
 def update_temporal(yra: DataFrame, noise_freq: float = 0.25, p: int = 2, add_lag="p", penalty: float = 1.0, use_smooth: bool = True, med_wd: int | None = None, zero_thres: float = 1e-8, max_iters: int = 200, groups: DataFrame | None = None, warm: DataFrame | None = None, post_scal: bool = False) -> DataFrame:
     """(unit_id, c, s, b, c0, g) of traces (unit_id, y): each unit's AR model and deconvolution; units without positive values or spikes go.
 
@@ -242,25 +246,36 @@ def update_temporal(yra: DataFrame, noise_freq: float = 0.25, p: int = 2, add_la
 
     @F.pandas_udf("c array<double>, s array<double>, b double, c0 double, g array<double>")
     def solve(traces: pd.Series, totals: pd.Series, starts: pd.Series, firsts: pd.Series, decays: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, total, s0, b0, d0 in zip(traces, totals, starts, firsts, decays, strict=True):
-            given = np.array(t, np.float64)
-            norm = len(given) / total if total > 0 else 1.0
-            y = given * norm
-            noise = float(S.noise_fft(y[None], (noise_freq, 0.5))[0])
-            base = S.median_baseline(y[None], med_wd)[0] if med_wd else y
-            g = S.ar_coefficients(S.fft_filter(base, noise_freq, "low") if use_smooth else base, 0.0 if use_smooth else noise, p, add_lag)
-            roots = np.roots(np.concatenate([[1.0], -g]))
-            if (np.abs(roots) >= 1).any():  # an unstable fit decays at the edge of stability
-                g = -np.poly(np.where(np.abs(roots) >= 1, 0.98 * roots / np.maximum(np.abs(roots), 1e-12), roots))[1:].real
-            start = None if s0 is None else (np.array(s0, np.float64) * norm, float(b0) * norm, float(d0) * norm)
-            c, s, b, c0 = K.deconvolve(base, g, noise, penalty, max_iters, start)
-            if not (np.isfinite(c).all() and np.isfinite(s).all()):
-                c, s, b, c0 = np.zeros(len(y)), np.zeros(len(y)), 0.0, 0.0
-            back = 1 / norm
-            if post_scal and (c * c).sum() > 0:
-                back *= float(c @ given) * norm / float(c @ c)
-            rows.append((c * back, np.where(s > zero_thres, s, 0) * back, b * back, c0 * back, g))
+        rows: list = [None] * len(traces)
+        lengths = traces.map(len).to_numpy()
+        for length in np.unique(lengths):
+            places = np.flatnonzero(lengths == length)
+            most = max(1, SOLVE_VALUES // max(1, int(length)))
+            for at in np.split(places, range(most, len(places), most)):
+                fits = []
+                for i in at:
+                    total, given = totals.iloc[i], np.array(traces.iloc[i], np.float64)
+                    norm = len(given) / total if total > 0 else 1.0
+                    y = given * norm
+                    noise = float(S.noise_fft(y[None], (noise_freq, 0.5))[0])
+                    base = S.median_baseline(y[None], med_wd)[0] if med_wd else y
+                    g = S.ar_coefficients(S.fft_filter(base, noise_freq, "low") if use_smooth else base, 0.0 if use_smooth else noise, p, add_lag)
+                    roots = np.roots(np.concatenate([[1.0], -g]))
+                    if (np.abs(roots) >= 1).any():  # an unstable fit decays at the edge of stability
+                        g = -np.poly(np.where(np.abs(roots) >= 1, 0.98 * roots / np.maximum(np.abs(roots), 1e-12), roots))[1:].real
+                    s0 = starts.iloc[i]
+                    start = None if s0 is None else (np.array(s0, np.float64) * norm, float(firsts.iloc[i]) * norm, float(decays.iloc[i]) * norm)
+                    g = np.append(g, np.zeros(p - len(g)))  # a root of zero is left out of the polynomial
+                    fits.append((given, norm, noise, base, g, start))
+                bases, gs, noises = (np.stack([f[k] for f in fits]) for k in (3, 4, 2))
+                cs, ss, bs, firsts_ = K.deconvolve_many(bases, gs, noises, penalty, max_iters, [f[5] for f in fits])
+                for i, (given, norm, _, _, g, _), c, s, b, c0 in zip(at, fits, cs, ss, bs.tolist(), firsts_.tolist(), strict=True):
+                    if not (np.isfinite(c).all() and np.isfinite(s).all()):
+                        c, s, b, c0 = np.zeros(len(c)), np.zeros(len(c)), 0.0, 0.0
+                    back = 1 / norm
+                    if post_scal and (c * c).sum() > 0:
+                        back *= float(c @ given) * norm / float(c @ c)
+                    rows[i] = (c * back, np.where(s > zero_thres, s, 0) * back, b * back, c0 * back, g)
         return pd.DataFrame(rows, columns=["c", "s", "b", "c0", "g"])
 
     rows = yra.where(F.exists("y", lambda v: v > 0)).withColumn("_total", F.aggregate("y", F.lit(0.0), lambda x, v: x + v))

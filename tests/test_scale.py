@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenframe.functions import solvers
 from lumenframe.operators import cnmf, graph, near, register, seeds
 from lumenframe.plans import catalog
 
@@ -192,3 +193,15 @@ def test_quick_rounding_is_rounding(spark):
     for digits in (4, 6):
         want = df.select(F.round(F.nanvl("value", F.lit(None).cast("double")), digits) + F.lit(0.0))
         assert [repr(r[0]) for r in catalog._r(df, digits=digits).collect()] == [repr(r[0]) for r in want.collect()]
+
+
+def test_traces_are_deconvolved_together():
+    rng = np.random.default_rng(10)
+    y = np.abs(rng.normal(size=(12, 40))).cumsum(1) % 3
+    g = np.stack([rng.uniform(0.3, 0.8, 12), rng.uniform(-0.1, 0.1, 12)], 1)
+    noise = rng.uniform(0.01, 0.2, 12)
+    starts = [None if i % 2 else (np.ones(40) * 0.1, 0.2, 0.1) for i in range(12)]
+    got = solvers.deconvolve_many(y, g, noise, 1.0, 50, starts)
+    for i in range(12):
+        for x, want in zip(got, solvers.deconvolve(y[i], g[i], float(noise[i]), 1.0, 50, starts[i]), strict=True):
+            assert x[i] == pytest.approx(want, abs=1e-7)
