@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import stats as T
+from . import near
 from .blocks import map_traces
-from .graph import connected_components, edge_correlation, radius_pairs
+from .graph import connected_components, edge_correlation, radius_pairs, unit_norm
 from .image import local_max_roll, max_projection
-from .signal import median_baseline, pnr
+from .signal import median_baseline, pnr, smooth
 
 HW = ["height", "width"]
 #: Values that a mixture is fitted on, at most.
@@ -166,20 +170,66 @@ def seeds_merge(traces: DataFrame, projection: DataFrame, seeds: DataFrame, thre
     return seeds.join(best, "id", "left").withColumn("mask_mrg", F.coalesce("_best", F.lit(False))).drop("_best")
 
 
+#: Samples of a trace that meet at a time at most, and values of a region's pixels in a task.
+SEGMENT, VALUES = 1024, 1 << 22
+
+
+def _near_correlation(z: DataFrame, places: DataFrame, wnd: float) -> DataFrame:
+    """(sh, sw, height, width, value): products of traces (height, width, t, z) at places with those of the pixels within wnd.
+
+    Traces are cut into segments of samples, and the field into square regions that overlap by wnd. What a task holds is a
+    segment of a region's pixels; a trace meets others once in each region, not once a pair, and a pair's parts are added up.
+    """
+    side = max(4 * math.ceil(wnd), 8)
+    step = int(min(SEGMENT, max(16, VALUES // (side + 2 * math.ceil(wnd)) ** 2)))
+    region = lambda c: F.floor(F.col(c) / side)
+    around = lambda c: F.sequence(F.floor((F.col(c) - wnd) / side), F.floor((F.col(c) + wnd) / side))
+    places = places.dropna().distinct()
+    rows = z.join(places.withColumn("seed", F.lit(True)), HW, "left").select(*HW, "t", F.coalesce("seed", F.lit(False)).alias("seed"), "z")
+    kinds = StructType([*rows.schema.fields, StructField("segment", LongType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column("z")
+            ends = col.offsets.to_numpy()
+            pieces = np.maximum(1, -(-np.diff(ends) // step))
+            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            starts = np.append(np.repeat(ends[:-1], pieces) + step * nth, ends[-1]).astype(np.int32)
+            of = pa.array(np.repeat(np.arange(b.num_rows), pieces))
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(of) for c in (*HW, "t", "seed")], pa.ListArray.from_arrays(pa.array(starts), col.values), pa.array(nth)], kinds.names)
+
+    met = rows.mapInArrow(cut, kinds).withColumn("rh", F.explode(around("height"))).withColumn("rw", F.explode(around("width")))
+    met = met.join(places.select(region("height").alias("rh"), region("width").alias("rw")).distinct(), ["rh", "rw"])
+    out = StructType([*[StructField(n, z.schema[c].dataType) for n, c in (("sh", "height"), ("sw", "width"))], *[z.schema[c] for c in HW], StructField("part", DoubleType())])
+
+    def kernel(t: pa.Table) -> pa.Table:
+        h, w, n, on, rh, rw = (t[c].to_numpy() for c in (*HW, "t", "seed", "rh", "rw"))
+        x, _, _ = near.vectors(*[t["z"].combine_chunks()] * 2)
+        own = np.flatnonzero(on & (np.floor(h / side) == rh) & (np.floor(w / side) == rw))
+        at, parts = [], []
+        for s in range(0, len(own), many := max(1, near.AT_ONCE // len(h))):
+            some = own[s : s + many]
+            d2 = (h[some, None].astype(float) - h) ** 2 + (w[some, None].astype(float) - w) ** 2
+            i, j = np.nonzero((d2 <= wnd * wnd) & (d2 > 0))
+            parts.append(np.where(n[some[i]] == n[j], (x[some] @ x.T)[i, j], 0.0))
+            at.append(np.stack([some[i], j]))
+        i, j = np.concatenate(at, 1) if at else np.zeros((2, 0), int)
+        cols = [t[c].combine_chunks().take(pa.array(k)) for k in (i, j) for c in HW]
+        return pa.table([*cols, pa.array(np.concatenate(parts) if parts else np.zeros(0))], out.names)
+
+    return met.groupBy("rh", "rw", "segment").applyInArrow(kernel, out).groupBy("sh", "sw", *HW).agg(F.sum("part").alias("value"))
+
+
 def init_a(traces: DataFrame, seeds: DataFrame, thres_corr: float = 0.8, wnd: float = 10, noise_freq: float | None = None) -> DataFrame:
     """(unit_id, height, width, value): correlation of each seed (id, height, width) with the pixels within wnd, where above thres_corr; 1 at the seed."""
-    pixels = traces.withColumn("id", F.struct(*HW))
-    cell = lambda c: F.floor(F.col(c) / wnd)
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    s = seeds.select(F.col("id").alias("unit_id"), F.col("height").alias("sh"), F.col("width").alias("sw"), F.explode(around).alias("o"))
-    s = s.select("unit_id", "sh", "sw", (cell("sh") + F.col("o.i")).alias("ch"), (cell("sw") + F.col("o.j")).alias("cw"))
-    p = pixels.select(*HW, cell("height").alias("ch"), cell("width").alias("cw"))
-    d2 = (F.col("height") - F.col("sh")) * (F.col("height") - F.col("sh")) + (F.col("width") - F.col("sw")) * (F.col("width") - F.col("sw"))
-    near = s.join(p, ["ch", "cw"]).where(d2 <= wnd * wnd)
-    edges = near.select("unit_id", F.struct(F.col("sh").alias("height"), F.col("sw").alias("width")).alias("src"), F.struct(*HW).alias("dst"))
-    found = edge_correlation(edges.where("src != dst"), pixels.select("id", "y"), "id", noise_freq).where(F.col("corr") > thres_corr)
+    rows = traces if noise_freq is None else smooth(traces, noise_freq)
+    z = unit_norm(rows.withColumn("_p", F.struct(*HW, F.coalesce(F.size("y"), F.lit(0)).alias("t"))), "_p").select("_p.*", "z")
+    still = F.col("z").isNull()  # 0 with any other, as with traces of another length
+    z = z.withColumns({"t": F.when(still, -1).otherwise(F.col("t")), "z": F.coalesce("z", F.array().cast("array<double>"))})
+    found = _near_correlation(z, seeds.select(*HW), wnd).where(F.col("value") > thres_corr)
+    at = seeds.select(F.col("id").alias("unit_id"), F.col("height").alias("sh"), F.col("width").alias("sw"))
     own = seeds.select(F.col("id").alias("unit_id"), *HW, F.lit(1.0).alias("value"))
-    return found.select("unit_id", "dst.height", "dst.width", F.col("corr").alias("value")).union(own)
+    return at.join(found, ["sh", "sw"]).select("unit_id", *HW, "value").union(own)
 
 
 def seed_counts(seeds: DataFrame, mask: str) -> DataFrame:

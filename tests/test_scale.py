@@ -33,6 +33,53 @@ def test_init_a_of_long_movies(spark):
     assert len(got) == 5 and got["value"].to_numpy() == pytest.approx(want[got["height"] * 3 + got["width"]])
 
 
+def test_init_a_by_segments_and_regions(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    y = rng.normal(size=(400, 70)) + 0.5 * rng.normal(size=70)
+    y[21], y[22] = 2.0, np.nan  # does not vary; has gaps
+    traces = spark.createDataFrame([(i // 20, i % 20, r.tolist()) for i, r in enumerate(y)] + [(2, 20, [1.0, 2.0, 4.0])], "height int, width int, y array<double>")
+    at = [(i, i * 7 % 20, i * 3 % 20) for i in range(40)] + [(40, 1, 1), (41, 1, 2), (42, 1, 2), (42, 1, 2), (43, 2, 20), (44, 90, 90)]
+    places = spark.createDataFrame(at, "id long, height int, width int")
+    d = y - y.mean(1, keepdims=True)
+    corr = d @ d.T / np.maximum(np.outer(*[np.linalg.norm(d, axis=1)] * 2), 1e-9)
+    corr[21] = corr[:, 21] = 0.0
+    for segment in (1024, 16):
+        monkeypatch.setattr(seeds, "SEGMENT", segment)
+        for thres, wnd in ((-0.05, 2.0), (0.2, 5.5)):
+            want = [(u, h, w, 1.0) for u, h, w in at]
+            for u, h, w in at[:-2]:
+                for j in range(400):
+                    c, d2 = corr[h * 20 + w, j], (h - j // 20) ** 2 + (w - j % 20) ** 2
+                    if 0 < d2 <= wnd * wnd and not c <= thres:
+                        want.append((u, j // 20, j % 20, c))
+            for u, h, w in at[:-1]:  # the short trace has 0 with all
+                for b in range(21) if u == 43 else [20]:
+                    for a in range(20) if u == 43 else [2]:
+                        if thres < 0 and 0 < (a - h) ** 2 + (b - w) ** 2 <= wnd * wnd and (b < 20 or a == 2):
+                            want.append((u, a, b, 0.0))
+            got = seeds.init_a(traces, places, thres, wnd)
+            assert "FlatMapGroupsInArrow" in plan(got)  # no trace is joined to an edge
+            got, want = sorted(map(tuple, got.collect()), key=str), sorted(want, key=str)
+            assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want], nan_ok=True)
+
+
+def test_a_small_field_is_turned_by_several_tasks(spark):
+    from lumenframe.model import LabelledFrame
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        y = RNG.normal(size=(30, 64))
+        y[4] = y[3]
+        frames = spark.createDataFrame([(40 - i if i != 4 else 37, 8, 8, r.tolist()) for i, r in enumerate(y)], "frame long, height int, width int, px array<double>").repartition(3)
+        got = LabelledFrame(frames, ("frame", "height", "width"), layout="frame").to_traces().df.withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got["task"].nunique() > 1  # all pixels were one task's before
+    assert np.stack(got.sort_values(["height", "width"])["y"]) == pytest.approx(y[::-1].T)
+    with pytest.raises(Exception, match="fewer than 8 x 8"):
+        LabelledFrame(frames.withColumn("px", F.slice("px", 1, 63)), ("frame", "height", "width"), layout="frame").to_traces().df.collect()
+
+
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
