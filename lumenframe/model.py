@@ -66,6 +66,14 @@ def _transposed(frames: DataFrame, tile: int) -> DataFrame:
     return frames.mapInArrow(cut, pieces).groupBy("_at", "_w").applyInArrow(turn, traces)
 
 
+def each(rows: DataFrame, keep: list, array: str, place: str, value: str) -> DataFrame:
+    """keep, place and value for each element of an array column, as posexplode has them.
+
+    From an inner posexplode Spark infers a filter on the array, and a kernel that makes the array runs twice, in two workers.
+    """
+    return rows.select(*keep, F.posexplode_outer(array).alias(place, value)).where(F.col(place).isNotNull())
+
+
 @dataclass(frozen=True)
 class LabelledFrame:
     df: DataFrame
@@ -79,11 +87,11 @@ class LabelledFrame:
             return self
         if self.layout == "frame":
             rest = [c for c in self.df.columns if c not in ("height", "width", "px")]
-            out = self.df.select(*rest, F.col("width").alias("_w"), F.posexplode("px").alias("_i", self.value))
+            out = each(self.df, [*rest, F.col("width").alias("_w")], "px", "_i", self.value)
             out = out.select(*rest, F.expr("cast(_i div _w as int)").alias("height"), F.expr("cast(_i % _w as int)").alias("width"), self.value)
             return replace(self, df=out, dims=(*rest, "height", "width"), layout="cell")
         rest = [c for c in self.df.columns if c != "y"]
-        out = self.df.select(*rest, F.posexplode("y").alias("frame", self.value))
+        out = each(self.df, rest, "y", "frame", self.value)
         return replace(self, df=out.withColumn("frame", F.col("frame").cast("long")), dims=(*rest, "frame"), layout="cell")
 
     def _blocks(self, by: list[str], order: list[str], name: str) -> DataFrame:

@@ -32,16 +32,23 @@ def map_frames(kernel: Callable[[np.ndarray], np.ndarray], px: str = "px", heigh
     return run(F.col(px), F.col(height), F.col(width))
 
 
+#: Values of the stack of traces that a kernel takes at a time, at most (or one trace), whatever an Arrow batch holds.
+VALUES = 1 << 16
+
+
 def map_traces(kernel: Callable[[np.ndarray], np.ndarray], y: str = "y", returns: str = "array<double>") -> Column:
-    """kernel over (n, T) stacks of the batch's traces; traces of one length go together."""
+    """kernel over (n, T) stacks of the batch's traces, VALUES at a time; traces of one length go together."""
+    most = VALUES
 
     @F.pandas_udf(returns)
     def run(v: pd.Series) -> pd.Series:
         out: list = [None] * len(v)
-        for at in _by_size(v).values():
-            got = kernel(np.stack([np.asarray(v.iloc[i], np.float64) for i in at]))
-            for i, g in zip(at, got, strict=True):
-                out[i] = np.asarray(g, np.float64) if np.ndim(g) else g.item() if isinstance(g, np.generic) else g
+        for length, rows in _by_size(v).items():
+            step = max(1, most // max(1, length))
+            for at in (rows[s : s + step] for s in range(0, len(rows), step)):
+                got = kernel(np.stack([np.asarray(v.iloc[i], np.float64) for i in at]))
+                for i, g in zip(at, got, strict=True):
+                    out[i] = np.asarray(g, np.float64) if np.ndim(g) else g.item() if isinstance(g, np.generic) else g
         return pd.Series(out)
 
     return run(F.col(y))

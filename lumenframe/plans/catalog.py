@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..model import each
 from ..operators import algebra as A
 from ..operators import cnmf as C
 from ..operators import graph as G
@@ -715,7 +716,7 @@ def footprint_summary(s, d):
 @query
 def preview_sweep(s, d):
     out = I.sweep(V.frames(s, d), lambda f, wnd: I.remove_background(f, "uniform", wnd), wnd=[3, 5])
-    cells = out.select("param_wnd", "frame", F.posexplode("px").alias("i", "value"))
+    cells = each(out, ["param_wnd", "frame"], "px", "i", "value")
     return _r(cells.select("param_wnd", "frame", F.expr("cast(i div 8 as int)").alias("height"), F.expr("cast(i % 8 as int)").alias("width"), "value"))
 
 

@@ -84,6 +84,27 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_kernels_behind_cells_run_once(spark):
+    sf = "/root/testdata/sf0.001"
+    for name in ("med_baseline", "smooth_low", "denoise_median", "preview_sweep"):
+        got = catalog.QUERIES[name](spark, sf)
+        runs = got._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython")
+        assert runs == (2 if name == "preview_sweep" else 1), name  # that sweep has two settings
+    from lumenframe.model import LabelledFrame
+
+    rows = spark.createDataFrame([(1, [1.0, None]), (2, []), (3, None)], "unit_id long, y array<double>")
+    assert sorted(map(tuple, LabelledFrame(rows, ("unit_id", "frame"), layout="trace").to_cells().df.collect()), key=str) == [(1, 0, 1.0), (1, 1, None)]
+
+
+def test_kernels_take_part_of_a_batch(spark):
+    from lumenframe.operators.blocks import map_traces
+
+    rows = spark.range(0, 5000, 1, 1).select("id", F.when(F.col("id") % 2 == 0, F.array_repeat(F.col("id").cast("double"), 64)).otherwise(F.array(F.col("id").cast("double"))).alias("y"))
+    got = rows.select("id", "y", map_traces(lambda x: [float(x.size)] * len(x), returns="double").alias("n"), map_traces(lambda x: x + 1).alias("z")).collect()
+    assert max(r["n"] for r in got) <= 1 << 16  # was the whole batch
+    assert all(r["z"] == [v + 1 for v in r["y"]] for r in got)
+
+
 def feet(spark, n=60, side=6, seed=2):
     rng = np.random.default_rng(seed)
     on = rng.random((n, side * side)) < 0.5
